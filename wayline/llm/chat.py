@@ -85,9 +85,10 @@ def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
     leaves = done.join(links.filter("up IS NOT NULL").select(F.col("up").alias("id")).distinct(), "id", "left_anti")
     paths = leaves.select(F.col("id").alias("leaf"), "depth", "branch_score", F.col("id").alias("id"), F.lit(0).alias("back"))
     for k, jump in enumerate(jumps):
+        # each round reads a written table, so the plan stays as small however deep the trees are
         further = paths.join(jump.withColumnRenamed("id", "from"), F.col("id") == F.col("from")).select("leaf", "depth", "branch_score", F.col("up").alias("id"), (F.col("back") + (1 << k)).alias("back"))
-        paths = paths.unionByName(further)
-    paths = cut(paths.withColumn("position", F.col("depth") - F.col("back")), "chat-paths")
+        paths = cut(paths.unionByName(further), "chat-paths")
+    paths = paths.withColumn("position", F.col("depth") - F.col("back"))
     roots = paths.filter("position = 1").select("leaf", F.col("id").alias("root"), "branch_score")
     ranked = roots.withColumn("branch_rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("branch_score"), "leaf")))
     if best is not None:
