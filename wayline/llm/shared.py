@@ -87,12 +87,17 @@ def joined(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buffer, np.cumsum(lengths) - lengths
 
 
-def word_hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of the run, and each text's end in that array."""
+def word_hashes(run: list[bytes], spaces: np.ndarray = _SPACES, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of the run, and each text's end in that array.
+
+    spaces: which bytes part words. prefix: only so many bytes of each word count, and a word as long as that hashes as longer ones do.
+    """
     buffer, starts = joined(run)
-    space = _SPACES[buffer]
+    space = spaces[buffer]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     last = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    if prefix is not None:
+        last = np.minimum(last, first + prefix)
     up, down = _powers(len(buffer))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[_LOWER[buffer]] * up)])
     hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
