@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, toxicity, urlfilter
+from . import chat, langid, minhash, mixing, packing, quality, toxicity, urlfilter
 from .shared import fold_of
 
 
@@ -39,6 +39,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -79,6 +83,18 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(length(role) + body + 14) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op3_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+             ELSE list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] for i in range(1, len(words) - 1)]) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, min(r.reach) AS component_id, s.doc_id = min(r.reach) AS kept
+FROM s JOIN r ON r.id = s.doc_id GROUP BY s.doc_id, s.shingles""",
     "op6_url_filter": r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -91,6 +107,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
