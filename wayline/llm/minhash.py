@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import chunks, cut, mix, word_hashes
+from .shared import chunks, cut, mix, without, word_hashes
 
 #: Places in a band, and the chance that a pair right at the threshold shares no band.
 ROWS, MISS = 6, 1e-4
@@ -191,3 +191,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _repeats(signed: DataFrame) -> bool:
     return not signed.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each group the row with the smallest doc_id stays (of its repeated rows, one of those with the smallest text)."""
+    found = cut(near_duplicates(docs, k, percent), "minhash-found")
+    kept = without(docs, found.filter("NOT kept").select("doc_id"))
+    if not _repeats(found):
+        return kept
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = rows.filter("row.doc_id IS NOT NULL").groupBy("row.doc_id").agg(F.min_by("row", F.struct("row.text", F.xxhash64(F.to_json("row")))).alias("row"))
+    return own.select("row.*").unionByName(rows.filter("row.doc_id IS NULL").select("row.*"))

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 BLOCKS = 1024
+#: Rows of the plan (one for each source and block) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -167,9 +169,11 @@ def amounts(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: a row of docs for each copy taken, with mix_shard and mix_copy, in random order within each shard."""
+    """The mixture: mix_shard, mix_copy and row (all columns of docs) for each copy taken, in random order within each shard."""
     made = plan(cut(sized(docs), "mix-own"), **options)
-    joined = made.keyed(docs).join(made.blocks, ["_source", "_block"])
-    rows = joined.withColumn("_draw", F.explode(made.draws())).withColumns({"mix_shard": F.col("_draw.shard"), "mix_copy": F.col("_draw.copy")})
+    blocks = F.broadcast(made.blocks) if made.blocks.count() <= BROADCAST_BLOCKS else made.blocks
+    rows = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = made.keyed(rows).join(blocks, ["_source", "_block"]).withColumn("_draw", F.explode(made.draws()))
+    copies = joined.select("row", F.col("_draw.shard").alias("mix_shard"), F.col("_draw.copy").alias("mix_copy"), F.xxhash64(F.lit(made.seed), "_order", "_draw.copy").alias("_at"))
     # a shard is as large as the output over the number of shards: parts of it are dealt by hash, and ordered each by itself
-    return rows.withColumn("_at", F.xxhash64(F.lit(made.seed), "_order", "mix_copy")).repartition("mix_shard", F.pmod("_at", F.lit(64))).sortWithinPartitions("mix_shard", "_at").select(*docs.columns, "mix_shard", "mix_copy")
+    return copies.repartition("mix_shard", F.pmod("_at", F.lit(64))).sortWithinPartitions("mix_shard", "_at").drop("_at")

@@ -310,7 +310,8 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs (doc_id, text)."""
-    return place(cut(cut_pieces(docs, vocabulary, capacity), "pack-pieces"), capacity)
+    placed = place(cut(cut_pieces(docs, vocabulary, capacity), "pack-pieces"), capacity)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:

@@ -10,7 +10,7 @@ character. Each language's threshold is a quantile of the perplexity, smoothed f
 the model has not seen.
 
 Scale: what is shuffled is distinct runs of each batch and compressed texts, once. Trusted ids are broadcast up to
-TRUSTED_IDS of them and shuffled beyond. The texts are read twice with the same partitions; docs that come from a
+BROADCAST_IDS of them and shuffled beyond. The texts are read twice with the same partitions; docs that come from a
 shuffle are written out first.
 
 Defined results: null and empty texts have no perplexity and are not rejected. A null language is a group of its own. Languages
@@ -30,11 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import BROADCAST_IDS, cut, without
 
 ORDER, BITS = 4, 12
-#: Trusted ids that are broadcast (8 bytes each); more are joined by a shuffle.
-TRUSTED_IDS = 2_000_000
 #: Bytes of text in a batch; the quantile, the least number of trusted unseen texts of a language, and the characters a text is smoothed by.
 BATCH, QUANTILE, LEAST, PRIOR = 24 << 20, 0.998, 50, 64
 
@@ -237,7 +235,7 @@ def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).filter("_quality = 1").select("doc_id")
     taught = good.filter(~calibrate)
-    known = F.broadcast(taught) if taught.count() <= TRUSTED_IDS else taught
+    known = F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught
     scored = cut(score(docs, docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), "quality-scores")
     # a language's figures are one row each; those with too few texts use the figures of all
     lang = F.struct("lang")
@@ -261,6 +259,6 @@ def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float
 
 
 def accepted(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of docs, all columns, that are not rejected."""
-    rejected = judge(docs, labels, calibrate, quantile).groupBy("doc_id").agg(F.min(F.col("rejected").cast("int")).alias("_all")).filter("_all = 1").select(F.col("doc_id").alias("_id"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of docs, all columns, that are not rejected; a repeated doc_id goes if all of its rows are rejected."""
+    judged = judge(docs, labels, calibrate, quantile)
+    return without(docs, judged.groupBy("doc_id").agg(F.min(F.col("rejected").cast("int")).alias("all")).filter("all = 1").select("doc_id"))

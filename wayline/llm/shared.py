@@ -30,6 +30,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids (of 8 bytes) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose doc_id is not among ids (one column)."""
+    ids = cut(ids.toDF("id").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(ids, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out. A null id counts as the text of nothing."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
