@@ -66,16 +66,17 @@ def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
     first = messages.groupBy("id").agg(F.min(F.struct(F.col("parent").isNotNull().alias("has"), "parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m"))
     known = first.select("id", F.col("m.parent").alias("parent"), F.col("m.score").alias("score"))
     kept = known.select(F.col("id").alias("p")).filter(F.col("p").isNotNull())
-    links = cut(known.filter(F.col("id").isNotNull()).join(kept, F.col("parent") == F.col("p"), "left").select("id", F.col("p").alias("up"), F.lit(1).alias("steps"), "score"), "chat-links")
+    # roots have no parent to look up, and would all meet at one key
+    there = known.filter("id IS NOT NULL")
+    below = there.filter("parent IS NOT NULL").join(kept, F.col("parent") == F.col("p"), "left").select("id", F.col("p").alias("up"), F.lit(1).alias("steps"), "score")
+    links = cut(below.unionByName(there.filter("parent IS NULL").select("id", F.lit(None).cast("string").alias("up"), F.lit(1).alias("steps"), "score")), "chat-links")
     # jumps[k]: each message's ancestor 2^k up, while there is one
-    jumps, at = [links.filter("up IS NOT NULL").select("id", "up")], links
-    total = None
+    jumps, at, total = [links.filter("up IS NOT NULL").select("id", "up")], links, links.count()
     while True:
-        there = at.select(F.col("id").alias("t"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("sum"))
-        # "up" is null once the root is passed: steps and score are then final
-        at = cut(at.join(there, F.col("up") == F.col("t"), "left").select("id", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score")), "chat-jump")
-        if total is None:
-            total = links.count()
+        # "up" is null once the root is passed: steps and score are then final, and only the others go on
+        target = at.select(F.col("id").alias("t"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("sum"))
+        moved = at.filter("up IS NOT NULL").join(target, F.col("up") == F.col("t")).select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("sum")).alias("score"))
+        at = cut(at.filter("up IS NULL").unionByName(moved), "chat-jump")
         open_ = at.filter("up IS NOT NULL")
         if open_.isEmpty() or (1 << len(jumps)) > total:
             break
