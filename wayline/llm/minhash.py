@@ -4,14 +4,16 @@ A document's set holds its distinct shingles of k words ([^\\x20\\x09-\\x0D]+, A
 SuperMinHash walks through each shingle's random permutation of the signature's places, step by step for all
 shingles at once, and stops at the step by which every place is filled: later steps only have larger ranks.
 
-Documents with equal sets are one class. Classes that share a band of the signature are compared: first each with the
-smallest class of its bucket, which is one pair for each member and joins what is alike; then members outside a
-bucket's largest component with members of its other components, so that no pair that could join two components is left
-out. Pairs are confirmed on the full sets of both texts: 100 * shared >= percent * all.
+Documents with equal sets are one class. Classes that share a band of the signature form a cluster, buckets that share
+a member being one cluster. Each class is first compared with the smallest class of its buckets, which is one pair for each member and
+joins most of what is alike. Then every class outside its cluster's largest component is compared with all of the cluster's other
+components, in blocks, so that no pair that could join two components is left out. Links are confirmed on the full
+sets of both texts: 100 * shared >= percent * all.
 
-Scale: texts are read once for signatures and once more, only for members of pairs, to confirm. What is shuffled is
-bands (8 bytes each) and the texts of pairs; minima of buckets combine before they shuffle, hot keys meet only in
-joins, which Spark splits where they are skewed. Nothing gathers a bucket or a component.
+Scale: texts are read once for signatures and once more, for members of clusters only. What is shuffled is bands (8
+bytes each) and the texts of members; minima of buckets combine before they shuffle, hot keys meet only in joins,
+which Spark splits where they are skewed. A cluster of any size is cut into blocks of about BLOCK shingles; a task holds two of
+them and returns one link for each component that a class reaches, never all pairs.
 
 Defined results: documents without words have an empty set and are linked with nothing; with fewer than k words the
 whole sequence is the one shingle. Rows without a doc_id get no component and are kept; a repeated doc_id joins
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import chunks, cut, mix, without, word_hashes
+from .shared import chunks, cut, mix, within, without, word_hashes
 
 #: Places in a band, and the chance that a pair right at the threshold shares no band.
 ROWS, MISS = 6, 1e-4
-#: Pairs of a round beyond this many times its members are put off while cheaper rounds still join components.
-FACTOR = 20
+#: Shingles in a block of a cluster.
+BLOCK = 1 << 16
 
 
 def bands_for(percent: int) -> int:
@@ -108,10 +110,8 @@ def _sign(k: int, bands: int):
     return sign
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are alike. docs: doc_id, text, one row for each id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(docs.join(ids, "doc_id", "left_semi"), "minhash-texts")
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets are alike. texts: doc_id, text, one row for each id."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,6 +130,54 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(alike, "a long, b long"), "minhash-alike")
 
 
+def _reached(part: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links from the outside rows of one cluster to its other components: one for each component that a row reaches."""
+    own = list(sets(part["text"].tolist(), k))
+    ids, component = part["doc_id"].to_numpy(), part["component"].to_numpy()
+    left, right = np.flatnonzero(part["out"]), np.flatnonzero(part["mem"])
+    if not len(left) or not len(right):
+        return []
+    keys = np.concatenate([own[i] for i in right])
+    who = np.repeat(np.arange(len(right)), [len(own[i]) for i in right])
+    order = np.argsort(keys)
+    keys, who = keys[order], who[order]
+    sizes = np.array([len(own[i]) for i in right])
+    found = []
+    for i in left:
+        low, high = np.searchsorted(keys, own[i], "left"), np.searchsorted(keys, own[i], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())  # the postings of all of its shingles
+        shared = np.bincount(who[at], minlength=len(right))
+        ok = (shared > 0) & (100 * shared >= percent * (len(own[i]) + sizes - shared)) & (component[right] != component[i])
+        for c in np.unique(component[right][ok]):
+            found.append((int(ids[i]), int(ids[right][ok & (component[right] == c)].min())))
+    return found
+
+
+def across(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """members (doc_id, n, cluster, component) -> links (a, b) between components of a cluster, such that all that are alike are joined."""
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("many"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("many", "component"))["component"].alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    open_ = cut(members.join(largest, "cluster").withColumn("out", F.col("component") != F.col("largest")), "minhash-open")
+    blocks = open_.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("outs"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("mems"))
+    rows = open_.join(blocks, "cluster")
+    big = F.col("mems") > 1
+    part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    unit = F.concat_ws("/", "cluster", "o", "m")
+    columns = ["doc_id", "cluster", "component", "out", "mem", "unit"]
+    small = rows.filter(~big).withColumns({"mem": F.lit(True), "unit": F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(4096)).cast("string"))}).select(columns)
+    outs = rows.filter(big & F.col("out")).withColumn("o", part("o", "outs")).withColumn("m", every("mems")).withColumns({"mem": F.lit(False), "unit": unit}).select(columns)
+    mems = rows.filter(big).withColumn("m", part("m", "mems")).withColumn("o", every("outs")).withColumns({"mem": F.lit(True), "out": F.lit(False), "unit": unit}).select(columns)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = [x for _, part in group.groupby("cluster") for x in _reached(part, k, percent)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    dealt = small.unionByName(outs).unionByName(mems).join(texts, "doc_id")
+    return cut(dealt.groupBy("unit").applyInPandas(compare, "a long, b long"), "minhash-across")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -138,45 +186,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # equal sets: one class, known by its smallest id
     classes = cut(there.groupBy("low", "high", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("_copies")), "minhash-classes")
     members = cut(there.join(classes.select(F.col("a").alias("doc_id"), "low", "high", "n"), ["doc_id", "low", "high", "n"], "left_semi").dropDuplicates(["doc_id", "low", "high", "n"]).select("doc_id", "n", F.explode("bands").alias("band")), "minhash-members")
-    buckets = members.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    shared = cut(members.join(buckets.select("band", "hub", "size"), "band"), "minhash-shared")
-    # a repeated doc_id may stand for several sets: texts by id alone would be ambiguous
-    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(signed) else docs.filter("doc_id IS NOT NULL")
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))  # noqa: E731  no larger overlap is possible
-    pairs = shared.filter((F.col("hub.doc_id") != F.col("doc_id")) & fits(F.col("hub.n"), F.col("n"))).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = cut(pairs, "minhash-pairs")
-    links, tried = confirm(pairs, texts, k, percent), pairs
-    while True:
-        joined = components(links)
-        # members of buckets whose members are not all joined yet
-        labelled = shared.select("band", "doc_id", "n").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-        open_ = cut(labelled.join(split, "band"), "minhash-open")
-        if open_.isEmpty():
-            break
-        sizes = open_.groupBy("band", "component").agg(F.count("*").alias("many"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("many", "component")).alias("most"), F.sum("many").alias("size"))
-        outside = cut(open_.join(largest, "band").filter(F.col("component") != F.col("most.component")), "minhash-outside")
-        work = outside.groupBy("band").agg(F.count("*").alias("out"), F.first("size").alias("size")).agg(F.sum(F.col("out") * F.col("size")).alias("pairs"), F.sum("size").alias("members")).first()
-        if work["pairs"] <= FACTOR * work["members"]:
-            pivots, last = outside, True
-        else:  # one pivot for each bucket joins most of what is alike
-            pivots, last = outside.join(tried.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti").groupBy("band").agg(F.min(F.struct("doc_id", "n", "component")).alias("p")).select("band", "p.*"), False
-        p = pivots.select("band", F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
-        met = open_.join(p, "band").filter((F.col("component") != F.col("pivot_component")) & fits(F.col("n"), F.col("pivot_n")))
-        if last:
-            met = met.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
-        else:
-            met = met.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        fresh = cut(met.distinct().join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "minhash-pairs")
-        none = fresh.isEmpty()
-        if not none:
-            found = confirm(fresh, texts, k, percent)
-            links, tried = links.unionByName(found), tried.unionByName(fresh)
-        if last or none:
-            if not none:
-                joined = components(links)
-            break
+    buckets = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    hubs = members.select("band", "doc_id").join(buckets, "band").filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    pairs = cut(hubs.distinct(), "minhash-pairs")
+    cluster = components(pairs)
+    texts = within(docs.filter("doc_id IS NOT NULL"), cluster.select("id"))
+    if _repeats(signed):  # the text of such an id would be ambiguous
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = cut(texts, "minhash-texts")
+    links = confirm(pairs, texts, k, percent)
+    joined = components(links)
+    sizes = members.select("doc_id", "n").distinct()
+    known = cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    more = across(known, texts, k, percent)
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
     # copies get their class's component; the rest stand alone
     of = classes.join(joined.select(F.col("id").alias("a"), "component"), "a", "left").filter("_copies > 1 OR component IS NOT NULL").select("low", "high", "n", F.coalesce("component", "a").alias("component"))
     if _repeats(signed):  # an id's rows join what any of them is linked to

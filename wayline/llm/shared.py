@@ -43,6 +43,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
 
 
+def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (one column)."""
+    ids = cut(ids.toDF("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out. A null id counts as the text of nothing."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

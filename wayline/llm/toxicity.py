@@ -109,7 +109,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     return q, {"rates": rates, "correlation": correlation, "share": share}
 
 
-def linear(rows: np.ndarray, columns: np.ndarray, marks: np.ndarray, q: np.ndarray, k: int, rounds: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def linear(rows: np.ndarray, columns: np.ndarray, marks: np.ndarray, q: np.ndarray, k: int, rounds: int = 1500, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels q: gradient steps with momentum. Columns are (entries, patterns)."""
     n = len(q)
     x = np.zeros((n, k + marks.shape[1]), np.float32)
