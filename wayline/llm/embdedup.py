@@ -1,13 +1,13 @@
 """Near duplicates of vectors: spherical k-means cells, blocked cosine products, one representative for each group.
 
 Only vectors with equal, non-null labels are compared. Equal vectors are one class first. Spherical k-means, fitted on a bounded
-sample, assigns each class to the cell of the nearest centroid. A cell is compared with itself and with visitors:
-vectors of other cells that could still be within the threshold of some point of this cell. That test is exact: a
+sample, assigns each class to the cell of the nearest centroid, its home. A cell's vectors are compared with each other and with visitors:
+vectors at home in a later cell that could still be within the threshold of some point of this one. That test is exact: a
 point of cell j lies on the far side of the plane between its centroid and a visitor's, so a visitor farther from that plane than two vectors
 at the threshold can be apart has no partner there. No link is lost to the cells; they only save work.
 
-Scale: cells are cut into blocks of BLOCK vectors by hash; a task holds two blocks, multiplies them, and returns link counts
-for each vector and a spanning forest of the links, never all pairs. Counts weigh a class by its size.
+Scale: the vectors at home in a cell, and its visitors, are cut into blocks of BLOCK by hash; a task holds two blocks, multiplies them, and
+returns link counts for each vector and a spanning forest of the links, never all pairs. Counts weigh a class by its size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors without label, are
 linked with nothing and kept. Vectors of different lengths are never alike. Rows without an id have no component and are kept; repeated ids
@@ -104,7 +104,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
                 between = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[near]
                 lead = dots[np.arange(len(x)), near][:, None] - dots
                 # distance from the plane between two centroids; a centroid that equals another has no plane
-                goes = lead <= apart * np.maximum(between, 1e-12)
+                # a pair of vectors at home in two cells meets in the earlier one
+                goes = (lead <= apart * np.maximum(between, 1e-12)) & (np.arange(len(c)) < near[:, None])
                 goes[np.arange(len(x)), near] = True
                 row, cell = np.nonzero(goes)
                 out = part.iloc[row][["rep", "copies", "label", "size"]].copy()
@@ -115,18 +116,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     placed = points.select("rep", "copies", "label", "size", "v").mapInPandas(assign, schema)
     group = ["label", "size", "cell"]
     placed = cut(placed, "emb-placed")
-    counts = placed.groupBy(*group).agg(F.count("*").alias("_n"))
-    dealt = placed.join(counts, group).withColumns({"_blocks": F.ceil(F.col("_n") / BLOCK).cast("int")}).withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    # block i meets every block j: the pair is named (smaller, larger), and a vector goes to the pairs of its block
-    paired = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
+    blocks = placed.groupBy(*group).agg(*[F.ceil(F.sum(F.when(c, 1).otherwise(0)) / BLOCK).cast("int").alias(n) for c, n in ((F.col("home"), "_homes"), (~F.col("home"), "_visits"))])
+    dealt = placed.join(blocks, group).withColumn("_block", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("_homes")).otherwise(F.col("_visits"))).cast("int"))
+    each = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)))
+    columns = [*group, "rep", "copies", "v", "_block", "home", "_low", "_high", "_own"]
+    homes, visitors = dealt.filter("home"), dealt.filter("NOT home")
+    # blocks at home meet each other, as (smaller, larger), and the blocks of visitors, as (home, visitors)
+    inside = homes.withColumn("_other", each("_homes")).withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other"), "_own": F.lit(True)})
+    hosts = homes.withColumn("_high", each("_visits")).withColumns({"_low": F.col("_block"), "_own": F.lit(False)})
+    guests = visitors.withColumn("_low", each("_homes")).withColumns({"_high": F.col("_block"), "_own": F.lit(False)})
+    paired = inside.select(columns).unionByName(hosts.select(columns)).unionByName(guests.select(columns))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        same = part["_low"].iloc[0] == part["_high"].iloc[0]
         part = part.sort_values("rep")
         ids, copies, home, block = (part[c].to_numpy() for c in ("rep", "copies", "home", "_block"))
         x = unit(matrix(part["v"]))
-        left = np.arange(len(x)) if same else np.flatnonzero(block == part["_low"].iloc[0])
-        right = left if same else np.flatnonzero(block == part["_high"].iloc[0])
+        if part["_own"].iloc[0]:
+            same = part["_low"].iloc[0] == part["_high"].iloc[0]
+            left, right = (np.flatnonzero(block == part[c].iloc[0]) for c in ("_low", "_high"))
+        else:
+            same, left, right = False, np.flatnonzero(home), np.flatnonzero(~home)
         found = []
         for at in range(0, len(left), 512):
             i, j = np.nonzero(x[left[at : at + 512]] @ x[right].T >= threshold - 1e-9)
@@ -134,10 +143,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
         a, b = np.concatenate(found, 1) if found else np.zeros((2, 0), int)
         if same:
             a, b = a[a < b], b[a < b]
-        # a pair is judged once: in the home cell of its smaller id if the larger visits there, which the plane test ensures
-        small, large = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-        keep = home[small]
-        a, b = small[keep], large[keep]
         exact = np.concatenate([np.einsum("ij,ij->i", x[a[at : at + 65536]], x[b[at : at + 65536]]) for at in range(0, len(a), 65536)] or [np.zeros(0)]) >= threshold
         a, b = a[exact], b[exact]
         links = np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
@@ -145,7 +150,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
         has = np.flatnonzero(links)
         return pd.DataFrame({"a": np.concatenate([ids[has], ids[a[tree]]]), "b": np.concatenate([ids[has], ids[b[tree]]]), "links": np.concatenate([links[has], np.zeros(len(tree))]).astype(np.int64)})
 
-    met = cut(paired.select(*group, "_low", "_high", "_block", "rep", "copies", "home", "v").groupBy(*group, "_low", "_high").applyInPandas(compare, "a long, b long, links long"), "emb-met")
+    met = cut(paired.groupBy(*group, "_own", "_low", "_high").applyInPandas(compare, "a long, b long, links long"), "emb-met")
     links = met.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = components(met.filter("a <> b").select("a", "b"))
     known = classes.join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
