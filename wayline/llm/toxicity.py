@@ -89,8 +89,13 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     within the classes, that tie it to others.
     """
     n, k = votes.shape
-    q = np.clip(votes.mean(1) / max(1e-9, votes.mean(1).max(initial=0)), 0.01, 0.99) if votes.any() else np.full(n, prior)
-    share, correlation, rates = np.ones(k), np.eye(k), np.full((2, k), 0.5)
+    # voters that all but copy each other count as one from the start, or they would make a class of their own
+    centered = votes - votes.mean(0)
+    lengths = np.maximum(np.sqrt((centered**2).sum(0)), 1e-9)
+    copies = 1 / np.maximum(1, ((centered.T @ centered) / np.outer(lengths, lengths) > 0.95).sum(1))
+    level = votes @ copies
+    q = np.clip(level / max(1e-9, level.max(initial=0)), 0.01, 0.99) if votes.any() else np.full(n, prior)
+    share, correlation, rates = copies, np.eye(k), np.full((2, k), 0.5)
     for step in range(rounds):
         weight = np.stack([1 - q, q])
         rates = (weight @ votes + np.array([[0.02], [0.5]])) / (weight.sum(1, keepdims=True) + 1.0)
@@ -99,7 +104,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
             covariance = sum((r * w[:, None]).T @ r for r, w in zip(rest, weight, strict=True)) / n
             spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
             correlation = np.clip(covariance / np.outer(spread, spread), -1, 1)
-            share = 1 / np.maximum(1, np.abs(np.where(np.abs(correlation) > 0.1, correlation, 0)).sum(1))
+            share = np.minimum(copies, 1 / np.maximum(1, np.abs(np.where(np.abs(correlation) > 0.1, correlation, 0)).sum(1)))
         gain = np.where(votes, np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))) @ share
         new = 1 / (1 + np.exp(-np.clip(gain + np.log(prior / (1 - prior)), -30, 30)))
         if np.abs(new - q).max(initial=0) < 1e-6 and step > 10:
@@ -109,7 +114,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     return q, {"rates": rates, "correlation": correlation, "share": share}
 
 
-def linear(rows: np.ndarray, columns: np.ndarray, marks: np.ndarray, q: np.ndarray, k: int, rounds: int = 1500, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def linear(rows: np.ndarray, columns: np.ndarray, marks: np.ndarray, q: np.ndarray, k: int, rounds: int = 1000, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels q: gradient steps with momentum. Columns are (entries, patterns)."""
     n = len(q)
     x = np.zeros((n, k + marks.shape[1]), np.float32)
