@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -9,8 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/wayline-checkpoints"
+#: Used only where the session names no shared folder (tests on one machine), and removed at the end.
+LOCAL_CHECKPOINTS = f"/tmp/wayline-checkpoints-{os.getpid()}"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else LOCAL_CHECKPOINTS
+        if not held.isDefined():
+            atexit.register(shutil.rmtree, LOCAL_CHECKPOINTS, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get()
     return named.rstrip("/")
 
 
