@@ -128,6 +128,8 @@ def test_near_duplicates_odd_rows(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d, 3, 85).collect()), key=str)
     assert got == sorted([(5, 2, False), (5, 2, False), (2, 2, True), (None, None, True), (9, 9, True)], key=str)
     assert minhash.near_duplicates(d.limit(0), 3, 85).count() == 0
+    two = spark.createDataFrame([(7, text), (7, "one two three four"), (4, "one two three four"), (3, text + " y")], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(two, 3, 85).collect()} == {3}  # 7 is both texts
     again = spark.createDataFrame([(1, "a b c d", "p"), (1, "a b c d", "p"), (2, "e f g h", "q")], "doc_id long, text string, row string")
     assert sorted(r["doc_id"] for r in minhash.keep_one(again).collect()) == [1, 2]
 

@@ -104,8 +104,8 @@ def _sign(k: int, bands: int):
                         keys.append(mix(mix(coded.reshape(bands, ROWS).sum(1, dtype=np.uint64)) + which).view(np.int64))
                     else:
                         keys.append(None)
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "low", "high", "bands"])
+                columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "n", "low", "high", "bands"])
 
     return sign
 
@@ -180,20 +180,20 @@ def across(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign(k, bands_for(percent)), "doc_id long, n long, low long, high long, bands array<long>"), "minhash-signed")
-    there = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    # equal sets: one class, known by its smallest id
-    classes = cut(there.groupBy("low", "high", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("_copies")), "minhash-classes")
+    # a row is known by its id and text together, so that a repeated id may have several texts
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("doc_id", F.xxhash64("id", "text"))
+    signed = cut(docs.select("id", "text", "doc_id").mapInArrow(_sign(k, bands_for(percent)), "id long, doc_id long, n long, low long, high long, bands array<long>"), "minhash-signed")
+    there = signed.filter("n > 0 AND id IS NOT NULL")
+    repeated = _repeats(signed, "id")
+    # equal sets: one class, known by one of its rows
+    classes = cut(there.groupBy("low", "high", "n").agg(F.min("doc_id").alias("a"), F.min("id").alias("first"), F.count("*").alias("copies")), "minhash-classes")
     members = cut(there.join(classes.select(F.col("a").alias("doc_id"), "low", "high", "n"), ["doc_id", "low", "high", "n"], "left_semi").dropDuplicates(["doc_id", "low", "high", "n"]).select("doc_id", "n", F.explode("bands").alias("band")), "minhash-members")
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     hubs = members.select("band", "doc_id").join(buckets, "band").filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     pairs = cut(hubs.distinct(), "minhash-pairs")
     cluster = components(pairs)
-    texts = within(docs.filter("doc_id IS NOT NULL"), cluster.select("id"))
-    if _repeats(signed):  # the text of such an id would be ambiguous
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = cut(texts, "minhash-texts")
+    texts = within(docs.filter("id IS NOT NULL").select("doc_id", "text"), cluster.select("id"))
+    texts = cut(texts.dropDuplicates(["doc_id"]) if repeated else texts, "minhash-texts")
     links = confirm(pairs, texts, k, percent)
     joined = components(links)
     sizes = members.select("doc_id", "n").distinct()
@@ -201,20 +201,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = across(known, texts, k, percent)
     if not more.isEmpty():
         joined = components(links.unionByName(more))
-    # copies get their class's component; the rest stand alone
-    of = classes.join(joined.select(F.col("id").alias("a"), "component"), "a", "left").filter("_copies > 1 OR component IS NOT NULL").select("low", "high", "n", F.coalesce("component", "a").alias("component"))
-    if _repeats(signed):  # an id's rows join what any of them is linked to
-        own = there.join(of, ["low", "high", "n"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("b"))
-        more = components(own.select(F.col("doc_id").alias("a"), "b"))
-        component = signed.join(more.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    else:
-        component = signed.join(of, ["low", "high", "n"], "left")
-    best = F.coalesce("component", "doc_id")
-    return component.select("doc_id", F.col("n").alias("n_shingles"), best.alias("component_id"), F.col("doc_id").eqNullSafe(best).alias("kept"))
-
-
-def _repeats(signed: DataFrame) -> bool:
-    return not signed.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    # copies and links get the smallest id of their component; the rest stand alone
+    told = classes.join(joined.select(F.col("id").alias("a"), "component"), "a", "left").filter("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "a"))
+    smallest = told.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = told.join(smallest, "component").select("low", "high", "n", "component_id")
+    own = signed.join(of, ["low", "high", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    if repeated:  # an id's rows join what any of them is linked to
+        more = components(own.filter("id IS NOT NULL").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+        own = own.join(more.select("id", "component"), "id", "left").withColumn("component_id", F.coalesce("component", "component_id"))
+    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _repeats(rows: DataFrame, column: str = "doc_id") -> bool:
+    return not rows.filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").isEmpty()
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
