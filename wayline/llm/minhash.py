@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import chunks, cut, mix, within, without, word_hashes
+from .shared import chunks, cut, give_back, mix, within, without, word_hashes
 
 #: Places in a band, and the chance that a pair right at the threshold shares no band.
 ROWS, MISS = 6, 1e-4
@@ -106,6 +106,7 @@ def _sign(k: int, bands: int):
                         keys.append(None)
                 columns = [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "n", "low", "high", "bands"])
+            give_back()
 
     return sign
 
@@ -126,8 +127,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     shared = len(np.intersect1d(last[1], other, assume_unique=True))
                     keep.append(shared > 0 and 100 * shared >= percent * (len(last[1]) + len(other) - shared))
                 yield part.loc[keep, ["a", "b"]]
+            give_back()
 
-    return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(alike, "a long, b long"), "minhash-alike")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(alike, "a long, b long"), "minhash-alike", texts=True)
 
 
 def _reached(part: pd.DataFrame, k: int, percent: int) -> list[tuple[int, int]]:
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     # a row is known by its id and text together, so that a repeated id may have several texts
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("doc_id", F.xxhash64("id", "text"))
-    signed = cut(docs.select("id", "text", "doc_id").mapInArrow(_sign(k, bands_for(percent)), "id long, doc_id long, n long, low long, high long, bands array<long>"), "minhash-signed")
+    signed = cut(docs.select("id", "text", "doc_id").mapInArrow(_sign(k, bands_for(percent)), "id long, doc_id long, n long, low long, high long, bands array<long>"), "minhash-signed", texts=True)
     there = signed.filter("n > 0 AND id IS NOT NULL")
     repeated = _repeats(signed, "id")
     # equal sets: one class, known by one of its rows

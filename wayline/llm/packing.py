@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, give_back
 
 #: Parts in which the pieces of one length are numbered.
 BUCKETS = 256
@@ -34,7 +34,7 @@ BUCKETS = 256
 GROUPS = 96
 #: Pieces of at least capacity / SMALL are large, so a configuration has at most SMALL of them.
 SMALL = 8
-#: Cached words of a worker; it starts anew when full.
+#: Cached runs and words of a worker; it starts anew when full.
 CACHED = 600_000
 
 
@@ -51,7 +51,6 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
         # Latin letters with at most stops behind them need neither the normaliser nor the pre-tokeniser
         self.plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
         letters = [c for c in map(chr, range(0x41, 0x100)) if self.plain(c)]
@@ -60,7 +59,6 @@ class WordIds(dict):
     def __missing__(self, run: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-            self.words.clear()
         if found := self.plain(run):
             ids = self.word(found[1].lower()) + (self.word(found[2]) if found[2] else b"")
         else:
@@ -70,8 +68,10 @@ class WordIds(dict):
         return ids
 
     def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.spelt))], "<u4").tobytes()
+        if (ids := self.get(word)) is None:
+            ids = np.array([t.id for t in self.model.tokenize(word.translate(self.spelt))], "<u4").tobytes()
+            if len(word) <= 64:
+                self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -87,9 +87,9 @@ def _cutter(vocabulary: str, capacity: int, keep_ids: bool):
             _KNOWN[vocabulary] = WordIds(vocabulary)
         known = _KNOWN[vocabulary]
         for batch in batches:
+            part = rows = columns = None
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows: list[tuple] = []
+                part, rows = batch.slice(at, 500), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = (known.ids(text) if text else b"") + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(raw), 4 * capacity)):
@@ -99,6 +99,8 @@ def _cutter(vocabulary: str, capacity: int, keep_ids: bool):
                 kinds = (batch.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: 5 + keep_ids], names[: 5 + keep_ids])
+            del batch, part, rows, columns  # before the next batch comes
+            give_back()
 
     return pieces
 
@@ -310,7 +312,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of docs (doc_id, text)."""
-    placed = place(cut(cut_pieces(docs, vocabulary, capacity), "pack-pieces"), capacity)
+    placed = place(cut(cut_pieces(docs, vocabulary, capacity), "pack-pieces", texts=True), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -25,16 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, cut, without
+from .shared import BROADCAST_IDS, cut, give_back, without
 
 ORDER, BITS = 4, 12
-#: Bytes of text in a batch; the quantile, the least number of trusted unseen texts of a language, and the characters a text is smoothed by.
-BATCH, QUANTILE, LEAST, PRIOR = 24 << 20, 0.998, 50, 64
+#: Bytes of text in a batch, and what a row counts besides; the quantile, the least number of trusted unseen texts of a language, and the characters a text is smoothed by.
+BATCH, ROW, QUANTILE, LEAST, PRIOR = 24 << 20, 64, 0.998, 50, 64
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +91,7 @@ def counts(docs: DataFrame) -> DataFrame:
                         keys, sums = keys[:0], sums[:0]
         keys, sums = settled(keys, sums)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["run", "n"])
+        give_back()
 
     return docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
@@ -142,14 +144,18 @@ def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -
 
 
 def _batched(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Slices of the task's rows until their texts reach BATCH bytes, with a number that both readings give alike."""
+    """Slices of the task's rows until their texts reach BATCH bytes, with a number that both readings give alike, however Arrow cuts the rows."""
     part, size, k = [], 0, 0
     first = TaskContext.get().partitionId() << 24
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            own = batch.slice(at, 256)
-            part.append(own)
-            size += own.column(text).nbytes
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(lengths.astype(np.int64) + ROW)])
+        at = 0
+        while at < batch.num_rows:
+            end = min(batch.num_rows, int(np.searchsorted(before, before[at] + BATCH - size, "right")))
+            part.append(batch.slice(at, end - at))
+            size += int(before[end] - before[at])
+            at = end
             if size > BATCH:
                 yield first + k, part
                 part, size, k = [], 0, k + 1
@@ -170,6 +176,7 @@ def _asked(docs: DataFrame) -> DataFrame:
                     seen, waiting, held = np.unique(np.concatenate([seen, *waiting])), [], 0
             seen = np.unique(np.concatenate([seen, *waiting]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), batch, np.int64)), pa.array(seen)], ["batch", "run"])
+            give_back()
 
     return docs.mapInArrow(ask, "batch long, run long")
 
@@ -194,8 +201,8 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text", "lang")
     if any(x in own._jdf.queryExecution().sparkPlan().toString() for x in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Python", "Arrow")):
         own = cut(own, "quality-docs")
-    tables = model(cut(counts(trusted), f"quality-n{ORDER}"))
-    asked = cut(_asked(own), "quality-asked")
+    tables = model(cut(counts(trusted), f"quality-n{ORDER}", texts=True))
+    asked = cut(_asked(own), "quality-asked", texts=True)
     answers = asked.join(probabilities(asked, tables), "run").select("batch", "run", "log_p")
     kind = own.schema["doc_id"].dataType.simpleString()
 
@@ -221,6 +228,7 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             n = np.concatenate(lengths)
             value = np.where(n > 0, -np.concatenate(sums) / np.maximum(n, 1), np.nan)
             out.append(pd.DataFrame({"doc_id": pd.array(rows.column("doc_id").to_pylist(), dtype="object"), "lang": rows.column("lang").to_pylist(), "n_chars": n, "log_ppl": [v if c else None for v, c in zip(value.tolist(), n.tolist(), strict=True)]}))
+        give_back()
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "log_ppl": []})
 
     # a batch's rows stand in one group of bounded size: its texts and their distinct runs

@@ -1,14 +1,16 @@
-"""Helpers that several operators use: cutting lineage, the fold of a row, word hashing in numpy."""
+"""Helpers that several operators use: cutting lineage, the fold of a row, word hashing in numpy, a worker's memory."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before."""
+#: Rows in an Arrow batch where whole texts go to Python.
+TEXT_ROWS = 1000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
+
+    texts: df sends whole texts to Python, so while it is written Arrow batches are small: both sides hold a batch or two for each task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(BATCH_ROWS)
+    if texts:
+        spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if texts:
+            spark.conf.set(BATCH_ROWS, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +78,14 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers live on after a stage, beside the JVM and the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, word_hashes
+from .shared import chunks, give_back, mix, word_hashes
 
 #: Rows of the sample expected, entries of the lexicons at most, lexicon voters, the least strength (log-likelihood ratio) of an entry, and the least share of toxic texts among those that hold it.
 SAMPLE, FEATURES, LEXICONS, STRENGTH, PURITY = 8000, 1024, 6, 18.0, 0.85
@@ -198,6 +198,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = batch.slice(at, 1000)
                 p = model.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array((p >= LEVEL).astype(np.int32))], ["doc_id", "score", "predicted"])
+            give_back()
 
     return own.mapInArrow(score, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
@@ -212,5 +213,6 @@ def clean(docs: DataFrame, model: Model | None) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 yield part.filter(pa.array(model.score(part.column(part.schema.get_field_index("text")).to_pylist()) < LEVEL))
+            give_back()
 
     return docs.mapInArrow(keep, docs.schema)
