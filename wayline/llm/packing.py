@@ -87,7 +87,7 @@ def _cutter(vocabulary: str, capacity: int, keep_ids: bool):
             _KNOWN[vocabulary] = WordIds(vocabulary)
         known = _KNOWN[vocabulary]
         for batch in batches:
-            part = rows = columns = None
+            part = rows = columns = None  # a batch may be empty
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -100,7 +100,8 @@ def _cutter(vocabulary: str, capacity: int, keep_ids: bool):
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: 5 + keep_ids], names[: 5 + keep_ids])
             del batch, part, rows, columns  # before the next batch comes
-            give_back()
+        known.clear()  # a worker may live on without packing again
+        give_back()
 
     return pieces
 
