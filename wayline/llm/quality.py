@@ -20,7 +20,7 @@ each get their result. Without trusted text every character is equally likely.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[own[: len(packed)]], np.cumsum(lengths)
 
 
-def _parts(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
+def _parts(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
         text = text or ""
@@ -169,12 +169,13 @@ def _asked(docs: DataFrame) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, parts in _batched(batches, 1):
             seen, waiting, held = np.zeros(0, np.int64), [], 0
-            for part in _parts([t for p in parts for t in p.column(1).to_pylist()]):
+            for part in _parts(t for p in parts for t in p.column(1).to_pylist()):
                 waiting.append(np.unique(runs(part)[0]))
                 held += len(waiting[-1])
                 if held > 1 << 20:
                     seen, waiting, held = np.unique(np.concatenate([seen, *waiting])), [], 0
             seen = np.unique(np.concatenate([seen, *waiting]))
+            del parts, waiting
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), batch, np.int64)), pa.array(seen)], ["batch", "run"])
             give_back()
 
@@ -192,6 +193,8 @@ def _compressed(docs: DataFrame) -> DataFrame:
                     stream.write_batch(p)
             blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([blob], pa.binary())], ["batch", "blob"])
+            del parts, p, sink, stream, blob
+            give_back()
 
     return docs.mapInArrow(squeeze, "batch long, blob binary")
 
@@ -213,7 +216,7 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         for blob in blobs["blob"]:
             rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
             sums, lengths = [], []
-            for part in _parts(rows.column("text").to_pylist()):
+            for part in _parts(t for b in rows.to_batches() for t in b.column("text").to_pylist()):
                 packed, ends = runs(part)
                 if len(packed):
                     at = np.minimum(np.searchsorted(keys, packed), max(0, len(keys) - 1))
