@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     told = classes.join(joined.select(F.col("id").alias("a"), "component"), "a", "left").filter("copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "a"))
     smallest = told.groupBy("component").agg(F.min("first").alias("component_id"))
     of = told.join(smallest, "component").select("low", "high", "n", "component_id")
-    own = signed.join(of, ["low", "high", "n"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    own = signed.join(of, ["low", "high", "n"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     if repeated:  # an id's rows join what any of them is linked to
         more = components(own.filter("id IS NOT NULL").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         own = own.join(more.select("id", "component"), "id", "left").withColumn("component_id", F.coalesce("component", "component_id"))
