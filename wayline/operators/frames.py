@@ -71,19 +71,22 @@ def previous(detections: DataFrame, assigned: DataFrame, ring: int = C.RING) ->
     return pairs.select(*FRAME, "det_idx", "gid", (F.col("iou") * 2.0 - F.col("dist") / C.CENTER_NEAR * 0.25).alias("score"))
 
 
-def gate(pending: DataFrame, identities: DataFrame) -> DataFrame:
-    """Identities that some pending detection could be: once one passes, the identity is scored against all of them."""
+def gate(pending: DataFrame, identities: DataFrame, key: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Identities that some pending detection of the same key could be: once one passes, the identity is scored against all of them."""
     ok = scoring.can_match(F.col("now_ms"), F.col("cam_name"), F.col("map_x"), F.col("map_y"), F.col("box_w"), F.col("box_h"))
-    return identities.join(pending.select("site_id", "now_ms", "cam_name", "map_x", "map_y", "box_w", "box_h").withColumnRenamed("site_id", "_site"), (F.col("site_id") == F.col("_site")) & ok, "left_semi")
+    own = pending.select(*[F.col(k).alias(f"_{k}") for k in key], "now_ms", "cam_name", "map_x", "map_y", "box_w", "box_h")
+    for k in key:
+        ok = (F.col(k) == F.col(f"_{k}")) & ok
+    return identities.join(own, ok, "left_semi")
 
 
-def scored(pending: DataFrame, identities: DataFrame) -> DataFrame:
-    """All pairs of pending detections and identities of a site with their parts and score.
+def scored(pending: DataFrame, identities: DataFrame, key: Sequence[str] = ("site_id",)) -> DataFrame:
+    """All pairs of pending detections and identities of a key (site, or site and frame) with their parts and score.
 
     pending: site_id, det_id, cam_name, now_ms, emb, map_x/y, center_x/y, box_w/h, overlap, forced_gid. identities: site_id, gid, template, gallery,
     the id_ columns, and the camera and centers of the last sightings (h_cam, h_cx, h_cy, h_ms, h_w, h_h and b_cx, b_cy, b_ms before).
     """
-    pairs = pending.join(identities, "site_id")
+    pairs = pending.join(identities, list(key))
     same = F.col("id_last_cam") == F.col("cam_name")
     known = F.coalesce(F.col("h_cam") == F.col("cam_name"), F.lit(False))
     px, py = scoring.predicted(F.col("now_ms"), F.col("h_cx"), F.col("h_cy"), F.col("h_ms"), F.col("b_cx"), F.col("b_cy"), F.col("b_ms"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import constants as C
-from wayline.functions import geometry, scoring
+from wayline.functions import geometry, scoring, vectors
 from wayline.sources.detections import newest
 
 #: Order of sightings: time, then the detection's number.
@@ -99,3 +103,56 @@ def by_local_track(detections: DataFrame, tracks: DataFrame, idle: float = C.MAX
     joined = detections.join(tracks, ["cam_name", "tid"], "left")
     fresh = F.col("ts_ms") - F.col("known_ms") <= int(idle * 1000)
     return joined.withColumn("known_gid", F.when(fresh, F.col("known_gid")))
+
+
+# ---- identities as known at a frame
+
+_IDENTITY, _ORDER = ["site_id", "gid"], ["frame_no", "ts_ms", "det_id"]
+
+
+def running_templates(sightings: DataFrame) -> DataFrame:
+    """site_id, gid, det_id and the identity's template after each sighting. A template is sequential by its meaning: a task streams
+    through its identities in order and holds one vector."""
+
+    def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, held = None, None
+        for rows in batches:
+            out = []
+            for site, gid, emb in zip(rows["site_id"].tolist(), rows["gid"].tolist(), rows["emb"], strict=True):
+                if (site, gid) != known:
+                    known, held = (site, gid), None
+                if emb is not None:
+                    held = _unit(emb) if held is None else _unit(held * C.KEEP + _unit(emb) * (1 - C.KEEP))
+                out.append(held)
+            yield rows[[*_IDENTITY, "det_id"]].assign(template=out)
+
+    ordered = sightings.select(*_IDENTITY, *_ORDER, F.col("emb").cast("array<double>").alias("emb")).repartition(*_IDENTITY).sortWithinPartitions(*_IDENTITY, *_ORDER)
+    kinds = [f"{c} {sightings.schema[c].dataType.simpleString()}" for c in [*_IDENTITY, "det_id"]]
+    return ordered.mapInPandas(mixed, ", ".join([*kinds, "template array<double>"]))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(v)
+    return v if size < vectors.TINY else v / size
+
+
+def known_before(sightings: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """For each frame of a site, the identities seen in any frame before it, as frames.gate (and with templates frames.scored) takes them.
+
+    What is known of an identity changes with its sightings only: the last of a frame holds from the next frame until the identity's next one, or
+    the site's end. It is repeated for each frame between, so that frames meet it by equality.
+    """
+    own = Window.partitionBy(*_IDENTITY).orderBy(*_ORDER)
+    on_camera = Window.partitionBy(*_IDENTITY, "cam_name").orderBy(*_ORDER)
+    # the sighting before the last, if on the same camera, gives the velocity
+    back = {n: F.lag(c).over(on_camera) for n, c in (("b_cx", "center_x"), ("b_cy", "center_y"), ("b_ms", "ts_ms"))}
+    s = sightings.withColumns(back | {"_next": F.lead("frame_no").over(own)})
+    if templates is not None:
+        s = s.withColumn("gallery", F.collect_list(vectors.normalized(F.col("emb"))).over(own.rowsBetween(1 - C.GALLERY, 0)))
+    end = F.broadcast(sightings.groupBy("site_id").agg(F.max("frame_no").alias("_end")))
+    s = s.filter("_next IS NULL OR _next > frame_no").join(end, "site_id").withColumn("_until", F.coalesce("_next", "_end")).filter("_until > frame_no")
+    names = {"id_last_cam": "cam_name", "id_last_ms": "ts_ms", "id_map_x": "map_x", "id_map_y": "map_y", "id_box_w": "box_w", "id_box_h": "box_h", "h_cam": "cam_name", "h_cx": "center_x", "h_cy": "center_y", "h_ms": "ts_ms", "h_w": "box_w", "h_h": "box_h"}
+    kept = [*_IDENTITY, *[F.col(v).alias(k) for k, v in names.items()], *back]
+    if templates is not None:
+        s, kept = s.join(templates, [*_IDENTITY, "det_id"]), [*kept, "gallery", "template"]
+    return s.select(*kept, F.explode(F.sequence(F.col("frame_no") + 1, F.col("_until"))).alias("frame_no"))

@@ -335,46 +335,40 @@ def greedy_match(d: DataFrame) -> DataFrame:
     return matching.greedy_frames(frames.previous(d, d.withColumn("gid", F.col("person"))))
 
 
-def snapshot(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What an assigner faces at one frame near the end: the frame's detections, and identities from all that came before."""
+#: What the detections of a frame and the identities known before it share.
+MOMENT = ["site_id", "frame_no"]
+
+
+def moments(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an assigner faces at every frame: the frame's detections, and the identities from all frames before it."""
     s = sightings(d).withColumn("site_id", F.lit(0))
-    cut = d.agg(F.least(F.lit(290), F.max("frame_no") - 3).alias("_cut"))
-    s = s.join(F.broadcast(cut))
-    flags = frames.flagged(s.filter("frame_no = _cut")).drop("gid").withColumns({"now_ms": F.col("ts_ms"), "forced_gid": F.col("person")})
-    past = s.filter("frame_no < _cut")
-    newest = lambda n: F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("ts_ms"), F.desc("det_id"))) == n
-    keep = ["site_id", "gid", "cam_name", "ts_ms", "map_x", "map_y", "box_w", "box_h", "center_x", "center_y"]
-    last = past.withColumn("_n", newest(1)).filter("_n").select(keep)
-    names = {"cam_name": "id_last_cam", "ts_ms": "id_last_ms", "map_x": "id_map_x", "map_y": "id_map_y", "box_w": "id_box_w", "box_h": "id_box_h"}
-    last = last.select("site_id", "gid", *[F.col(k).alias(v) for k, v in names.items()], F.col("cam_name").alias("h_cam"), F.col("center_x").alias("h_cx"), F.col("center_y").alias("h_cy"), F.col("ts_ms").alias("h_ms"), F.col("box_w").alias("h_w"), F.col("box_h").alias("h_h"))
-    # the sighting before the last, if on the same camera, gives the velocity
-    back = Window.partitionBy("gid", "cam_name").orderBy(F.desc("ts_ms"), F.desc("det_id"))
-    before = past.withColumn("_n", F.row_number().over(back)).filter("_n = 2").select(F.col("gid").alias("b_gid"), F.col("cam_name").alias("b_cam"), F.col("center_x").alias("b_cx"), F.col("center_y").alias("b_cy"), F.col("ts_ms").alias("b_ms"))
-    identities = last.join(before, (F.col("gid") == F.col("b_gid")) & (F.col("h_cam") == F.col("b_cam")), "left").drop("b_gid", "b_cam")
-    identities = identities.join(vectors.galleries(past, ["gid"], ["ts_ms", "det_id"]), "gid").join(vectors.templates(past, ["gid"], ["ts_ms", "det_id"]), "gid")
-    return flags, identities
+    return frames.flagged(s).drop("gid").withColumns({"now_ms": F.col("ts_ms"), "forced_gid": F.col("person")}), s
+
+
+def scored(d: DataFrame) -> DataFrame:
+    pending, s = moments(d)
+    return frames.scored(pending, history.known_before(s, history.running_templates(s)), MOMENT)
 
 
 @query
 def pair_scores(d: DataFrame) -> DataFrame:
-    s = frames.scored(*snapshot(d))
-    return s.select("det_id", "gid", *[r6(F.col(c)).alias(c) for c in ("appearance", "motion", "map", "time", "score")])
+    return scored(d).select("det_id", "gid", *[r6(F.col(c)).alias(c) for c in ("appearance", "motion", "map", "time", "score")])
 
 
 @query
 def accept_match(d: DataFrame) -> DataFrame:
-    return frames.scored(*snapshot(d)).filter("accepted").select("det_id", "gid")
+    return scored(d).filter("accepted").select("det_id", "gid")
 
 
 @query
 def candidate_gate(d: DataFrame) -> DataFrame:
-    pending, identities = snapshot(d)
-    return frames.gate(pending, identities).select("gid", "id_last_cam", "id_last_ms")
+    pending, s = moments(d)
+    return frames.gate(pending, history.known_before(s), MOMENT).select("frame_no", "gid", "id_last_cam", "id_last_ms")
 
 
 @query
 def optimal_assign(d: DataFrame) -> DataFrame:
-    return matching.optimal_groups(frames.scored(*snapshot(d)).select("now_ms", "det_id", "gid", "score"), ["now_ms"], "det_id", "gid", "score")
+    return matching.optimal_groups(scored(d).select("now_ms", "det_id", "gid", "score"), ["now_ms"], "det_id", "gid", "score")
 
 
 @query
