@@ -13,9 +13,9 @@ Scale: what is shuffled is distinct runs of each batch and compressed texts, onc
 BROADCAST_IDS of them and shuffled beyond. The texts are read twice with the same partitions; docs that come from a
 shuffle are written out first.
 
-Defined results: null and empty texts have no perplexity and are not rejected. A null language is a group of its own. Languages
-with fewer than LEAST trusted unseen texts use the threshold of all languages; without any, nothing is rejected. Repeated rows
-each get their result. Without trusted text every character is equally likely.
+Defined results: null and empty texts have no perplexity and are not rejected. A null language is a group of its own. A
+language's threshold is its median plus a quantile of what lies above it; both are its own, drawn towards those of all languages the
+more the fewer trusted unseen texts it has. Without any in any language, nothing is rejected. Repeated rows each get their result. Without trusted text every character is equally likely.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_IDS, cut, give_back, without
 
 ORDER, BITS = 4, 12
-#: Bytes of text in a batch, and what a row counts besides; the quantile, the least number of trusted unseen texts of a language, and the characters a text is smoothed by.
-BATCH, ROW, QUANTILE, LEAST, PRIOR = 24 << 20, 64, 0.998, 50, 64
+#: Bytes of text in a batch, and what a row counts besides; the quantile, and the characters a text is smoothed by.
+BATCH, ROW, QUANTILE, PRIOR = 24 << 20, 64, 0.998, 64
+#: As how many texts of a language the figures of all languages count, in its median and in its quantile above the median.
+USUAL_WEIGHT, MOST_WEIGHT = 1, 50
 
 
 def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,24 +250,28 @@ def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float
     taught = good.filter(~calibrate)
     known = F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught
     scored = cut(score(docs, docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), "quality-scores")
-    # a language's figures are one row each; those with too few texts use the figures of all
+    # a language's figures are one row each
     lang = F.struct("lang")
     unseen = scored.filter("log_ppl IS NOT NULL").join(good.filter(calibrate), "doc_id", "left_semi")
 
-    def levels(rows: DataFrame, value: str, share: float, name: str) -> tuple[DataFrame, DataFrame]:
-        level = F.percentile_approx(value, F.lit(share), F.lit(10000)).alias(name)
-        own = rows.groupBy(lang.alias("_lang")).agg(level, F.count("*").alias("_n")).filter(F.col("_n") >= LEAST).drop("_n")
-        return own, rows.agg(level.alias(f"{name}_all"))
+    def levels(rows: DataFrame, value: Column, share: float) -> tuple[DataFrame, DataFrame]:
+        level = F.percentile_approx(value, F.lit(share), F.lit(10000))
+        return rows.groupBy(lang.alias("_lang")).agg(level.alias("_own"), F.count("*").alias("_n")), rows.agg(level.alias("_all"))
 
-    def with_levels(rows: DataFrame, own: DataFrame, every: DataFrame, name: str) -> DataFrame:
-        joined = rows.join(F.broadcast(every)).withColumn("_key", lang).join(own, F.col("_key") == F.col("_lang"), "left")
-        return joined.withColumn(name, F.coalesce(name, f"{name}_all")).drop("_key", "_lang", f"{name}_all")
+    def with_levels(rows: DataFrame, found: tuple[DataFrame, DataFrame], name: str, base: Column, weight: int) -> DataFrame:
+        """A language's level is its own, with the level of all counting as so many more texts."""
+        own, every = found
+        joined = rows.join(F.broadcast(every)).withColumn("_key", lang).join(F.broadcast(own), F.col("_key") == F.col("_lang"), "left")
+        n = F.coalesce("_n", F.lit(0))
+        level = (F.coalesce("_own", F.lit(0.0)) * n + F.col("_all") * weight) / (n + weight)
+        return joined.withColumn(name, base + level).drop("_key", "_lang", "_own", "_all", "_n")
 
     # a short text says little: it counts as if PRIOR characters of its language's usual perplexity stood before it
     shrunk = (F.col("log_ppl") * F.col("n_chars") + F.col("_usual") * PRIOR) / (F.col("n_chars") + PRIOR)
-    usual = levels(unseen, "log_ppl", 0.5, "_usual")
-    most = levels(with_levels(unseen, *usual, "_usual").withColumn("_shrunk", shrunk), "_shrunk", quantile, "_most")
-    judged = with_levels(with_levels(scored, *usual, "_usual"), *most, "_most")
+    usual = levels(unseen, F.col("log_ppl"), 0.5)
+    # how far a text may lie above its language's usual perplexity
+    most = levels(with_levels(unseen, usual, "_usual", F.lit(0.0), USUAL_WEIGHT), shrunk - F.col("_usual"), quantile)
+    judged = with_levels(with_levels(scored, usual, "_usual", F.lit(0.0), USUAL_WEIGHT), most, "_most", F.col("_usual"), MOST_WEIGHT)
     return judged.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp("_most").alias("threshold"), F.coalesce(shrunk > F.col("_most"), F.lit(False)).alias("rejected"))
 
 
