@@ -23,17 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .shared import BROADCAST_IDS, cut, give_back, without
 
-ORDER, BITS = 4, 12
+ORDER, BITS = 5, 12
 #: Bytes of text in a batch, and what a row counts besides; the quantile, and the characters a text is smoothed by.
 BATCH, ROW, QUANTILE, PRIOR = 24 << 20, 64, 0.998, 64
 #: As how many texts of a language the figures of all languages count, in its median and in its quantile above the median.
@@ -210,34 +210,33 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     asked = cut(_asked(own), "quality-asked", texts=True)
     answers = asked.join(probabilities(asked, tables), "run").select("batch", "run", "log_p")
     kind = own.schema["doc_id"].dataType.simpleString()
-
-    def read(blobs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(found["run"].to_numpy())
-        keys, logs = found["run"].to_numpy()[order], found["log_p"].to_numpy()[order].astype(np.float64)
-        out = []
-        for blob in blobs["blob"]:
-            rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
-            sums, lengths = [], []
-            for part in _parts(t for b in rows.to_batches() for t in b.column("text").to_pylist()):
-                packed, ends = runs(part)
-                if len(packed):
+    schema = to_arrow_schema(own.select("doc_id", "lang", F.lit(0).cast("long").alias("n_chars"), F.lit(0.0).alias("log_ppl")).schema)
+
+    def read(blobs: pa.Table, found: pa.Table) -> pa.Table:
+        keys, logs = found.column("run").to_numpy(), found.column("log_p").to_numpy()
+        order = np.argsort(keys)
+        keys, logs = keys[order], logs[order]
+        out = [schema.empty_table()]
+        for blob in blobs.column("blob"):
+            for rows in pa.ipc.open_stream(zstandard.ZstdDecompressor().stream_reader(blob.as_buffer())):
+                sums, lengths = [np.zeros(0)], [np.zeros(0, np.int64)]
+                for part in _parts(rows.column("text").to_pylist()):
+                    packed, ends = runs(part)
                     at = np.minimum(np.searchsorted(keys, packed), max(0, len(keys) - 1))
-                    if not len(keys) or (keys[at] != packed).any():
+                    if len(packed) and (not len(keys) or (keys[at] != packed).any()):
                         raise ValueError("the two readings of docs differ: write docs out first")
-                    total = np.concatenate([[0.0], np.cumsum(logs[at])])
-                else:
-                    total = np.zeros(1)
-                starts = np.concatenate([[0], ends[:-1]])
-                sums.append(total[ends] - total[starts])
-                lengths.append(ends - starts)
-            n = np.concatenate(lengths)
-            value = np.where(n > 0, -np.concatenate(sums) / np.maximum(n, 1), np.nan)
-            out.append(pd.DataFrame({"doc_id": pd.array(rows.column("doc_id").to_pylist(), dtype="object"), "lang": rows.column("lang").to_pylist(), "n_chars": n, "log_ppl": [v if c else None for v, c in zip(value.tolist(), n.tolist(), strict=True)]}))
+                    total = np.concatenate([[0.0], np.cumsum(logs[at], dtype=np.float64)]) if len(packed) else np.zeros(1)
+                    starts = np.concatenate([[0], ends[:-1]])
+                    sums.append(total[ends] - total[starts])
+                    lengths.append(ends - starts)
+                n = np.concatenate(lengths)
+                value = pa.array(-np.concatenate(sums) / np.maximum(n, 1), mask=n == 0)
+                out.append(pa.table([rows.column("doc_id"), rows.column("lang"), pa.array(n), value], schema=schema))
         give_back()
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "log_ppl": []})
+        return pa.concat_tables(out)
 
     # a batch's rows stand in one group of bounded size: its texts and their distinct runs
-    return _compressed(own).groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(read, f"doc_id {kind}, lang string, n_chars long, log_ppl double")
+    return _compressed(own).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(read, f"doc_id {kind}, lang string, n_chars long, log_ppl double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float = QUANTILE) -> DataFrame:
