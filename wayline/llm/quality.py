@@ -36,6 +36,8 @@ from .shared import BROADCAST_IDS, cut, give_back, without
 ORDER, BITS = 5, 12
 #: Bytes of text in a batch, and what a row counts besides; the quantile, and the characters a text is smoothed by.
 BATCH, ROW, QUANTILE, PRIOR = 24 << 20, 64, 0.998, 64
+#: Runs that a task gathers before it adds them up.
+HELD = 1 << 19
 #: As how many texts of a language the figures of all languages count, in its median and in its quantile above the median.
 USUAL_WEIGHT, MOST_WEIGHT = 1, 50
 
@@ -58,7 +60,7 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[own[: len(packed)]], np.cumsum(lengths)
 
 
-def _parts(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
+def _parts(texts: Iterable[str | None], limit: int = 1 << 18) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
         text = text or ""
@@ -71,27 +73,33 @@ def _parts(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[s
         yield part
 
 
+def _added(keys: np.ndarray, sums: np.ndarray, more: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their sums, with more of both."""
+    keys, sums = np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([sums, *(n for _, n in more)])
+    if not len(keys):
+        return keys, sums
+    order = np.argsort(keys, kind="stable")
+    keys, sums = keys[order], sums[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(sums, first)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """run, n: how often each run occurs in docs (text). Each task adds up its own before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def settled(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            together, at = np.unique(np.concatenate([keys, *(k for k, _ in waiting)]), return_inverse=True)
-            return together, np.bincount(at, np.concatenate([sums, *(s for _, s in waiting)]), len(together)).astype(np.int64)
-
         for batch in batches:
             for part in _parts(batch.column(0).to_pylist()):
                 waiting.append(np.unique(runs(part)[0], return_counts=True))
                 held += len(waiting[-1][0])
-                if held > 1 << 20:
-                    keys, sums = settled(keys, sums)
+                if held > HELD:
+                    keys, sums = _added(keys, sums, waiting)
                     waiting, held = [], 0
-                    if len(keys) > 1 << 21:  # what a task holds stays bounded
+                    if len(keys) > 2 * HELD:  # what a task holds stays bounded
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["run", "n"])
                         keys, sums = keys[:0], sums[:0]
-        keys, sums = settled(keys, sums)
+        keys, sums = _added(keys, sums, waiting)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["run", "n"])
         give_back()
 
@@ -145,9 +153,12 @@ def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -
     return p.select("run", F.log("p").cast("float").alias("log_p"))
 
 
-def _batched(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Slices of the task's rows until their texts reach BATCH bytes, with a number that both readings give alike, however Arrow cuts the rows."""
-    part, size, k = [], 0, 0
+def _batched(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """Slices of the task's rows, in order, with the number of the batch they belong to and whether it ends there.
+
+    A batch ends where its texts reach BATCH bytes, so both readings cut alike, however Arrow cuts the rows. Only one slice is held.
+    """
+    size, k, last = 0, 0, None
     first = TaskContext.get().partitionId() << 24
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -155,31 +166,33 @@ def _batched(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int
         at = 0
         while at < batch.num_rows:
             end = min(batch.num_rows, int(np.searchsorted(before, before[at] + BATCH - size, "right")))
-            part.append(batch.slice(at, end - at))
+            if last is not None:
+                yield *last, False
+            last = first + k, batch.slice(at, end - at)
             size += int(before[end] - before[at])
             at = end
             if size > BATCH:
-                yield first + k, part
-                part, size, k = [], 0, k + 1
-    if part:
-        yield first + k, part
+                yield *last, True
+                size, k, last = 0, k + 1, None
+    if last is not None:
+        yield *last, True
 
 
 def _asked(docs: DataFrame) -> DataFrame:
     """batch, run: the distinct runs of each batch."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, parts in _batched(batches, 1):
-            seen, waiting, held = np.zeros(0, np.int64), [], 0
-            for part in _parts(t for p in parts for t in p.column(1).to_pylist()):
+        seen, waiting, held = np.zeros(0, np.int64), [], 0
+        for batch, rows, end in _batched(batches, 1):
+            for part in _parts(rows.column(1).to_pylist()):
                 waiting.append(np.unique(runs(part)[0]))
                 held += len(waiting[-1])
-                if held > 1 << 20:
-                    seen, waiting, held = np.unique(np.concatenate([seen, *waiting])), [], 0
-            seen = np.unique(np.concatenate([seen, *waiting]))
-            del parts, waiting
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), batch, np.int64)), pa.array(seen)], ["batch", "run"])
-            give_back()
+            if end or held > HELD:
+                seen, waiting, held = np.unique(np.concatenate([seen, *waiting])), [], 0
+            if end:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), batch, np.int64)), pa.array(seen)], ["batch", "run"])
+                seen = seen[:0]
+        give_back()
 
     return docs.mapInArrow(ask, "batch long, run long")
 
@@ -188,15 +201,20 @@ def _compressed(docs: DataFrame) -> DataFrame:
     """batch, blob: the rows of each batch as compressed Arrow."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, parts in _batched(batches, 1):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema) as stream:
-                for p in parts:
-                    stream.write_batch(p)
-            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([blob], pa.binary())], ["batch", "blob"])
-            del parts, p, sink, stream, blob
-            give_back()
+        sink = None
+        for batch, rows, end in _batched(batches, 1):
+            if sink is None:
+                sink = pa.BufferOutputStream()
+                squeezed = zstandard.ZstdCompressor(level=3).stream_writer(sink, closefd=False)
+                stream = pa.ipc.new_stream(squeezed, rows.schema)
+            stream.write_batch(rows)
+            if end:
+                stream.close()
+                squeezed.close()
+                blob = pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, sink.tell()], np.int64)), sink.getvalue()])
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), blob.cast(pa.binary())], ["batch", "blob"])
+                sink = squeezed = stream = blob = None
+        give_back()
 
     return docs.mapInArrow(squeeze, "batch long, blob binary")
 

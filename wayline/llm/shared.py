@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,48 +14,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine), and removed at the end.
-LOCAL_CHECKPOINTS = f"/tmp/wayline-checkpoints-{os.getpid()}"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it: spark.checkpoint.dir, or the context's checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            atexit.register(shutil.rmtree, LOCAL_CHECKPOINTS, ignore_errors=True)
-            spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get()
+        if held.isDefined():
+            named = held.get()
+        elif spark.sparkContext.master.startswith("local["):
+            # one machine, one process: its temporary folder is shared by all there is
+            home = tempfile.mkdtemp(prefix="wayline-checkpoints-")
+            atexit.register(shutil.rmtree, home, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(home)
+            named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return named.rstrip("/")
 
 
-#: Rows in an Arrow batch where whole texts go to Python.
-TEXT_ROWS = 1000
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes in an Arrow batch where whole texts go to Python.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
 
     texts: df sends whole texts to Python, so while it is written Arrow batches are small: both sides hold a batch or two for each task.
+    The setting is the session's, so other queries that start meanwhile in the same session get small batches too, and no other results.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(BATCH_ROWS)
-    if texts:
-        spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    usual = {k: spark.conf.get(k, None) for k in TEXT_BATCH} if texts else {}
+    for k in usual:
+        spark.conf.set(k, TEXT_BATCH[k])
     try:
         df.write.parquet(path)
     finally:
-        if texts:
-            spark.conf.set(BATCH_ROWS, usual)
+        for k, v in usual.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids (of 8 bytes) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Ids that are broadcast at most (hashed, about 80 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 250_000
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -67,6 +77,15 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
 
 
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose doc_id and xxhash64 of the text are not together among rows (id, hash)."""
+    rows = cut(rows.toDF("id", "hash").distinct(), "rows")
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return held.join(rows, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash")), "left_anti").select("row.*")
+
+
 def within(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (one column)."""
     ids = cut(ids.toDF("doc_id").distinct(), "ids")
@@ -141,14 +160,15 @@ def joined(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(run: list[bytes], spaces: np.ndarray = _SPACES, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) of the run, and each text's end in that array.
 
-    spaces: which bytes part words. prefix: only so many bytes of each word count, and a word as long as that hashes as longer ones do.
+    spaces: which bytes part words. prefix: only so many characters of each word count, and a word as long as that hashes as longer ones do.
     """
     buffer, starts = joined(run)
     space = spaces[buffer]
     first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     last = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     if prefix is not None:
-        last = np.minimum(last, first + prefix)
+        characters = np.append(np.flatnonzero((buffer & 0xC0) != 0x80), np.full(prefix, len(buffer)))
+        last = np.minimum(last, characters[np.searchsorted(characters, first) + prefix])
     up, down = _powers(len(buffer))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[_LOWER[buffer]] * up)])
     hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
