@@ -35,7 +35,7 @@ GROUPS = 96
 #: Pieces of at least capacity / SMALL are large, so a configuration has at most SMALL of them.
 SMALL = 8
 #: Cached runs and words of a worker; it starts anew when full.
-CACHED = 600_000
+CACHED = 250_000
 
 
 class WordIds(dict):
