@@ -117,6 +117,20 @@ def test_invariants_over_a_table(seen):
         assert sorted(firsts) == list(range(1, len(firsts) + 1))
 
 
+def test_sites_keep_their_identities_apart(spark, seen):
+    assigned = identity.assign(seen).collect()
+    newest = {}
+    for r in sorted(assigned, key=lambda r: (r["ts_ms"], r["det_id"])):
+        if r["map_x"] is not None:
+            newest[r["site_id"], r["gid"]] = r["map_x"], r["map_y"], r["ts_ms"]
+    assert {k[0] for k in newest} == {0, 1} and {g for s, g in newest if s == 0} & {g for s, g in newest if s == 1}  # the same numbers in both
+    now = max(t for _, _, t in newest.values())
+    want = {(*k, min(max(x, 0), 899), min(max(y, 0), 599), t) for k, (x, y, t) in newest.items() if now - t <= 700}
+    from wayline.plans.queries import QUERIES
+
+    assert {tuple(r[c] for c in ("site_id", "gid", "map_x", "map_y", "last_seen_ms")) for r in QUERIES["assigned_map"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def test_rows_without_vector_are_dropped(spark, seen):
     empty = seen.withColumn("emb", F.when(F.col("det_id") % 2 == 0, F.col("emb")))
     assert identity.assign(empty).count() == empty.filter("emb IS NOT NULL").count()
@@ -139,12 +153,12 @@ def test_stream_equals_table(spark, seen, tmp_path):
 
 def test_live_map(spark, seen, tmp_path):
     d = seen.withColumn("gid", F.col("person"))
-    d.select("gid", "ts_ms", "det_id", "map_x", "map_y").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("gid long, ts_ms long, det_id long, map_x long, map_y long").parquet(str(tmp_path / "in"))
+    d.select("site_id", "gid", "ts_ms", "det_id", "map_x", "map_y").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("site_id long, gid long, ts_ms long, det_id long, map_x long, map_y long").parquet(str(tmp_path / "in"))
     query = sinks.to_map(identity.latest_stream(stream), "live_map", once=True)
     query.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("live_map").select("gid", "map_x", "map_y", "last_seen_ms").collect()}
-    assert got == {tuple(r) for r in history.latest_positions(d).collect()}
+    got = {tuple(r) for r in spark.table("live_map").select("site_id", "gid", "map_x", "map_y", "last_seen_ms").collect()}
+    assert got == {tuple(r) for r in history.latest_positions(d, key=("site_id", "gid")).collect()}
 
 
 def test_registry_files(spark, tmp_path):

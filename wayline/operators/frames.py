@@ -21,7 +21,9 @@ def enriched(detections: DataFrame, polygon: Sequence[Sequence[float]] | None =
     """Foot, size, center and floorplan position of each detection whose foot is in the camera's region. Cheap columns only: nothing is shuffled."""
     b = geometry.box()
     foot, extent, center = geometry.foot(b), geometry.extent(b), geometry.center(b)
-    out = detections.withColumns({"foot_x": foot[0], "foot_y": foot[1], "box_w": extent[0], "box_h": extent[1], "center_x": center[0], "center_y": center[1]})
+    # generated columns stand for themselves: otherwise each use below would repeat whatever a box's sides are computed from
+    found = F.struct(*[c.alias(n) for c, n in zip((*foot, *extent, *center), ("foot_x", "foot_y", "box_w", "box_h", "center_x", "center_y"), strict=True)])
+    out = detections.select("*", F.inline(F.array(found)))
     out = out.filter(geometry.in_polygon(F.col("foot_x"), F.col("foot_y"), polygon))
     x, y = geometry.project(F.col("foot_x"), F.col("foot_y"), h)
     return out.withColumns({"map_x": x, "map_y": y})
@@ -52,16 +54,27 @@ def flagged(detections: DataFrame) -> DataFrame:
     return detections.withColumn("_boxes", F.collect_list(b).over(Window.partitionBy(*FRAME))).withColumn("overlap", F.size(other) > 0).drop("_boxes")
 
 
+def starts(assigned: DataFrame, frames_in_block: int = 4096) -> DataFrame:
+    """cam_name, frame_no, _start: the number that a camera's first row of each frame has among all of the camera's rows, from 1."""
+    counts = assigned.groupBy(*FRAME).agg(F.count("*").alias("_many")).withColumn("_part", F.floor(F.col("frame_no") / frames_in_block))
+    sums = counts.groupBy("cam_name", "_part").agg(F.sum("_many").alias("_sum"))
+    before = Window.partitionBy("cam_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.select("cam_name", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("cam_name", "_part").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.withColumn("_own", F.coalesce(F.sum("_many").over(inside), F.lit(0)))
+    return own.join(blocks, ["cam_name", "_part"]).select(*FRAME, (F.col("_before") + F.col("_own") + 1).alias("_start"))
+
+
 def previous(detections: DataFrame, assigned: DataFrame, ring: int = C.RING) -> DataFrame:
     """Candidates for continuity: pairs of a detection and one of the last `ring` assignments of its camera before its frame.
 
     assigned: cam_name, frame_no, det_idx, gid and a box. A pair counts if the boxes overlap enough or their centers are near. Rows are
     numbered along each camera, so the ring is a range of numbers, and both sides are dealt by (camera, number / ring):
-    a detection looks into two such blocks, never at a camera's whole history.
+    a detection looks into two such blocks, never at a camera's whole history. Numbers are sums over blocks of frames, over a block's
+    frames, and inside a frame, so no task sees a camera's rows together either.
     """
-    order = Window.partitionBy("cam_name").orderBy("frame_no", "det_idx")
-    numbered = assigned.withColumn("_n", F.row_number().over(order))
-    start = numbered.groupBy(*FRAME).agg(F.min("_n").alias("_start"))
+    start = starts(assigned)
+    numbered = assigned.join(start, FRAME).withColumn("_n", F.row_number().over(Window.partitionBy(*FRAME).orderBy("det_idx")) + F.col("_start") - 1).drop("_start")
     held = numbered.select("cam_name", F.col("_n"), "gid", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")], F.floor(F.col("_n") / ring).alias("_block"))
     looks = detections.join(start, FRAME).withColumn("_block", F.explode(F.sequence(F.floor((F.col("_start") - ring) / ring), F.floor((F.col("_start") - 1) / ring))))
     pairs = looks.join(held, ["cam_name", "_block"]).filter((F.col("_n") >= F.col("_start") - ring) & (F.col("_n") < F.col("_start")))

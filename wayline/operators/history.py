@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,12 +46,15 @@ def predicted_centers(assigned: DataFrame) -> DataFrame:
     return assigned.withColumns({"pred_x": x, "pred_y": y, "last_w": back("box_w", 1), "last_h": back("box_h", 1)})
 
 
-def latest_positions(positions: DataFrame, width: int = C.MAP_WIDTH, height: int = C.MAP_HEIGHT) -> DataFrame:
-    """gid, map_x, map_y, last_seen_ms: the newest position of each identity over all cameras, moved onto the floorplan. Combines before it shuffles."""
+def latest_positions(positions: DataFrame, width: int = C.MAP_WIDTH, height: int = C.MAP_HEIGHT, key: Sequence[str] = ("gid",)) -> DataFrame:
+    """key, map_x, map_y, last_seen_ms: the newest position of each identity over all cameras, moved onto the floorplan. Combines before it shuffles.
+
+    key: what an identity is known by. Ids that assign() gives count within a site, so there it is site_id and gid.
+    """
     x, y = geometry.on_map(F.col("map_x"), F.col("map_y"), width, height)
     known = positions.filter(F.col("map_x").isNotNull() & F.col("map_y").isNotNull())
     place = F.struct(x.alias("map_x"), y.alias("map_y"))
-    return known.groupBy("gid").agg(F.max_by(place, F.struct(*SEEN)).alias("p"), F.max("ts_ms").alias("last_seen_ms")).select("gid", "p.map_x", "p.map_y", "last_seen_ms")
+    return known.groupBy(*key).agg(F.max_by(place, F.struct(*SEEN)).alias("p"), F.max("ts_ms").alias("last_seen_ms")).select(*key, "p.map_x", "p.map_y", "last_seen_ms")
 
 
 def active(latest: DataFrame, now_ms: int | None = None, ttl: float = C.MAP_TTL) -> DataFrame:
@@ -76,9 +79,15 @@ def sessions(assigned: DataFrame, key: list[str], idle: float = C.MAX_IDLE) -> D
 
 
 def recent_counts(assigned: DataFrame, window: float = C.RECENT_WINDOW) -> DataFrame:
-    """How many sightings its camera remembers at each sighting, itself included: a range of time."""
-    w = Window.partitionBy("cam_name").orderBy("ts_ms").rangeBetween(-int(window * 1000), 0)
-    return assigned.withColumn("remembered", F.count("*").over(w))
+    """How many sightings its camera remembers at each sighting, itself included: a range of time.
+
+    A row is dealt to its block of time and to the next, so a range lies within one block and no task sees a camera's whole history.
+    """
+    ms = int(window * 1000)
+    at = F.floor(F.col("ts_ms") / ms)
+    dealt = assigned.select("*", F.explode(F.array(at, at + 1)).alias("_block"))
+    w = Window.partitionBy("cam_name", "_block").orderBy("ts_ms").rangeBetween(-ms, 0)
+    return dealt.withColumn("remembered", F.count("*").over(w)).filter(F.col("_block") == at).drop("_block")
 
 
 def holds(overlapped: DataFrame, hold: float = C.HOLD) -> DataFrame:
@@ -111,7 +120,7 @@ _IDENTITY, _ORDER = ["site_id", "gid"], ["frame_no", "ts_ms", "det_id"]
 
 
 def running_templates(sightings: DataFrame) -> DataFrame:
-    """site_id, gid, det_id and the identity's template after each sighting. A template is sequential by its meaning: a task streams
+    """site_id, gid, frame_no, ts_ms, det_id and the identity's template after each sighting. A template is sequential by its meaning: a task streams
     through its identities in order and holds one vector."""
 
     def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,13 +133,18 @@ def running_templates(sightings: DataFrame) -> DataFrame:
                 if emb is not None:
                     held = _unit(emb) if held is None else _unit(held * C.KEEP + _unit(emb) * (1 - C.KEEP))
                 out.append(held)
-            yield rows[[*_IDENTITY, "det_id"]].assign(template=out)
+            yield rows[[*_IDENTITY, *_ORDER]].assign(template=out)
 
     ordered = sightings.select(*_IDENTITY, *_ORDER, F.col("emb").cast("array<double>").alias("emb")).repartition(*_IDENTITY).sortWithinPartitions(*_IDENTITY, *_ORDER)
-    kinds = [f"{c} {sightings.schema[c].dataType.simpleString()}" for c in [*_IDENTITY, "det_id"]]
+    kinds = [f"{c} {sightings.schema[c].dataType.simpleString()}" for c in [*_IDENTITY, *_ORDER]]
     return ordered.mapInPandas(mixed, ", ".join([*kinds, "template array<double>"]))
 
 
+def last_templates(sightings: DataFrame) -> DataFrame:
+    """site_id, gid and the identity's template after its last sighting."""
+    return running_templates(sightings).groupBy(*_IDENTITY).agg(F.max_by("template", F.struct(*_ORDER)).alias("template"))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(v)
     return v if size < vectors.TINY else v / size
@@ -154,5 +168,5 @@ def known_before(sightings: DataFrame, templates: DataFrame | None = None) -> Da
     names = {"id_last_cam": "cam_name", "id_last_ms": "ts_ms", "id_map_x": "map_x", "id_map_y": "map_y", "id_box_w": "box_w", "id_box_h": "box_h", "h_cam": "cam_name", "h_cx": "center_x", "h_cy": "center_y", "h_ms": "ts_ms", "h_w": "box_w", "h_h": "box_h"}
     kept = [*_IDENTITY, *[F.col(v).alias(k) for k, v in names.items()], *back]
     if templates is not None:
-        s, kept = s.join(templates, [*_IDENTITY, "det_id"]), [*kept, "gallery", "template"]
+        s, kept = s.join(templates.select(*_IDENTITY, "det_id", "template"), [*_IDENTITY, "det_id"]), [*kept, "gallery", "template"]
     return s.select(*kept, F.explode(F.sequence(F.col("frame_no") + 1, F.col("_until"))).alias("frame_no"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def greedy(pairs: Sequence[tuple[float, int, int]]) -> dict[int, int]:
@@ -60,15 +61,18 @@ def optimal(scores: np.ndarray) -> list[tuple[int, int]]:
 
 
 def greedy_frames(candidates: DataFrame) -> DataFrame:
-    """candidates (cam_name, frame_no, det_idx, gid, score) -> forced_gid of the detections that get one. A group is one frame."""
+    """candidates (cam_name, frame_no, det_idx, gid, score) -> forced_gid of the detections that get one.
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        found = greedy(list(zip(frame["score"].tolist(), frame["det_idx"].tolist(), frame["gid"].tolist(), strict=True)))
-        return pd.DataFrame({"cam_name": frame["cam_name"].iloc[0], "frame_no": frame["frame_no"].iloc[0], "det_idx": list(found), "forced_gid": list(found.values())})
-
-    # of equal pairs only the best counts, and a frame has few detections and at most a ring of identities
-    best = candidates.groupBy("cam_name", "frame_no", "det_idx", "gid").agg({"score": "max"}).withColumnRenamed("max(score)", "score")
-    return best.groupBy("cam_name", "frame_no").applyInPandas(match, "cam_name string, frame_no long, det_idx long, forced_gid long")
+    A frame has few detections and a ring of identities at most; its pairs, best first (ties as greedy() has them), are folded into what is
+    taken so far, all in one expression.
+    """
+    best = candidates.groupBy("cam_name", "frame_no", "det_idx", "gid").agg(F.max("score").alias("score"))
+    pairs = F.sort_array(F.collect_list(F.struct("score", F.col("det_idx").cast("long").alias("det_idx"), F.col("gid").cast("long").alias("gid"))), asc=False)
+    none = F.array().cast("array<struct<det_idx:bigint,gid:bigint>>")
+    taken = lambda s, p: F.exists(s, lambda t: (t["det_idx"] == p["det_idx"]) | (t["gid"] == p["gid"]))
+    fold = F.aggregate("pairs", none, lambda s, p: F.when(taken(s, p), s).otherwise(F.concat(s, F.array(F.struct(p["det_idx"].alias("det_idx"), p["gid"].alias("gid"))))))
+    frames = best.groupBy("cam_name", "frame_no").agg(pairs.alias("pairs"))
+    return frames.select("cam_name", "frame_no", F.explode(fold).alias("m")).select("cam_name", "frame_no", "m.det_idx", F.col("m.gid").alias("forced_gid"))
 
 
 def optimal_groups(pairs: DataFrame, key: list[str], row: str, column: str, score: str) -> DataFrame:

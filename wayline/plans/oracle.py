@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wayline.plans.calibration import H, SOURCE
+#: Fixed values of the queries' calibration: the region, and the plane's nine coefficients as solved from its four points.
+SOURCE = [[100, 250], [1000, 250], [1200, 480], [0, 480]]
+H = [1.393939393939394, 0.7196969696969698, -240.90909090909093, 0.0, 4.659090909090909, -1086.3636363636365, 9.186815169423519e-20, 0.0022727272727272726, 1.0]
 
 _D = """
 base AS (SELECT event_id AS det_id, event_id % 4 AS cam_no, event_id // 32 AS frame_no, (event_id % 32) // 4 AS det_idx FROM events),
@@ -16,7 +18,10 @@ d AS (SELECT g0.det_id, concat('cam_', g0.cam_no) AS cam_name, g0.frame_no, g0.d
              [CAST(b.embedding[i] AS DOUBLE) + CAST(n.embedding[i] AS DOUBLE) * 0.5::DOUBLE for i in range(1, 65)] AS emb
       FROM g0 JOIN embeddings b ON b.vec_id = g0.person * 30 JOIN embeddings n ON n.vec_id = 400 + g0.det_id % 97)"""
 
-_LOG = """
+#: No three of four points on a line.
+_FIXES = """coalesce(valid AND len(list_filter([[1, 2, 3], [1, 2, 4], [1, 3, 4], [2, 3, 4]], lambda t: (p[t[2]][1] - p[t[1]][1]) * (p[t[3]][2] - p[t[1]][2]) = (p[t[2]][2] - p[t[1]][2]) * (p[t[3]][1] - p[t[1]][1]))) = 0, false)"""
+
+_LOG = f"""
 log AS (SELECT event_id AS seq, concat('cam_', user_id % 40) AS name, CASE WHEN event_id % 17 = 0 THEN 'delete' ELSE 'add' END AS action,
         CASE event_id % 5 WHEN 0 THEN CAST(event_id % 10 AS VARCHAR) WHEN 1 THEN concat('rtsp://host', event_id % 7, '/live')
              WHEN 2 THEN concat('uploads/clip ', event_id % 11, '.MP4') WHEN 3 THEN concat('uploads/clip_', event_id % 11, '.webm')
@@ -26,7 +31,8 @@ log AS (SELECT event_id AS seq, concat('cam_', user_id % 40) AS name, CASE WHEN
              WHEN 3 THEN '[1,2,3,4]' WHEN 4 THEN '[[0.5,1],[2,3],[4,5],[6,7.25]]' WHEN 5 THEN '' END AS points FROM events),
 parsed AS (SELECT *, TRY_CAST(points AS DOUBLE[][]) AS p, lower(url) LIKE '%.mp4' OR lower(url) LIKE '%.webm' AS video FROM log),
 checked AS (SELECT *, p IS NOT NULL AND len(p) = 4 AND len(list_filter(p, lambda x: len(x) = 2)) = 4 AS valid FROM parsed),
-added AS (SELECT * FROM checked WHERE action = 'add' QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1),
+fixed AS (SELECT *, {_FIXES} AS fixes FROM checked),
+added AS (SELECT * FROM fixed WHERE action = 'add' QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1),
 gone AS (SELECT name, max(seq) AS seq FROM log WHERE action = 'delete' GROUP BY name),
 state AS (SELECT a.* FROM added a LEFT JOIN gone g ON g.name = a.name AND g.seq > a.seq WHERE g.name IS NULL)"""
 
@@ -118,25 +124,38 @@ mixed(person, rn, t) AS (SELECT person, rn, u FROM un WHERE rn = 1
     (SELECT e.person, n.rn, [e.t[i] * 0.9::DOUBLE + n.u[i] * 0.1::DOUBLE for i in range(1, 65)] AS v FROM mixed e JOIN un n ON n.person = e.person AND n.rn = e.rn + 1) z),
 tm AS (SELECT person, t FROM mixed QUALIFY row_number() OVER (PARTITION BY person ORDER BY rn DESC) = 1)"""
 
-_SNAPSHOT = f"""{_S}, ct AS (SELECT least(290, max(frame_no) - 3) AS cut FROM d),
-fl AS (SELECT a.det_id, bool_or({_iou("a.", "b.")} >= 0.35 AND b.det_id IS NOT NULL) AS overlap FROM d a LEFT JOIN d b ON a.cam_name = b.cam_name AND a.frame_no = b.frame_no AND a.det_idx <> b.det_idx
-       WHERE a.frame_no = (SELECT cut FROM ct) GROUP BY a.det_id),
+#: Every detection with each identity seen in a frame before its own, as it was known then.
+_MOMENTS = f"""{_S}, fl AS (SELECT a.det_id, bool_or({_iou("a.", "b.")} >= 0.35 AND b.det_id IS NOT NULL) AS overlap
+       FROM d a LEFT JOIN d b ON a.cam_name = b.cam_name AND a.frame_no = b.frame_no AND a.det_idx <> b.det_idx GROUP BY a.det_id),
 pe AS (SELECT s.*, coalesce(fl.overlap, false) AS overlap FROM s JOIN fl USING (det_id)),
-pa AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY ts_ms DESC, det_id DESC) AS back, row_number() OVER (PARTITION BY gid, cam_name ORDER BY ts_ms DESC, det_id DESC) AS cback
-       FROM s WHERE frame_no < (SELECT cut FROM ct)),
-{_EMA.format(rows="pa")},
-la AS (SELECT * FROM pa WHERE back = 1), be AS (SELECT * FROM pa WHERE cback = 2),
-al AS (SELECT pe.det_id, tm.person AS gid, {_cos("pe.emb", "tm.t")} AS sim FROM pe, tm UNION ALL SELECT pe.det_id, pa.gid, {_cos("pe.emb", "pa.emb")} FROM pe, pa WHERE pa.back <= 6),
+pa AS (SELECT *, row_number() OVER g AS rn, lead(frame_no) OVER g AS nxt, lag(center_x) OVER c AS bx, lag(center_y) OVER c AS by_, lag(ts_ms) OVER c AS bt
+       FROM s WINDOW g AS (PARTITION BY gid ORDER BY ts_ms, det_id), c AS (PARTITION BY gid, cam_name ORDER BY ts_ms, det_id)),
+{_EMA.format(rows="s")},
+la AS (SELECT * FROM pa WHERE nxt IS NULL OR nxt > frame_no),
+pq AS (SELECT pe.det_id, pe.frame_no, pe.emb, pe.ts_ms, pe.cam_name, pe.map_x, pe.map_y, pe.center_x, pe.center_y, pe.box_w, pe.box_h, pe.overlap, pe.person, la.gid, la.rn, la.cam_name AS l_cam, la.ts_ms AS l_ms,
+              la.map_x AS l_x, la.map_y AS l_y, la.center_x AS ax, la.center_y AS ay, la.box_w AS lw, la.box_h AS lh, la.bx, la.by_, la.bt
+       FROM pe JOIN la ON pe.frame_no > la.frame_no AND pe.frame_no <= coalesce(la.nxt, 1000000000000)),
+al AS (SELECT q.det_id, q.gid, {_cos("q.emb", "m.t")} AS sim FROM pq q JOIN mixed m ON m.person = q.gid AND m.rn = q.rn
+       UNION ALL SELECT q.det_id, q.gid, {_cos("q.emb", "g.emb")} FROM pq q JOIN pa g ON g.gid = q.gid AND g.rn BETWEEN q.rn - 5 AND q.rn),
 ap AS (SELECT det_id, gid, avg(sim) AS appearance FROM (SELECT *, row_number() OVER (PARTITION BY det_id, gid ORDER BY sim DESC) AS r FROM al) WHERE r <= 3 GROUP BY det_id, gid),
-pr AS (SELECT pe.det_id, la.gid, ap.appearance, pe.overlap, la.cam_name = pe.cam_name AS same, pe.person = la.gid AS forced, (pe.ts_ms - la.ts_ms) / 1000.0::DOUBLE AS idle,
-              {_dist("pe.map_x", "pe.map_y", "la.map_x", "la.map_y")} AS mdist, pe.center_x, pe.center_y, la.center_x AS ax, la.center_y AS ay, la.box_w AS lw, la.box_h AS lh, pe.box_w, pe.box_h,
-              be.center_x AS bx, be.center_y AS by_, greatest((la.ts_ms - be.ts_ms) / 1000.0::DOUBLE, 0.001::DOUBLE) AS dt, least((pe.ts_ms - la.ts_ms) / 1000.0::DOUBLE, 0.25::DOUBLE) AS ahead, la.cam_name AS id_last_cam, la.ts_ms AS id_last_ms
-       FROM pe CROSS JOIN la JOIN ap ON ap.det_id = pe.det_id AND ap.gid = la.gid LEFT JOIN be ON be.gid = la.gid AND be.cam_name = la.cam_name),
+pr AS (SELECT q.*, ap.appearance, q.l_cam = q.cam_name AS same, q.person = q.gid AS forced, (q.ts_ms - q.l_ms) / 1000.0::DOUBLE AS idle, {_dist("q.map_x", "q.map_y", "q.l_x", "q.l_y")} AS mdist,
+              greatest((q.l_ms - q.bt) / 1000.0::DOUBLE, 0.001::DOUBLE) AS dt, least((q.ts_ms - q.l_ms) / 1000.0::DOUBLE, 0.25::DOUBLE) AS ahead, q.l_cam AS id_last_cam, q.l_ms AS id_last_ms
+       FROM pq q JOIN ap ON ap.det_id = q.det_id AND ap.gid = q.gid),
 sc AS (SELECT *, CASE WHEN same THEN greatest(-0.6::DOUBLE, 1 - least({_dist("center_x", "center_y", "coalesce(ax + (ax - bx) / dt * ahead, ax)", "coalesce(ay + (ay - by_) / dt * ahead, ay)")} / greatest(40, sqrt(CAST(lw * lw + lh * lh AS DOUBLE)) * 0.75::DOUBLE), 1.6::DOUBLE)) ELSE 0.5::DOUBLE END AS motion,
               greatest(-0.4::DOUBLE, 1 - least(mdist / 468, 1.4::DOUBLE)) AS map, greatest(0, 1 - least(greatest(0, idle) / 25, 1)) AS time FROM pr),
 fi AS (SELECT *, (0.42::DOUBLE - CASE WHEN overlap THEN 0.14::DOUBLE ELSE 0 END) * appearance + (0.42::DOUBLE + CASE WHEN overlap THEN 0.14::DOUBLE ELSE 0 END) * motion + 0.1::DOUBLE * map + 0.06::DOUBLE * time
               + CASE WHEN same THEN 0.1::DOUBLE + CASE WHEN idle <= 1.5 THEN 0.05::DOUBLE ELSE 0 END ELSE 0 END + CASE WHEN overlap AND forced THEN 0.22::DOUBLE ELSE 0 END AS score FROM sc)"""
 
+#: Greedy choice, a frame's pairs one after the other from the best: what is taken so far goes along as two lists.
+_GREEDY = f"""{_PREVIOUS}, o AS (SELECT *, row_number() OVER (PARTITION BY cam_name, frame_no ORDER BY score DESC, det_idx DESC, gid DESC) AS k
+   FROM (SELECT cam_name, frame_no, det_idx, gid, max(score) AS score FROM v GROUP BY cam_name, frame_no, det_idx, gid)),
+t(cam_name, frame_no, k, dets, gids, det_idx, forced_gid) AS (
+  SELECT DISTINCT cam_name, frame_no, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM o
+  UNION ALL SELECT n.cam_name, n.frame_no, n.k, CASE WHEN n.free THEN list_append(n.dets, n.det) ELSE n.dets END, CASE WHEN n.free THEN list_append(n.gids, n.gid) ELSE n.gids END,
+                   CASE WHEN n.free THEN n.det END, CASE WHEN n.free THEN n.gid END
+  FROM (SELECT t.cam_name, t.frame_no, o.k, t.dets, t.gids, o.det_idx AS det, o.gid, NOT list_contains(t.dets, o.det_idx) AND NOT list_contains(t.gids, o.gid) AS free
+        FROM t JOIN o ON o.cam_name = t.cam_name AND o.frame_no = t.frame_no AND o.k = t.k + 1) n)"""
+
 _LATEST = "SELECT gid, arg_max(greatest(0, least(map_x, 899)), ts_ms * 100000000 + det_id) AS map_x, arg_max(greatest(0, least(map_y, 599)), ts_ms * 100000000 + det_id) AS map_y, max(ts_ms) AS last_seen_ms"
 
 
@@ -150,12 +169,12 @@ SQL: dict[str, str] = {
     "first_frame": _with(_D, "SELECT cam_name, frame_no, det_idx, det_id FROM d QUALIFY frame_no = min(frame_no) OVER (PARTITION BY cam_name)"),
     "ext_whitelist": _with(_LOG, "SELECT seq, url, CASE WHEN lower(url) LIKE '%.mp4' THEN '.mp4' ELSE '.webm' END AS extension FROM parsed WHERE video"),
     "parse_points": _with(_LOG, "SELECT seq, valid, CASE WHEN valid THEN p[1][1] END AS first_x, CASE WHEN valid THEN p[4][2] END AS last_y FROM checked"),
-    "calib_valid": _with(_LOG, "SELECT seq, valid AS four_points, coalesce(valid AND len(list_filter([[1, 2, 3], [1, 2, 4], [1, 3, 4], [2, 3, 4]], lambda t: (p[t[2]][1] - p[t[1]][1]) * (p[t[3]][2] - p[t[1]][2]) = (p[t[2]][2] - p[t[1]][2]) * (p[t[3]][1] - p[t[1]][1]))) = 0, false) AS calibrates FROM checked"),
+    "calib_valid": _with(_LOG, "SELECT seq, valid AS four_points, fixes AS calibrates FROM fixed"),
     "registry_upsert": _with(_LOG, "SELECT name, seq, url FROM added"),
     "registry_delete": _with(_LOG, "SELECT name, seq, url FROM state"),
     "registry_lookup": _with(_LOG, "SELECT name, seq, url, CASE WHEN video THEN 'video' ELSE 'camera' END AS source_type FROM state WHERE name = 'cam_7'"),
-    "registry_listing": _with(_LOG, "SELECT name, url AS source, CASE WHEN video THEN 'video' ELSE 'camera' END AS source_type, CASE WHEN video THEN 'VIDEO' ELSE 'CAMERA' END AS badge, CASE WHEN video THEN CASE WHEN loop_video THEN 'Loop ON' ELSE 'Loop OFF' END END AS loop_badge, CASE WHEN valid THEN 'Calibrated' ELSE 'Not Calibrated' END AS calibration_badge FROM state"),
-    "camera_config": _with(_LOG, """SELECT name, '{"name":"' || name || '","source_type":"' || CASE WHEN video THEN 'video' ELSE 'camera' END || '","loop_video":' || loop_video || ',"has_homography":' || valid || '}' AS config FROM state"""),
+    "registry_listing": _with(_LOG, "SELECT name, url AS source, CASE WHEN video THEN 'video' ELSE 'camera' END AS source_type, CASE WHEN video THEN 'VIDEO' ELSE 'CAMERA' END AS badge, CASE WHEN video THEN CASE WHEN loop_video THEN 'Loop ON' ELSE 'Loop OFF' END END AS loop_badge, CASE WHEN fixes THEN 'Calibrated' ELSE 'Not Calibrated' END AS calibration_badge FROM state"),
+    "camera_config": _with(_LOG, """SELECT name, '{"name":"' || name || '","source_type":"' || CASE WHEN video THEN 'video' ELSE 'camera' END || '","loop_video":' || loop_video || ',"has_homography":' || fixes || '}' AS config FROM state"""),
     "explode_boxes": _with(_D, "SELECT cam_name, frame_no, row_number() OVER (PARTITION BY cam_name, frame_no ORDER BY det_idx) - 1 AS det_idx, x1, y1, x2, y2 FROM d"),
     "trunc_box": _with(_D, "SELECT det_id, " + ", ".join(f"CAST(trunc({c} * 0.37::DOUBLE - 50.5::DOUBLE) AS BIGINT) AS {c}" for c in ("x1", "y1", "x2", "y2")) + " FROM d"),
     "foot_point": _with(_D, "SELECT det_id, (x1 + x2) // 2 AS foot_x, y2 AS foot_y FROM d"),
@@ -188,10 +207,11 @@ SQL: dict[str, str] = {
     "overlap_flags": _with(_PAIRS, "SELECT * FROM f"),
     "pending_except": _with(_PAIRS, "SELECT det_id FROM d ANTI JOIN f USING (cam_name, frame_no, det_idx)"),
     "prev_candidates": _with(_PREVIOUS, "SELECT * FROM v"),
+    "greedy_match": _with(_GREEDY, "SELECT cam_name, frame_no, det_idx, forced_gid FROM t WHERE det_idx IS NOT NULL", True),
     "attach_results": _with(_PREVIOUS, "SELECT d.det_id, max(v.score) AS best FROM d LEFT JOIN v USING (cam_name, frame_no, det_idx) GROUP BY d.det_id"),
-    "pair_scores": _with(_SNAPSHOT, "SELECT det_id, gid, round(appearance, 6) AS appearance, round(motion, 6) AS motion, round(map, 6) AS map, round(time, 6) AS time, round(score, 6) AS score FROM fi", True),
-    "accept_match": _with(_SNAPSHOT, "SELECT det_id, gid FROM fi WHERE appearance >= 0.82 OR (same AND score >= 0.22) OR (overlap AND forced AND score >= 0.2) OR score >= 0.28", True),
-    "candidate_gate": _with(_SNAPSHOT, "SELECT DISTINCT gid, id_last_cam, id_last_ms FROM pr WHERE idle <= 25 AND least(box_w, lw) / greatest(box_w, lw) >= 0.35 AND least(box_h, lh) / greatest(box_h, lh) >= 0.35 AND mdist <= CASE WHEN same THEN 390 ELSE 520 END", True),
+    "pair_scores": _with(_MOMENTS, "SELECT det_id, gid, round(appearance, 6) AS appearance, round(motion, 6) AS motion, round(map, 6) AS map, round(time, 6) AS time, round(score, 6) AS score FROM fi", True),
+    "accept_match": _with(_MOMENTS, "SELECT det_id, gid FROM fi WHERE appearance >= 0.82 OR (same AND score >= 0.22) OR (overlap AND forced AND score >= 0.2) OR score >= 0.28", True),
+    "candidate_gate": _with(_MOMENTS, "SELECT DISTINCT frame_no, gid, id_last_cam, id_last_ms FROM pr WHERE idle <= 25 AND least(box_w, lw) / greatest(box_w, lw) >= 0.35 AND least(box_h, lh) / greatest(box_h, lh) >= 0.35 AND mdist <= CASE WHEN same THEN 390 ELSE 520 END", True),
     "local_track_join": _with(_D, "SELECT det_id, CASE WHEN ts_ms - max(ts_ms) OVER w <= 25000 THEN arg_max(person, ts_ms * 100000000 + det_id) OVER w END AS known_gid FROM d WINDOW w AS (PARTITION BY cam_name, tid)"),
     "hold_interval_join": _with(f"{_PAIRS}, h AS (SELECT cam_name, tid, arg_max(person, ts_ms * 100000000 + det_id) AS held_gid, max(ts_ms) + 800 AS until_ms FROM d JOIN f USING (cam_name, frame_no, det_idx) GROUP BY cam_name, tid)", "SELECT det_id, held_gid, until_ms FROM d JOIN h USING (cam_name, tid) WHERE ts_ms <= until_ms"),
     "recent_match": _with(f"{_S}, n AS (SELECT *, [x / sqrt(list_dot_product(emb, emb)) for x in emb] AS u FROM s), c AS (SELECT a.det_id, b.gid, b.ts_ms AS t, b.det_id AS i, list_dot_product(a.u, b.u) - least({_dist('a.map_x', 'a.map_y', 'b.map_x', 'b.map_y')} / 390, 1) * 0.10::DOUBLE - least((a.ts_ms - b.ts_ms) / 1000.0::DOUBLE / 12, 1) * 0.08::DOUBLE AS score FROM n a JOIN n b ON a.cam_name = b.cam_name AND b.ts_ms < a.ts_ms AND a.ts_ms - b.ts_ms <= 12000 WHERE least(a.box_w, b.box_w) / greatest(a.box_w, b.box_w) >= 0.35 AND least(a.box_h, b.box_h) / greatest(a.box_h, b.box_h) >= 0.35)", "SELECT det_id, gid, round(score, 6) AS score FROM c WHERE score >= 0.36::DOUBLE QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY score DESC, t DESC, i DESC) = 1"),
@@ -205,6 +225,7 @@ SQL: dict[str, str] = {
     "predict_center": _with(_PREDICT, "SELECT det_id, round(px, 6) AS pred_x, round(py, 6) AS pred_y FROM m"),
     "motion_score": _with(_PREDICT, f"SELECT det_id, CASE WHEN px IS NULL THEN 0.5::DOUBLE ELSE round(greatest(-0.6::DOUBLE, 1 - least({_dist('center_x', 'center_y', 'px', 'py')} / greatest(40, sqrt(CAST(lw * lw + lh * lh AS DOUBLE)) * 0.75::DOUBLE), 1.6::DOUBLE)), 6) END AS score FROM m"),
     "ring60": _with(_D, "SELECT cam_name, det_id, ts_ms FROM d QUALIFY row_number() OVER (PARTITION BY cam_name ORDER BY ts_ms DESC, det_id DESC) <= 60"),
+    "ring_append": _with(_D, "SELECT cam_name, det_id, ts_ms FROM (SELECT * FROM d WHERE frame_no % 2 = 1 UNION ALL SELECT * FROM d WHERE frame_no % 2 = 0 QUALIFY row_number() OVER (PARTITION BY cam_name ORDER BY ts_ms DESC, det_id DESC) <= 60) QUALIFY row_number() OVER (PARTITION BY cam_name ORDER BY ts_ms DESC, det_id DESC) <= 60"),
     "ring200": _with(_D, "SELECT cam_name, det_id, ts_ms FROM d ORDER BY ts_ms DESC, det_id DESC LIMIT 200"),
     "latest_position": _with(_S, f"{_LATEST} FROM s GROUP BY gid"),
     "active_map": _with(f"{_S}, l AS ({_LATEST} FROM s GROUP BY gid)", "SELECT * FROM l WHERE (SELECT max(last_seen_ms) FROM l) - last_seen_ms <= 700"),

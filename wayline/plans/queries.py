@@ -86,7 +86,7 @@ def calib_valid(log: DataFrame) -> DataFrame:
 
 def _state(log: DataFrame) -> DataFrame:
     state = registry.without_deleted(registry.latest(log.filter("action = 'add'")), log.filter("action = 'delete'"))
-    return state.withColumns({"source_type": registry.source_type(F.col("url")), "calibrated": text.points(F.col("points")).isNotNull()})
+    return state.withColumns({"source_type": registry.source_type(F.col("url")), "calibrated": geometry.fixes_plane(text.points(F.col("points")))})
 
 
 @registry_query
@@ -287,8 +287,8 @@ QUERIES["cosine_similarity"] = cosine_similarity
 
 @query
 def ema_embedding(d: DataFrame) -> DataFrame:
-    t = vectors.templates(d, ["person"], ["ts_ms", "det_id"])
-    return t.select(F.col("person").alias("gid"), r6(F.col("template")[0]).alias("first"), r6(F.col("template")[63]).alias("last"))
+    t = history.last_templates(d.withColumns({"site_id": F.lit(0), "gid": F.col("person")}))
+    return t.select("gid", r6(F.col("template")[0]).alias("first"), r6(F.col("template")[63]).alias("last"))
 
 
 @query
@@ -507,6 +507,22 @@ def assign_identities(d: DataFrame) -> DataFrame:
     return identity.assign(s.withColumn("site_id", F.substring("cam_name", 5, 1).cast("long") % 2))
 
 
+@query
+def assigned_map(d: DataFrame) -> DataFrame:
+    """From detections to the map: confident and inside the region, identities assigned at each site, the newest position of each while active."""
+    s = frames.enriched(frames.confident(d), SOURCE, H)
+    assigned = identity.assign(s.withColumn("site_id", F.substring("cam_name", 5, 1).cast("long") % 2))
+    return history.active(history.latest_positions(assigned, key=("site_id", "gid")))
+
+
+@query
+def ring_append(d: DataFrame) -> DataFrame:
+    """Each camera's ring after a second half of the frames has come to the ring of the first."""
+    half = F.col("frame_no") % 2 == 0
+    columns = d.select("cam_name", "det_id", "ts_ms", "frame_no")
+    return history.appended(history.camera_ring(columns.filter(half)), columns.filter(~half)).select("cam_name", "det_id", "ts_ms")
+
+
 @query
 def global_map(d: DataFrame) -> DataFrame:
     """The flagship: confident detections in the calibrated region, on the floorplan, newest of each identity, while active."""

@@ -11,7 +11,7 @@ Rows without a vector or with coordinates missing are dropped. A null track id c
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -24,7 +24,7 @@ from wayline.functions import constants as C
 from wayline.operators.matching import greedy, optimal
 
 INPUT = "site_id long, det_id long, cam_name string, frame_no long, det_idx long, ts_ms long, tid long, x1 long, y1 long, x2 long, y2 long, map_x long, map_y long, emb array<double>"
-OUTPUT = "site_id long, det_id long, cam_name string, frame_no long, det_idx long, ts_ms long, gid long, score double, source string, overlap boolean"
+OUTPUT = "site_id long, det_id long, cam_name string, frame_no long, det_idx long, ts_ms long, gid long, score double, source string, overlap boolean, map_x long, map_y long"
 COLUMNS = [c.split()[0] for c in INPUT.split(", ")]
 
 
@@ -236,7 +236,10 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
 
 def _results(site: Site, key: tuple, rows: list[dict]) -> pd.DataFrame:
     out = site.frame(key[1], int(key[0]), rows)
-    return pd.DataFrame([{c: r[c] for c in ("site_id", "det_id", "cam_name", "frame_no", "det_idx", "ts_ms")} | o for r, o in zip(rows, out, strict=True)])
+    own = lambda r: {c: r[c] for c in ("site_id", "det_id", "cam_name", "frame_no", "det_idx", "ts_ms")}
+    place = lambda r: dict(zip(("map_x", "map_y"), r["map"] or (None, None), strict=True))
+    made = pd.DataFrame([own(r) | o | place(r) for r, o in zip(rows, out, strict=True)])
+    return made.astype({"map_x": "Int64", "map_y": "Int64"})
 
 
 ORDER = ["ts_ms", "cam_name", "frame_no", "det_idx", "det_id"]
@@ -285,7 +288,8 @@ def assign_stream(detections: DataFrame) -> DataFrame:
     return detections.select(*COLUMNS).groupBy("site_id").transformWithStateInPandas(SiteProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="none")
 
 
-def latest_stream(assigned: DataFrame, positions: str = "map_x, map_y") -> DataFrame:
-    """The newest position of each identity of a stream with gid, ts_ms, det_id, map_x and map_y, for a sink in update mode."""
+def latest_stream(assigned: DataFrame, positions: str = "map_x, map_y", key: Sequence[str] = ("site_id", "gid")) -> DataFrame:
+    """The newest position of each identity of a stream with key, ts_ms, det_id, map_x and map_y, for a sink in update mode. Ids count within a site."""
     place = F.struct(*[F.col(c.strip()) for c in positions.split(",")])
-    return assigned.filter("map_x IS NOT NULL").groupBy("gid").agg(F.max_by(place, F.struct("ts_ms", "det_id")).alias("p"), F.max("ts_ms").alias("last_seen_ms")).select("gid", "p.*", "last_seen_ms")
+    latest = assigned.filter("map_x IS NOT NULL").groupBy(*key).agg(F.max_by(place, F.struct("ts_ms", "det_id")).alias("p"), F.max("ts_ms").alias("last_seen_ms"))
+    return latest.select(*key, "p.*", "last_seen_ms")
