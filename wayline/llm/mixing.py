@@ -10,12 +10,13 @@ Words reach the target closely: the last draw takes a prefix of its block in has
 one whose size fits what is still missing best.
 
 Scale: one narrow pass finds sizes; sums for (source, block) combine before they shuffle, and joins use (source,
-block), so a source with a third of all rows is spread over BLOCKS keys. The driver sees one row for each source, the
-same length as the list of weights, and never documents.
+block), so a source with a third of all rows is spread over BLOCKS keys. The driver sees one row for each source (weights repeat over
+them), never documents: sources are a list that somebody keeps, and the tree draws for all of them together. Sides that have a row for
+each source are broadcast up to BROADCAST_BLOCKS rows and shuffled beyond.
 
 Defined results: null text has size 0; null source is a source of its own and comes last. Sizes of 0 are taken 0
 words whatever the plan. Repeated ids stand or fall together, each row counting its own size. An empty table gives no
-rows. Every choice comes from hashes and a seed, so reruns agree.
+rows. Very long texts are counted whole. Every choice comes from hashes and a seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -116,19 +117,20 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
     for r, t in zip(found, goal, strict=True):
         full = min(2, int(t // r["words"])) if r["words"] else 0
         rows.append((r["_source"], r["words"], t, full, t - full * r["words"]))
+    small = F.broadcast if len(rows) <= BROADCAST_BLOCKS else (lambda side: side)
     sources = spark.createDataFrame(rows, "_source string, _source_size long, _target double, _full int, _rest double")
     ordered = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), "_source", "_block"), "_block")
     ranked = blocks.withColumns({"_rank": F.row_number().over(ordered) - 1, "_upto": F.sum("_words").over(ordered.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.count("*").over(Window.partitionBy("_source"))})
-    ranked = cut(ranked.join(F.broadcast(sources), "_source").withColumns({"_whole": F.col("_upto") <= F.col("_rest"), "_last": (F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_words") < F.col("_rest"))}), "mix-ranked")
+    ranked = cut(ranked.join(small(sources), "_source").withColumns({"_whole": F.col("_upto") <= F.col("_rest"), "_last": (F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_words") < F.col("_rest"))}), "mix-ranked")
     # the block that the target cuts: its documents in hash order, as far as they fit
     last = ranked.filter("_last").select("_source", "_block", (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_room"))
-    inside = keyed.join(F.broadcast(last), ["_source", "_block"]).groupBy("_source", "_order", "_room").agg(F.sum("_size").alias("_size"))
+    inside = keyed.join(small(last), ["_source", "_block"]).groupBy("_source", "_order", "_room").agg(F.sum("_size").alias("_size"))
     summed = inside.withColumn("_sum", F.sum("_size").over(Window.partitionBy("_source").orderBy("_order").rangeBetween(Window.unboundedPreceding, 0)))
     prefix = last.join(summed.filter("_sum <= _room").groupBy("_source").agg(F.max("_order").alias("_cut"), F.max("_sum").alias("_got")), "_source", "left").select(
         "_source", "_block", F.coalesce("_cut", F.lit(-(1 << 63)).cast("long")).alias("_cut"), (F.col("_room") - F.coalesce("_got", F.lit(0))).alias("_missing")
     )
     # one more document that the last pass lacks: the one nearest to what is missing, if that is nearer than none
-    lacking = keyed.join(ranked.filter("_last OR NOT _whole").select("_source", "_block", "_last"), ["_source", "_block"]).join(F.broadcast(prefix.select("_source", "_cut", "_missing")), "_source")
+    lacking = keyed.join(ranked.filter("_last OR NOT _whole").select("_source", "_block", "_last"), ["_source", "_block"]).join(small(prefix.select("_source", "_cut", "_missing")), "_source")
     lacking = lacking.filter("(NOT _last OR _order > _cut) AND _size > 0 AND _size < 2 * _missing")
     extra = lacking.groupBy("_source").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_missing")).alias("off"), "_order", "_block")).alias("x"))
     ends = {r["_source"]: r for r in prefix.join(extra, "_source", "left").select("_source", "_block", "_cut", "x").collect()}  # a row for each source
@@ -143,7 +145,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         shard = int(np.searchsorted(bounds, quotas[i] - 1, "right")) if end else None
         figures.append((key, words, target, full, bounds, end and end["_cut"], x and x["_order"], x and x["_block"], shard))
     figures = spark.createDataFrame(figures, "_source string, _source_size long, _target double, _full int, _bounds array<long>, _cut long, _extra long, _extra_block int, _extra_shard int")
-    table = ranked.select("_source", "_block", "_rank", "_n", F.col("_whole") | F.col("_last"), "_last").toDF("_source", "_block", "_rank", "_n", "_again", "_last").join(F.broadcast(figures), "_source")
+    table = ranked.select("_source", "_block", "_rank", "_n", F.col("_whole") | F.col("_last"), "_last").toDF("_source", "_block", "_rank", "_n", "_again", "_last").join(small(figures), "_source")
 
     def draw(copy: Column) -> Column:
         at = copy * F.col("_n") + F.col("_rank")

@@ -43,7 +43,8 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.amounts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """shards: the output shard of each copy taken, as the splitting tree deals the source's blocks."""
+    return mixing.amounts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
