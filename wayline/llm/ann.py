@@ -3,15 +3,18 @@
 A vector is approximated by the sum of one word from each of STAGES full-dimensional codebooks, fitted stage by stage on the residuals
 of a bounded sample. Encoding is a beam search over the stages. With the approximation's squared norm
 stored beside the code, a query's squared distance needs one look-up for each stage: norm - 2 * sum(dot products of the query and the words).
-The best RERANK approximate candidates of each block are measured again on the original vectors.
+The RERANK approximate candidates of a query are measured again on the original vectors.
 
-Scale: rows are dealt into blocks of ROWS_BLOCK vectors and queries into blocks of QUERIES_BLOCK; a task holds one of each. Queries are
-a stated set, compared in blocks with all rows; for each block pair only the nearest survive, and the last ranking sees
-k rows for each query and block.
+Rows lie in coarse cells (the nearest of some centroids of the sample). A query looks into as many of its nearest cells as the sample's own vectors
+need to have AIM of their true neighbours inside; where vectors have no structure, that is all cells.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id and vectors of
-another length than the most frequent one (of equally frequent ones, the shortest). Equal distances go to the smaller id. With fewer
-candidates than k all are returned. Of rows with a repeated id each is a candidate, none for its own id's query. An empty table gives no rows.
+Scale: what meets queries is codes and norms, 40 bytes a row, once for each block of queries of a cell. A cell of any size is cut into
+blocks of ROWS_BLOCK by hash, and a task holds one of them with at most QUERIES_BLOCK queries. A block keeps RERANK candidates of each query,
+the best RERANK of all blocks are joined with their vectors, and k of them stay.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of different
+lengths are not compared; each length has its own codebooks, and a length that the sample lacks is measured exactly. Equal distances go to the smaller
+id. With fewer candidates than k all are returned. Of rows with a repeated id each is a candidate, none for its own id's query. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .embdedup import matrix, sound
-from .shared import cut
+from .shared import BROADCAST_IDS, cut
 
-#: Codebooks, words in each, beam width, vectors of the sample expected, candidates measured exactly for each query and block, and block sizes.
-STAGES, WORDS, BEAM, SAMPLE, RERANK, ROWS_BLOCK, QUERIES_BLOCK = 16, 256, 6, 8192, 400, 16384, 512
+#: Codebooks, words in each, beam width, vectors of the sample at most, and candidates of a query that are measured exactly.
+STAGES, WORDS, BEAM, SAMPLE, RERANK = 16, 256, 4, 8192, 400
+#: Rows and queries in a block, rows for each coarse cell aimed at, cells at most, and the share of the sample's neighbours that probes must hold.
+ROWS_BLOCK, QUERIES_BLOCK, PER_CELL, CELLS, AIM = 16384, 1024, 4096, 1024, 0.98
 
 
 @dataclass
@@ -38,13 +43,14 @@ class Quantiser:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, stages) and squared norms of what they add up to; a beam search over the stages."""
         codes, norms = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x))
-        squared = (self.books**2).sum(2)
+        x = x.astype(np.float32)  # codes are approximate anyway
+        squared = (self.books.astype(np.float32) ** 2).sum(2)
         for at in range(0, len(x), 1024):
             part = x[at : at + 1024]
             n = len(part)
             rest, error = part[:, None, :], (part**2).sum(1)[:, None]
             held = np.zeros((n, 1, 0), np.uint8)
-            for book, norm in zip(self.books, squared, strict=True):
+            for book, norm in zip(self.books.astype(np.float32), squared, strict=True):
                 after = (error[:, :, None] + norm - 2 * (rest @ book.T)).reshape(n, -1)
                 width = min(beam, after.shape[1])
                 best = np.argpartition(after, width - 1, axis=1)[:, :width]
@@ -86,63 +92,111 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum((rows - query) ** 2, axis=1)[:, -1])
 
 
+@dataclass
+class Index:
+    """Of one length of vectors: the quantiser, the centroids of the coarse cells, and how many of them a query looks into."""
+
+    quantiser: Quantiser
+    centroids: np.ndarray
+    probes: int
+
+    def cells(self, x: np.ndarray, many: int) -> np.ndarray:
+        """The nearest cells of each vector, nearest first."""
+        away = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+        return np.argsort(away, axis=1, kind="stable")[:, :many]
+
+
+def learn(sample: np.ndarray, rows: int, k: int) -> Index:
+    """An index for about so many rows like the sample."""
+    rng = np.random.default_rng(5)
+    n = int(np.clip(rows // PER_CELL, 1, min(CELLS, len(sample))))
+    centroids = sample[rng.choice(len(sample), n, replace=False)].copy()
+    for _ in range(8 if n > 1 else 0):
+        near = ((centroids**2).sum(1) - 2 * sample @ centroids.T).argmin(1)
+        many = np.bincount(near, minlength=n)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, near, sample)
+        centroids[many > 0] = sums[many > 0] / many[many > 0, None]
+    index = Index(train(sample), centroids, n)
+    if n > 1:  # of true neighbours in the sample, how far down a query's list of cells they lie
+        some = sample[rng.choice(len(sample), min(256, len(sample)), replace=False)]
+        away = (sample**2).sum(1) - 2 * some @ sample.T
+        near = np.argpartition(away, min(k, len(sample) - 1), axis=1)[:, : k + 1]
+        home, order = index.cells(sample, 1)[:, 0], index.cells(some, n)
+        place = np.argsort(order, axis=1)[np.arange(len(some))[:, None], home[near]]
+        index.probes = int(np.quantile(place, AIM, method="higher")) + 1
+    return index
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERANK, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row where is_query (on vec_id) holds, among all others."""
-    spark = vectors.sparkSession
-    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    own = own.filter(sound(F.col("v")) & F.col("vec_id").isNotNull()).withColumn("_size", F.size("v"))
-    sizes = own.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_size").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = sizes[0]["n"]
-    own = own.filter(F.col("_size") == sizes[0]["_size"])
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = own.filter(chance < SAMPLE / n).select("vec_id", "v").toPandas().sort_values("vec_id")  # bounded: about SAMPLE vectors
-    if not len(sample):
-        sample = own.limit(1).select("vec_id", "v").toPandas()
-    quantiser = train(matrix(sample["v"]))
-    blocks = -(-n // ROWS_BLOCK)
+    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    own = own.filter(sound(F.col("v")) & F.col("vec_id").isNotNull()).withColumn("size", F.size("v"))
+    drawn = own.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v", "size").toPandas()  # SAMPLE vectors at most
+    n = own.count()
+    indexes = {int(size): learn(matrix(part["v"]), n * len(part) // len(drawn), k) for size, part in drawn.groupby("size")}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            codes, norms = quantiser.encode(matrix(batch["v"]))
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "code": [c.tobytes() for c in codes], "norm": norms})
-
-    index = cut(own.select("vec_id", "v").mapInPandas(encode, "vec_id long, v array<double>, code binary, norm double"), "ann-index")
-    queries = own.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    asked = cut(queries, "ann-queries")
-    parts = max(1, -(-asked.count() // QUERIES_BLOCK))
-    by_rows = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("rows_block")
-    by_queries = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("queries_block")
-    # each block of queries meets each block of rows once
-    left = index.select("vec_id", "v", "code", "norm", by_rows, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("queries_block"))
-    right = asked.select("query_id", "v", by_queries, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rows_block"))
+            for size, part in batch.groupby("size"):
+                found = indexes.get(int(size))
+                if found is None:
+                    yield part.assign(cell=0, code=None, norm=0.0)
+                else:
+                    x = matrix(part["v"])
+                    codes, norms = found.quantiser.encode(x)
+                    yield part.assign(cell=found.cells(x, 1)[:, 0].astype(np.int32), code=[c.tobytes() for c in codes], norm=norms)
+
+    element = own.schema["v"].dataType.simpleString()
+    coded = own.mapInPandas(encode, f"vec_id long, v {element}, size int, cell int, code binary, norm double")
+    # a row's number is as written: ids may be repeated
+    index = cut(coded.withColumn("row", F.monotonically_increasing_id()), "ann-index")
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, part in batch.groupby("size"):
+                found = indexes.get(int(size))
+                to = np.zeros((len(part), 1), np.int32) if found is None else found.cells(matrix(part["v"]), found.probes)
+                yield part.iloc[np.repeat(np.arange(len(part)), to.shape[1])].assign(cell=to.ravel().astype(np.int32))
+
+    queries = own.filter(is_query).select("vec_id", "v", "size").withColumn("query", F.xxhash64("vec_id", "v")).dropDuplicates(["vec_id", "v"])
+    asked = cut(queries.mapInPandas(probe, f"vec_id long, v {element}, size int, query long, cell int"), "ann-asked")
+    place = ["size", "cell"]
+    rows_in = index.groupBy(*place).agg(F.ceil(F.count("*") / ROWS_BLOCK).cast("int").alias("rows_blocks"))
+    asked_in = asked.groupBy(*place).agg(F.ceil(F.count("*") / QUERIES_BLOCK).cast("int").alias("queries_blocks"))
+    blocks = cut(rows_in.join(asked_in, place), "ann-blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_IDS else blocks
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c, many: F.pmod(F.xxhash64(c), F.col(many)).cast("int")
+    left = index.select("row", "vec_id", "code", "norm", *place, F.when(F.col("code").isNull(), F.col("v")).alias("v")).join(blocks, place).withColumns({"rows_block": part("row", "rows_blocks"), "queries_block": every("queries_blocks")})
+    right = asked.join(blocks, place).withColumns({"queries_block": part("query", "queries_blocks"), "rows_block": every("rows_blocks")})
 
     def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asked):
-            rows = rows.sort_values("vec_id", kind="stable")
-            ids, x = rows["vec_id"].to_numpy(), matrix(rows["v"])
-            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1)
-            norms = rows["norm"].to_numpy()
-            for query_id, v in zip(asked["query_id"], asked["v"], strict=True):
+            rows = rows.sort_values(["vec_id", "row"], kind="stable")
+            ids, numbers, found = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), indexes.get(int(rows["size"].iloc[0]))
+            if found is not None:
+                codes, norms = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1), rows["norm"].to_numpy()
+            for query, query_id, v in zip(asked["query"], asked["vec_id"], asked["v"], strict=True):
                 v = np.asarray(v, np.float64)
-                about = quantiser.distances(v, codes, norms)
+                about = exact(v, matrix(rows["v"])) if found is None else found.quantiser.distances(v, codes, norms)
                 about[ids == query_id] = np.inf
-                if len(ids) > rerank:
+                some = np.flatnonzero(ids != query_id)
+                if len(some) > rerank:
                     limit = np.partition(about, rerank - 1)[rerank - 1]
                     some = np.flatnonzero(about < limit)
                     # equal codes are equally near: the smaller ids fill what is left
                     some = np.concatenate([some, np.flatnonzero(about == limit)[: rerank - len(some)]])
-                else:
-                    some = np.arange(len(ids))
-                some = some[ids[some] != query_id]
-                d = exact(v, x[some])
-                best = np.lexsort((ids[some], d))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[some][best], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["rows_block", "queries_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+                out.append(pd.DataFrame({"query": query, "query_id": query_id, "vec_id": ids[some], "row": numbers[some], "about": about[some]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query", "query_id", "vec_id", "row", "about")})
+
+    keys = [*place, "rows_block", "queries_block"]
+    found = left.drop("rows_blocks", "queries_blocks").groupBy(*keys).cogroup(right.drop("rows_blocks", "queries_blocks").groupBy(*keys)).applyInPandas(nearest, "query long, query_id long, vec_id long, row long, about double")
+    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("about", "vec_id", "row"))).filter(F.col("_n") <= rerank)
+    measured = best.join(index.select("row", F.col("v").alias("r")), "row").join(queries.select("query", F.col("v").alias("q")), "query")
+    # in double precision, components added in order
+    squares = F.zip_with("r", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    measured = measured.select("query", "query_id", "vec_id", "row", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+    ranked = measured.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
