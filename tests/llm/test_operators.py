@@ -160,6 +160,37 @@ def test_quotas_are_split_exactly():
     assert (out == mixing.split_quotas(quotas, 7, 1)).all()
 
 
+def test_blocks_are_dealt_as_the_tree_says(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 9))), "en", "abc"[min(2, i % 7)], 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, DOCS)
+    made = mixing.plan(mixing.sized(d), shards=6, seed=9)
+    blocks = made.blocks.collect()
+    # brute force: each source's draws, pass after pass in the permuted order of its blocks, go to shards by the tree's exact quotas
+    drawn = {}
+    for r in blocks:
+        for x in r["_draws"]:
+            drawn.setdefault(r["_source"], []).append((x["copy"], r["_block"], x["shard"]))
+    keys = sorted(drawn, key=lambda k: (k == "~", k))
+    quotas = [len(drawn[k]) for k in keys]
+    dealt = mixing.split_quotas(quotas, 6, 9)
+    for i, k in enumerate(keys):
+        assert [sum(x[2] == shard for x in drawn[k]) for shard in range(6)] == dealt[:, i].tolist()
+        assert len({x[:2] for x in drawn[k]}) == len(drawn[k])  # disjoint
+    told = [{(r["doc_id"], *r["shards"]) for r in mixing.amounts(d, shards=n, seed=9).collect()} for n in (2, 6)]
+    assert told[0] != told[1]  # the result says where the tree sends each copy
+
+
+def test_splits_follow_the_distribution():
+    # the first of two shards takes half of all draws; of a source it takes a hypergeometric number
+    quotas, n = [12, 20, 8], 4000
+    first = np.array([mixing.split_quotas(quotas, 2, seed)[0] for seed in range(n)])
+    assert (first.sum(1) == 20).all()
+    for i, q in enumerate(quotas):
+        chance = np.array([math.comb(q, x) * math.comb(40 - q, 20 - x) / math.comb(40, 20) for x in range(q + 1)])
+        assert np.abs(np.bincount(first[:, i], minlength=q + 1) / n - chance).max() < 0.03
+
+
 def test_mix(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["b", "a", None, "é"][i % 4 if i % 3 else 0], 0) for i in range(800)] + [(9000, None, None, "b", 0), (1, "again and again", "en", "b", 0), (None, "no id", "en", "a", 0)]
@@ -349,6 +380,14 @@ def test_embedding_links_equal_brute_force(spark, small, monkeypatch):
     assert embdedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    a, b = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    near = lambda v, x: [c + x * (i == 5) for i, c in enumerate(v)]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a, 0.01), 0), (3, near(b, 0.01), 0), (4, near(b, 0.02), 0), (None, a, 0), (7, b, 1)]
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([("1", 1, 1, True), ("1", 2, 1, True), ("2", 1, 1, False), ("3", 2, 1, False), ("4", 2, 1, False), ("None", 0, None, True), ("7", 0, 7, True)])
+
+
 def test_search_finds_what_brute_force_finds(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROWS_BLOCK", 700)
     monkeypatch.setattr(ann, "QUERIES_BLOCK", 9)
@@ -369,6 +408,17 @@ def test_search_finds_what_brute_force_finds(spark, monkeypatch):
         hits += len({i for _, i, _ in mine} & {i for _, i in best})
         total += 10
     assert hits >= 0.95 * total and [i for _, i, _ in sorted(got[20])] == list(range(30, 40))
+    # other lengths are searched among themselves, also where the sample lacks them
+    odd = [(5000 + i, [float(i), 1.0, 2.0]) for i in range(1, 30)]
+    lengths = ann.search(d.select("vec_id", "embedding").unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<double>")), F.col("vec_id") == 5020, 3).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(lengths, key=lambda r: r["rank"])] == [(5019, 1.0), (5021, 1.0), (5018, 2.0)]
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    monkeypatch.setattr(ann, "PER_CELL", 100)  # many cells, and a table of several samples' size
+    hits = 0
+    for r in ann.search(d, F.col("vec_id") % 20 == 0, 10, rerank=60).collect():
+        best = sorted((float(np.sqrt(np.cumsum((ok[i] - ok[r["query_id"]]) ** 2)[-1])), i) for i in ok if i != r["query_id"])[:10]
+        hits += r["vec_id"] in {i for _, i in best}
+    assert hits >= 0.9 * total
     few = ann.search(d.limit(4), F.col("vec_id") == 0).collect()
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3] and ann.search(d.limit(0), F.lit(True)).count() == 0
 

@@ -163,12 +163,14 @@ def across(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     open_ = cut(members.join(largest, "cluster").withColumn("out", F.col("component") != F.col("largest")), "minhash-open")
     blocks = open_.groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("outs"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("mems"))
     rows = open_.join(blocks, "cluster")
+    # small clusters share units, as many as their shingles fill blocks
+    units = max(4096, (open_.agg(F.sum("n")).first()[0] or 0) // BLOCK)
     big = F.col("mems") > 1
     part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     unit = F.concat_ws("/", "cluster", "o", "m")
     columns = ["doc_id", "cluster", "component", "out", "mem", "unit"]
-    small = rows.filter(~big).withColumns({"mem": F.lit(True), "unit": F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(4096)).cast("string"))}).select(columns)
+    small = rows.filter(~big).withColumns({"mem": F.lit(True), "unit": F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(units)).cast("string"))}).select(columns)
     outs = rows.filter(big & F.col("out")).withColumn("o", part("o", "outs")).withColumn("m", every("mems")).withColumns({"mem": F.lit(False), "unit": unit}).select(columns)
     mems = rows.filter(big).withColumn("m", part("m", "mems")).withColumn("o", every("outs")).withColumns({"mem": F.lit(True), "out": F.lit(False), "unit": unit}).select(columns)
 

@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders of the tables that cut() has written in this process and nobody has cleared.
+WRITTEN: list[str] = []
 #: Rows and bytes in an Arrow batch where whole texts go to Python.
 TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -45,6 +47,7 @@ def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     usual = {k: spark.conf.get(k, None) for k in TEXT_BATCH} if texts else {}
     for k in usual:
         spark.conf.set(k, TEXT_BATCH[k])
@@ -56,12 +59,13 @@ def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def clear(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables that cut() has written since it had written so many, but for the newest `keep`: once a result is written, what led to it goes."""
+    paths = WRITTEN[since : len(WRITTEN) - keep]
+    del WRITTEN[since : len(WRITTEN) - keep]
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Ids that are broadcast at most (hashed, about 80 bytes each); more are joined by a shuffle.
