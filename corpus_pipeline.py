@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import minhash, mixing, packing, quality, toxicity
-from wayline.llm.shared import cut, fold_of
+from wayline.llm.shared import WRITTEN, clear, cut, fold_of
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good), ("toxicity", civil), ("near_dedup", distinct), ("mixing", mixed), ("packing", packed)]
 
-#: No stage can be said in SQL: models are trained, hashes drawn, texts tokenised. tests/llm holds each against brute force.
+#: No stage can be said in SQL: models are trained, hashes drawn, texts tokenised. tests/llm holds the operators against brute force where there is one
+#: (near duplicates, perplexities, targets, deals, places), and the stages against the operators.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = len(WRITTEN)
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, first)  # the stage before, and what this one wrote on its way
     return docs
