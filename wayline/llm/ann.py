@@ -9,7 +9,7 @@ Rows lie in coarse cells (the nearest of some centroids of the sample). A query
 need to have AIM of their true neighbours inside; where vectors have no structure, that is all cells.
 
 Scale: what meets queries is codes and norms, 40 bytes a row, once for each block of queries of a cell. A cell of any size is cut into
-blocks of ROWS_BLOCK by hash, and a task holds one of them with at most QUERIES_BLOCK queries. A block keeps RERANK candidates of each query,
+blocks of ROWS_BLOCK by hash, and a task holds one of them with about QUERIES_BLOCK queries. A block keeps PER_BLOCK candidates of each query,
 the best RERANK of all blocks are joined with their vectors, and k of them stay.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of different
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from .embdedup import matrix, sound
 from .shared import BROADCAST_IDS, cut
 
-#: Codebooks, words in each, beam width, vectors of the sample at most, and candidates of a query that are measured exactly.
-STAGES, WORDS, BEAM, SAMPLE, RERANK = 16, 256, 4, 8192, 400
+#: Codebooks, words in each, beam width, and vectors of the sample at most.
+STAGES, WORDS, BEAM, SAMPLE = 16, 256, 4, 8192
+#: Candidates of a query that are measured exactly, how many of them one block may give, and queries whose vectors are broadcast at most.
+RERANK, PER_BLOCK, BROADCAST_QUERIES = 1000, 300, 20_000
 #: Rows and queries in a block, rows for each coarse cell aimed at, cells at most, and the share of the sample's neighbours that probes must hold.
-ROWS_BLOCK, QUERIES_BLOCK, PER_CELL, CELLS, AIM = 16384, 1024, 4096, 1024, 0.98
+ROWS_BLOCK, QUERIES_BLOCK, PER_CELL, CELLS, AIM = 4096, 1024, 4096, 1024, 0.98
 
 
 @dataclass
@@ -160,6 +162,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
                 yield part.iloc[np.repeat(np.arange(len(part)), to.shape[1])].assign(cell=to.ravel().astype(np.int32))
 
     queries = own.filter(is_query).select("vec_id", "v", "size").withColumn("query", F.xxhash64("vec_id", "v")).dropDuplicates(["vec_id", "v"])
+    queries = cut(queries, "ann-queries")
     asked = cut(queries.mapInPandas(probe, f"vec_id long, v {element}, size int, query long, cell int"), "ann-asked")
     place = ["size", "cell"]
     rows_in = index.groupBy(*place).agg(F.ceil(F.count("*") / ROWS_BLOCK).cast("int").alias("rows_blocks"))
@@ -171,6 +174,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
     left = index.select("row", "vec_id", "code", "norm", *place, F.when(F.col("code").isNull(), F.col("v")).alias("v")).join(blocks, place).withColumns({"rows_block": part("row", "rows_blocks"), "queries_block": every("queries_blocks")})
     right = asked.join(blocks, place).withColumns({"queries_block": part("query", "queries_blocks"), "rows_block": every("rows_blocks")})
 
+    held = min(rerank, PER_BLOCK)
+
     def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asked):
@@ -183,18 +188,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
                 about = exact(v, matrix(rows["v"])) if found is None else found.quantiser.distances(v, codes, norms)
                 about[ids == query_id] = np.inf
                 some = np.flatnonzero(ids != query_id)
-                if len(some) > rerank:
-                    limit = np.partition(about, rerank - 1)[rerank - 1]
+                if len(some) > held:
+                    limit = np.partition(about, held - 1)[held - 1]
                     some = np.flatnonzero(about < limit)
                     # equal codes are equally near: the smaller ids fill what is left
-                    some = np.concatenate([some, np.flatnonzero(about == limit)[: rerank - len(some)]])
+                    some = np.concatenate([some, np.flatnonzero(about == limit)[: held - len(some)]])
                 out.append(pd.DataFrame({"query": query, "query_id": query_id, "vec_id": ids[some], "row": numbers[some], "about": about[some]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query", "query_id", "vec_id", "row", "about")})
 
     keys = [*place, "rows_block", "queries_block"]
     found = left.drop("rows_blocks", "queries_blocks").groupBy(*keys).cogroup(right.drop("rows_blocks", "queries_blocks").groupBy(*keys)).applyInPandas(nearest, "query long, query_id long, vec_id long, row long, about double")
     best = found.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("about", "vec_id", "row"))).filter(F.col("_n") <= rerank)
-    measured = best.join(index.select("row", F.col("v").alias("r")), "row").join(queries.select("query", F.col("v").alias("q")), "query")
+    own_vectors = queries.select("query", F.col("v").alias("q"))
+    measured = best.join(index.select("row", F.col("v").alias("r")), "row").join(F.broadcast(own_vectors) if queries.count() <= BROADCAST_QUERIES else own_vectors, "query")
     # in double precision, components added in order
     squares = F.zip_with("r", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
     measured = measured.select("query", "query_id", "vec_id", "row", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
