@@ -9,12 +9,13 @@ Template: a turn is "<|role|>\\n" + escaped text + "\\n<|end|>\\n". Inside texts
 reading back undoes it exactly. The loss mask is a list of spans (start, length in code points) of the formatted
 string: the texts of assistant turns.
 
-Scale: messages of one conversation meet only in ordered streams, never as a group in memory: the joins carry ids
-alone and take log2(depth) rounds, texts are joined once for chosen paths.
+Scale: the joins of ids take log2(depth) rounds and carry no texts; paths are enumerated for the chosen leaves only, and texts are joined
+once, to those. A chosen path is one string in the result, so its texts meet in one array; a whole tree never does. A path's texts, like any
+string, have to stay below 2 GB.
 
 Defined results: null text or role counts as empty, a null score as 0. A parent that doesn't exist makes a root. Repeated ids: the
 first row by (parent, role, text) counts. Messages on a cycle reach no root and are left out. Ties of branch score go to the smaller
-leaf. Rows with a null conversation id form one conversation whose id is null; an empty table gives no rows.
+leaf. Columns besides those named, whatever their names, are ignored. Very long texts stay whole. Rows with a null conversation id form one conversation whose id is null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,49 +59,64 @@ def from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> D
     )
 
 
-def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
+def first_of(messages: DataFrame) -> DataFrame:
+    """One row for each id: the first by (parent, role, text), those without a parent before the others."""
+    row = F.struct(
+        F.col("parent").isNotNull().alias("has"), "parent", F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    )
+    return messages.groupBy("id").agg(F.min(row).alias("m")).select("id", "m.parent", "m.role", "m.text", "m.score")
+
+
+def branches(messages: DataFrame, best: int | None = 1, unique: bool = False) -> DataFrame:
     """The best paths of each tree (all where best is None): root, leaf, branch_rank, branch_score, depth, and position and id of each message on the path.
 
-    Each round joins the pointer table with itself: a message that points 2^k up learns whom its target points at.
+    Each round joins the pointer table with itself: a message that points 2^k up learns whom its target points at, and the root once it is
+    passed. Leaves are ranked by root; paths are enumerated, by the same pointers, for the chosen leaves alone.
+    unique: no two rows share an id, so texts need not be compared to find the first.
     """
-    first = messages.groupBy("id").agg(F.min(F.struct(F.col("parent").isNotNull().alias("has"), "parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m"))
-    known = first.select("id", F.col("m.parent").alias("parent"), F.col("m.score").alias("score"))
+    known = (messages if unique else first_of(messages)).select("id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     kept = known.select(F.col("id").alias("p")).filter(F.col("p").isNotNull())
     # roots have no parent to look up, and would all meet at one key
     there = known.filter("id IS NOT NULL")
-    below = there.filter("parent IS NOT NULL").join(kept, F.col("parent") == F.col("p"), "left").select("id", F.col("p").alias("up"), F.lit(1).alias("steps"), "score")
-    links = cut(below.unionByName(there.filter("parent IS NULL").select("id", F.lit(None).cast("string").alias("up"), F.lit(1).alias("steps"), "score")), "chat-links")
+    below = there.filter("parent IS NOT NULL").join(kept, F.col("parent") == F.col("p"), "left").select("id", F.col("p").alias("up"), "score")
+    above = there.filter("parent IS NULL").select("id", F.lit(None).cast("string").alias("up"), "score")
+    root = F.when(F.col("up").isNull(), F.col("id")).alias("root")
+    links = cut(below.unionByName(above).select("id", "up", root, F.lit(1).alias("steps"), "score"), "chat-links")
     # jumps[k]: each message's ancestor 2^k up, while there is one
     jumps, at, total = [links.filter("up IS NOT NULL").select("id", "up")], links, links.count()
     while True:
-        # "up" is null once the root is passed: steps and score are then final, and only the others go on
-        target = at.select(F.col("id").alias("t"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("sum"))
-        moved = at.filter("up IS NOT NULL").join(target, F.col("up") == F.col("t")).select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("sum")).alias("score"))
+        # "up" is null once the root is passed: root, steps and score are then final, and only the others go on
+        target = at.select(F.col("id").alias("t"), F.col("up").alias("next"), "root", F.col("steps").alias("more"), F.col("score").alias("sum"))
+        moved = at.filter("up IS NOT NULL").drop("root").join(target, F.col("up") == F.col("t"))
+        moved = moved.select("id", F.col("next").alias("up"), "root", (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("sum")).alias("score"))
         at = cut(at.filter("up IS NULL").unionByName(moved), "chat-jump")
         open_ = at.filter("up IS NOT NULL")
         if open_.isEmpty() or (1 << len(jumps)) > total:
             break
         jumps.append(open_.select("id", "up"))
     # messages on a cycle, or below one, still point somewhere
-    done = at.filter("up IS NULL").select("id", F.col("steps").alias("depth"), (F.col("score") / F.col("steps")).alias("branch_score"))
-    leaves = done.join(links.filter("up IS NOT NULL").select(F.col("up").alias("id")).distinct(), "id", "left_anti")
-    paths = leaves.select(F.col("id").alias("leaf"), "depth", "branch_score", F.col("id").alias("id"), F.lit(0).alias("back"))
+    done = at.filter("up IS NULL").select(F.col("id").alias("leaf"), "root", F.col("steps").alias("depth"), (F.col("score") / F.col("steps")).alias("branch_score"))
+    leaves = done.join(links.filter("up IS NOT NULL").select(F.col("up").alias("leaf")).distinct(), "leaf", "left_anti")
+    ranked = leaves.withColumn("branch_rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("branch_score"), "leaf")))
+    if best is not None:
+        ranked = ranked.filter(F.col("branch_rank") <= best)
+    chosen = cut(ranked, "chat-leaves")
+    paths = chosen.select("leaf", F.col("leaf").alias("id"), F.lit(0).alias("back"))
     for k, jump in enumerate(jumps):
         # each round reads a written table, so the plan stays as small however deep the trees are
-        further = paths.join(jump.withColumnRenamed("id", "from"), F.col("id") == F.col("from")).select("leaf", "depth", "branch_score", F.col("up").alias("id"), (F.col("back") + (1 << k)).alias("back"))
+        further = paths.join(jump.withColumnRenamed("id", "from"), F.col("id") == F.col("from")).select("leaf", F.col("up").alias("id"), (F.col("back") + (1 << k)).alias("back"))
         paths = cut(paths.unionByName(further), "chat-paths")
-    paths = paths.withColumn("position", F.col("depth") - F.col("back"))
-    roots = paths.filter("position = 1").select("leaf", F.col("id").alias("root"), "branch_score")
-    ranked = roots.withColumn("branch_rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("branch_score"), "leaf")))
-    if best is not None:
-        ranked = ranked.filter(F.col("branch_rank") <= best)
-    return paths.drop("branch_score").join(ranked, "leaf")
+    return paths.join(chosen, "leaf").withColumn("position", F.col("depth") - F.col("back"))
 
 
-def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
-    """One row for each path: leaf, root, branch_rank, formatted text, and turns as (role, escaped text, start, loss): code point offsets of each text in the string."""
-    first = messages.groupBy("id").agg(F.min(F.struct(F.col("parent").isNotNull().alias("has"), "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
-    told = paths.join(first.select("id", F.col("m.role").alias("role"), F.col("m.text").alias("text")), "id")
+def format_paths(messages: DataFrame, paths: DataFrame, unique: bool = False) -> DataFrame:
+    """One row for each path: leaf, root, branch_rank, formatted text, and the spans of the loss mask as code point offsets in that text.
+
+    unique: as in branches.
+    """
+    own = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")) if unique else first_of(messages).select("id", "role", "text")
+    told = paths.select("leaf", "root", "branch_rank", "position", "id").join(own, "id")
     turn = F.struct("position", head(F.col("role")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss"))
     grouped = told.groupBy("leaf", "root", "branch_rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(TAIL))), "")

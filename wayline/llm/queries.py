@@ -30,7 +30,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     messages = chat.cut(chat.from_turns(turns), "chat-messages")
-    told = chat.read_back(chat.format_paths(messages, chat.branches(messages)))
+    told = chat.read_back(chat.format_paths(messages, chat.branches(messages, unique=True), unique=True))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return told.select(
         F.substring_index("root", "/", 1).try_cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
