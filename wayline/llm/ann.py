@@ -8,9 +8,10 @@ The RERANK approximate candidates of a query are measured again on the original
 Rows lie in coarse cells (the nearest of some centroids of the sample). A query looks into as many of its nearest cells as the sample's own vectors
 need to have AIM of their true neighbours inside; where vectors have no structure, that is all cells.
 
-Scale: what meets queries is codes and norms, 40 bytes a row, once for each block of queries of a cell. A cell of any size is cut into
-blocks of ROWS_BLOCK by hash, and a task holds one of them with about QUERIES_BLOCK queries. A block keeps PER_BLOCK candidates of each query,
-the best RERANK of all blocks are joined with their vectors, and k of them stay.
+Scale: what meets queries is codes and norms, 48 bytes a row, once for each block of queries of a cell. A cell of any size is cut into
+blocks of ROWS_BLOCK by hash, and a task holds one of them with about QUERIES_BLOCK queries. The blocks that a query looks into give SLACK * RERANK
+candidates together, in equal shares (k each at least), so candidates grow with the queries and not with queries times blocks;
+the best RERANK of them are joined with their vectors, and k of those stay.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of different
 lengths are not compared; each length has its own codebooks, and a length that the sample lacks is measured exactly. Equal distances go to the smaller
@@ -31,13 +32,26 @@ from .embdedup import matrix, sound
 from .shared import BROADCAST_IDS, cut
 
 #: Codebooks, words in each, beam width, and vectors of the sample at most.
-STAGES, WORDS, BEAM, SAMPLE = 16, 256, 4, 8192
-#: Candidates of a query that are measured exactly, how many of them one block may give, and queries whose vectors are broadcast at most.
-RERANK, PER_BLOCK, BROADCAST_QUERIES = 1000, 300, 20_000
+STAGES, WORDS, BEAM, SAMPLE = 24, 256, 2, 8192
+#: Candidates of a query that are measured exactly, how many times as many its blocks give together, and queries whose vectors are broadcast at most.
+RERANK, SLACK, BROADCAST_QUERIES = 300, 2, 20_000
 #: Rows and queries in a block, rows for each coarse cell aimed at, cells at most, and the share of the sample's neighbours that probes must hold.
 ROWS_BLOCK, QUERIES_BLOCK, PER_CELL, CELLS, AIM = 4096, 1024, 4096, 1024, 0.98
 
 
+def least(x: np.ndarray, width: int, strides: int = 16) -> np.ndarray:
+    """Places of the `width` least values of each row, in any order: they lie in the groups (every so many places) with the least minima."""
+    n, m = x.shape
+    if m % strides or m // strides <= width:
+        return np.argpartition(x, width - 1, axis=1)[:, :width]
+    grouped = x.reshape(n, strides, -1)
+    minima = grouped.min(1)
+    groups = np.argpartition(minima, width - 1, axis=1)[:, :width]
+    some = np.take_along_axis(grouped, groups[:, None, :], 2).reshape(n, -1)
+    row, at = np.divmod(np.argpartition(some, width - 1, axis=1)[:, :width], width)
+    return row * (m // strides) + np.take_along_axis(groups, at, 1)
+
+
 @dataclass
 class Quantiser:
     books: np.ndarray  # (stages, words, dimensions)
@@ -53,9 +67,9 @@ class Quantiser:
             rest, error = part[:, None, :], (part**2).sum(1)[:, None]
             held = np.zeros((n, 1, 0), np.uint8)
             for book, norm in zip(self.books.astype(np.float32), squared, strict=True):
-                after = (error[:, :, None] + norm - 2 * (rest @ book.T)).reshape(n, -1)
-                width = min(beam, after.shape[1])
-                best = np.argpartition(after, width - 1, axis=1)[:, :width]
+                dots = (rest.reshape(-1, x.shape[1]) @ book.T).reshape(*rest.shape[:2], -1)  # one product for the whole part
+                after = (error[:, :, None] + norm - 2 * dots).reshape(n, -1)
+                best = least(after, min(beam, after.shape[1]))
                 row, word = np.divmod(best, len(book))
                 error = np.take_along_axis(after, best, 1)
                 rest = np.take_along_axis(rest, row[:, :, None], 1) - book[word]
@@ -172,9 +186,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda c, many: F.pmod(F.xxhash64(c), F.col(many)).cast("int")
     left = index.select("row", "vec_id", "code", "norm", *place, F.when(F.col("code").isNull(), F.col("v")).alias("v")).join(blocks, place).withColumns({"rows_block": part("row", "rows_blocks"), "queries_block": every("queries_blocks")})
-    right = asked.join(blocks, place).withColumns({"queries_block": part("query", "queries_blocks"), "rows_block": every("rows_blocks")})
-
-    held = min(rerank, PER_BLOCK)
+    met = asked.join(blocks, place)
+    shares = met.groupBy(F.col("query").alias("_query")).agg(F.greatest(F.lit(k), F.least(F.lit(rerank), F.ceil(F.lit(SLACK * rerank) / F.sum("rows_blocks")))).cast("int").alias("share"))
+    right = met.join(shares, F.col("query") == F.col("_query")).drop("_query").withColumns({"queries_block": part("query", "queries_blocks"), "rows_block": every("rows_blocks")})
 
     def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -183,7 +197,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
             ids, numbers, found = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), indexes.get(int(rows["size"].iloc[0]))
             if found is not None:
                 codes, norms = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1), rows["norm"].to_numpy()
-            for query, query_id, v in zip(asked["query"], asked["vec_id"], asked["v"], strict=True):
+            for query, query_id, v, held in zip(asked["query"], asked["vec_id"], asked["v"], asked["share"], strict=True):
                 v = np.asarray(v, np.float64)
                 about = exact(v, matrix(rows["v"])) if found is None else found.quantiser.distances(v, codes, norms)
                 about[ids == query_id] = np.inf
