@@ -186,6 +186,19 @@ SQL: dict[str, str] = {
     "min_crop": _with(_CROPS, "SELECT det_id FROM k WHERE x2 - x1 >= 24 AND y2 - y1 >= 24"),
     "labels_fmt": _with(_D, "SELECT det_id, 'GID ' || person || CASE WHEN det_id % 3 <> 0 THEN printf(' %.2f', conf) ELSE '' END || ' | L' || tid AS label, printf('batch-match:%.2f', conf) || CASE WHEN det_id % 4 = 0 THEN ' | OCC' ELSE '' END AS detail, CASE WHEN det_id % 4 = 0 THEN 255 ELSE 0 END AS red FROM d"),
     "local_gid": _with(_D, "SELECT det_id, cam_name || '-' || tid AS gid, CAST(tid AS VARCHAR) AS tracker FROM d"),
+    "annotated_rows": _with(
+        _PAIRS,
+        "SELECT det_id, 'GID ' || person AS label, printf('batch-match:%.2f', conf) || CASE WHEN o.at IS NOT NULL THEN ' | OCC' ELSE '' END AS detail, "
+        "CASE WHEN o.at IS NOT NULL THEN 255 ELSE 0 END AS red FROM d LEFT JOIN (SELECT cam_name, frame_no, det_idx, det_idx AS at FROM f) o USING (cam_name, frame_no, det_idx)",
+    ),
+    "image_base64": _with(
+        _LOG, "SELECT seq, CAST(strlen(c) AS BIGINT) AS length, base64(encode(c)) AS image_base64 FROM (SELECT seq, concat_ws('|', url, points) AS c FROM log)"
+    ),
+    "floorplan_default": _with(
+        _LOG,
+        "SELECT true AS uploaded, CAST(coalesce(max(length(url)), 900) AS BIGINT) AS width, CAST(coalesce(max(length(points)), 600) AS BIGINT) AS height "
+        "FROM log WHERE points LIKE '[[%' UNION ALL SELECT false, 900, 600",
+    ),
     "safe_filename": _with(_LOG, r"SELECT seq, coalesce(nullif(trim(regexp_replace(CASE WHEN seq % 9 = 0 THEN '/()/' ELSE url END, '[^\p{L}\p{N} ._-]', '', 'g')), ''), 'video_' || seq || '.mp4') AS name FROM log"),
     "url_kind": _with(_LOG, "SELECT seq, CAST(TRY_CAST(url AS BIGINT) AS VARCHAR) AS device, CASE WHEN video THEN 'video' ELSE 'camera' END AS source_type FROM parsed"),
     "fps_default": _with(_LOG, "SELECT seq, f AS fps, 1 / f AS delay FROM (SELECT seq, CAST(CASE WHEN seq % 11 = 0 OR seq % 5 = 0 OR seq % 4 < 2 THEN 25 ELSE (seq % 4 - 1) * 10 END AS DOUBLE) AS f FROM log)"),

@@ -12,7 +12,7 @@ from wayline.functions import geometry, scoring, text, vectors
 from wayline.operators import frames, history, matching
 from wayline.plans.calibration import H, HEIGHT, SOURCE, TARGET, WIDTH
 from wayline.sources import detections, registry
-from wayline.streaming import identity
+from wayline.streaming import identity, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -114,6 +114,22 @@ def camera_config(log: DataFrame) -> DataFrame:
     return registry.config(_state(log))
 
 
+@registry_query
+def image_base64(log: DataFrame) -> DataFrame:
+    """Contents as base64; a log row's address and points stand in for a file's name and bytes."""
+    content = F.concat_ws("|", "url", "points").cast("binary")
+    files = registry.encoded(log.select(F.col("seq").alias("path"), F.length(content).cast("long").alias("length"), content.alias("content")))
+    return files.select(F.col("path").alias("seq"), "length", "image_base64")
+
+
+@registry_query
+def floorplan_default(log: DataFrame) -> DataFrame:
+    """The floorplan's size where one was uploaded, and the default size where none was."""
+    found = log.filter("points LIKE '[[%'").select(F.length("url").alias("width"), F.length("points").alias("height"))
+    some = registry.floorplan_size(found).withColumn("uploaded", F.lit(True))
+    return some.unionByName(registry.floorplan_size(found.limit(0)).withColumn("uploaded", F.lit(False))).select("uploaded", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
+
+
 # ---- projections
 
 
@@ -478,6 +494,13 @@ def latest_position(d: DataFrame) -> DataFrame:
     return history.latest_positions(sightings(d))
 
 
+@query
+def annotated_rows(d: DataFrame) -> DataFrame:
+    """What is written beside each box; the truth stands in for the identity and confidence for the score."""
+    s = frames.flagged(d.drop("emb")).withColumns({"gid": F.col("person"), "source": F.lit("batch-match"), "score": F.col("conf")})
+    return sinks.annotated(s).select("det_id", "label", "detail", F.element_at("color", 3).alias("red"))
+
+
 @query
 def active_map(d: DataFrame) -> DataFrame:
     return history.active(history.latest_positions(sightings(d)))

@@ -75,7 +75,12 @@ def images(spark: SparkSession, path: str) -> DataFrame:
         files = spark.read.format("binaryFile").load(path)
     except AnalysisException:
         files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    return files.select("path", "length", "content", F.base64("content").alias("image_base64"))
+    return encoded(files)
+
+
+def encoded(files: DataFrame) -> DataFrame:
+    """files (path, length, content) with the content as base64 in one line."""
+    return files.select("path", "length", "content", F.translate(F.base64("content"), "\r\n", "").alias("image_base64"))
 
 
 def floorplan_size(found: DataFrame) -> DataFrame:
@@ -95,6 +100,13 @@ def save(state: DataFrame, path: str) -> None:
     state.write.mode("overwrite").parquet(path)
 
 
+def save_floorplan(uploaded: DataFrame, path: str) -> None:
+    """Of uploaded floorplans (seq, content, width, height) the newest, in place of the one before; without any the one before stays."""
+    newest = uploaded.orderBy(F.desc("seq")).limit(1)
+    if not newest.isEmpty():
+        newest.write.mode("overwrite").parquet(path)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _fit(source: pd.Series, target: pd.Series) -> pd.Series:
     whole = lambda p: None if p is None else [list(x) for x in p]

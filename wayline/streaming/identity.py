@@ -2,8 +2,8 @@
 
 The identity of a detection depends on what was decided before it on any camera of its site, so a site is the key: sites run in
 parallel, a site's frames in order. The same Site runs over a sorted table (assign) and in a stream (assign_stream).
-Time is the frame's own (ts_ms), so results can be repeated; late frames, older than the last frame of their site, are
-dropped in a stream.
+Time is the frame's own (ts_ms), so results can be repeated. In a stream frames wait until the watermark has passed them, and are then taken in
+order of time, so cameras may be behind each other by the stated delay, and a frame may come in parts. Later rows are dropped.
 
 Rows without a vector or with coordinates missing are dropped. A null track id counts as the detection's place in the frame.
 """
@@ -71,6 +71,10 @@ class Site:
             default=plain,
         )
 
+    def forget(self) -> None:
+        """After everything has expired: only the counters stay. Rings name identities that can't come back."""
+        self.identities, self.tracks, self.holds, self.recent, self.rings = {}, {}, {}, [], {}
+
     # ---- one frame
 
     def frame(self, cam: str, now: int, rows: list[dict]) -> list[dict]:
@@ -221,6 +225,13 @@ class Site:
         self.recent = [*self.recent, {"gid": gid, "cam": cam, "emb": r["unit"], "map": r["map"], "size": r["size"], "ts": now}][-C.CACHE :]
 
 
+def _plain(value):  # noqa: ANN001, ANN202
+    """A value of a row as JSON can hold it; what is missing is null."""
+    if isinstance(value, (np.ndarray, list)):
+        return [float(x) for x in value]
+    return None if pd.isna(value) else value.item() if isinstance(value, np.generic) else value
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     for batch in batches:
         for r in batch.to_dict("records"):
@@ -266,26 +277,56 @@ def assign(detections: DataFrame) -> DataFrame:
 
 
 class SiteProcessor(StatefulProcessor):
-    """A site's state in the store, as one value: its size is bounded by the expiries and ring lengths."""
+    """Frames that wait, by time, and what the site remembers, bounded by expiries and ring lengths; an idle site keeps two numbers."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("site", "saved string")
+        self.waiting = handle.getMapState("waiting", "ts_ms long", "rows string")
+
+    def _site(self) -> Site:
+        return Site(self.state.get()[0] if self.state.exists() else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        site = Site(self.state.get()[0] if self.state.exists() else None)
-        # rows of a batch come in any order; those older than what the site has seen are late
-        ordered = sorted((r for r in _rows(rows) if r["ts_ms"] >= site.last_ms), key=lambda r: tuple(r[c] for c in ORDER))
-        for frame, own in groupby(ordered, _frame_of):
-            yield _results(site, frame, list(own))
+        done, fresh = self._site().last_ms, {}
+        for r in _rows(rows):
+            if r["ts_ms"] > done:
+                fresh.setdefault(int(r["ts_ms"]), []).append({c: _plain(r[c]) for c in COLUMNS})
+        for at, own in fresh.items():
+            before = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+            self.waiting.updateValue((at,), (json.dumps(before + own),))
+        for at in {min(fresh), max(fresh)} if fresh else ():
+            self.handle.registerTimer(at + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        times = sorted(t for (t,) in self.waiting.keys())
+        ready, idle = [t for t in times if t < now], int(C.MAX_IDLE * 1000)
+        site = self._site()
+        for at in ready:
+            rows = sorted(_rows([pd.DataFrame(json.loads(self.waiting.getValue((at,))[0]), columns=COLUMNS)]), key=lambda r: tuple(r[c] for c in ORDER))
+            self.waiting.removeKey((at,))
+            for frame, own in groupby(rows, _frame_of):
+                yield _results(site, frame, list(own))
+        if ready:
+            self.handle.registerTimer(site.last_ms + idle + 1)
+        if len(ready) < len(times):
+            self.handle.registerTimer(times[len(ready)] + 1)
+        elif now > site.last_ms + idle:
+            site.forget()
         self.state.update((site.saved(),))
 
     def close(self) -> None:
         pass
 
 
-def assign_stream(detections: DataFrame) -> DataFrame:
-    """Identities in a stream of the same columns (RocksDB state store). A batch must hold whole frames, as files of frames do."""
-    return detections.select(*COLUMNS).groupBy("site_id").transformWithStateInPandas(SiteProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+def assign_stream(detections: DataFrame, delay: str = "2 seconds") -> DataFrame:
+    """Identities in a stream of the same columns (RocksDB state store). delay: how far a camera may be behind the newest frame of all; a frame's
+    identities come out once the watermark has passed it."""
+    # a millisecond later than it is: a stream's watermark starts at zero, and what isn't after the watermark is late
+    timed = detections.select(*COLUMNS).withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1)).withWatermark("ts", delay)
+    return timed.groupBy("site_id").transformWithStateInPandas(SiteProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
 
 
 def latest_stream(assigned: DataFrame, positions: str = "map_x, map_y", key: Sequence[str] = ("site_id", "gid")) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,13 +22,26 @@ def annotated(assigned: DataFrame) -> DataFrame:
     )
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append to Parquet, exactly once by the checkpoint; once: what is there now, then stop."""
+def to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = False, fps: float | None = None) -> StreamingQuery:
+    """Append to Parquet, exactly once by the checkpoint; once: what is there now, then stop. fps: a batch for each frame's time, as a played file has it."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+    if not once and fps:
+        writer = writer.trigger(processingTime=f"{max(1, round(1000 / fps))} milliseconds")
     return (writer.trigger(availableNow=True) if once else writer).start(path)
 
 
-def to_map(latest: DataFrame, name: str, once: bool = False) -> StreamingQuery:
-    """Changed positions only, at the pace of the map, into a table in memory."""
-    writer = latest.writeStream.outputMode("update").format("memory").queryName(name)
+def to_map(latest: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Changed positions only, at the pace of the map, into a table of changes. A batch that runs again replaces what it had written."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=MAP_PACE)).start()
+
+
+def read_map(spark: SparkSession, path: str, key: Sequence[str] = ("site_id", "gid")) -> DataFrame:
+    """The map as the changes have left it: of each identity what its last batch said."""
+    changes = spark.read.parquet(path)
+    row = F.struct(*[c for c in changes.columns if c not in (*key, "batch")])
+    return changes.groupBy(*key).agg(F.max_by(row, "batch").alias("row")).select(*key, "row.*")
