@@ -234,6 +234,48 @@ def test_language_edges(spark):
     assert langid.fit(d.limit(0), F.lit(True)) is None and {r["lang_pred"] for r in langid.identify(d, None).collect()} == {"und"}
 
 
+def plain_subwords(text):
+    """Bytes of letters between blanks; each run of 2 to 4 bytes of a word with its two edges, but for runs that are blank at both ends."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    for word in low.split():
+        edged = b" " + word + b" "
+        for n, times in ((2, 2654435761), (3, 2246822519), (4, 3266489917)):
+            for at in range(len(edged) - n + 1):
+                part = edged[at : at + n]
+                if not (part[:1] == b" " and part[-1:] == b" "):
+                    yield (int.from_bytes(part, "little") * times & 0xFFFFFFFF) >> 17
+
+
+def test_language_scores_are_those_of_a_plain_walk(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL")
+    model = langid.fit(d, F.lit(True))
+    texts = [r["text"] for r in d.orderBy("doc_id").limit(40).collect()] + ["a", "to be", "İß x9y", "zz " * 5000, "!"]
+    got = model.predict(texts)
+    for text, best, score in zip(texts, *got, strict=True):
+        found = list(plain_subwords(text))
+        logits = [(sum(float(model.table[i, k]) for i in found) / max(1, len(found)) + model.bias[k]) / model.temperature for k in range(len(model.labels))]
+        p = [np.exp(x - max(logits)) for x in logits]
+        assert score == pytest.approx(max(p) / sum(p), abs=1e-6) and best == int(np.argmax(p))
+        alone = model.predict([text])  # neighbours in a batch don't matter
+        assert alone[0][0] == best and alone[1][0] == pytest.approx(score, abs=1e-9)
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("hello number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("guten tag").alias("text"), F.lit("de").alias("lang"))
+    sample, labels = langid.drawn(same.unionByName(copies), 400)
+    many = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert labels == ["de", "en"] and many == {"de": 1, "en": 400}
+
+
+def test_toxicity_scores_dont_depend_on_neighbours(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(d, labels, shared.fold_of(F.col("doc_id")) != 2)
+    texts = [r["text"] for r in d.filter("text IS NOT NULL").orderBy("doc_id").limit(60).collect()] + ["", "idiot", "x" * 50_000]
+    together = model.score(texts)
+    assert together == pytest.approx([float(model.score([t])[0]) for t in texts], abs=1e-12)
+
+
 def test_toxicity_of_held_out_texts(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(d, labels, shared.fold_of(F.col("doc_id")) != 2)

@@ -4,7 +4,7 @@ Subwords are the runs of 2 to 4 bytes inside a word of letters and its two edges
 taken as blanks), hashed to DIM embeddings. A text is the mean of its subwords' embeddings; since what follows is linear, a
 fitted model is one table (subword, language) and scoring is a look-up and a mean over the whole text.
 
-Fitting sees a bounded sample (PER_LABEL rows expected of each language, by hash of the id), so model and fit don't
+Fitting sees a bounded sample (PER_LABEL rows at most of each language, by hash of id and text), so model and fit don't
 grow with the table; scoring is one narrow pass. A temperature, fitted on a fifth of the sample, turns scores into probabilities, and the
 least probability at which accepted predictions of that fifth err at most max_error of the time is the rejection level (column accepted).
 
@@ -20,12 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import chunks, joined
 
-#: Hashed subwords, embedding size, and rows of the sample expected for each language.
+#: Hashed subwords, embedding size, and rows of the sample at most for each language.
 DIM, WIDTH, PER_LABEL = 1 << 15, 16, 400
 UNKNOWN = "und"
 
@@ -55,11 +55,17 @@ def subwords(buffer: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def parted(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One buffer of the run, each text after a blank of its own and before the next one's, and where those blanks are: no subword spans two texts."""
+    buffer, starts = joined(run)
+    return np.concatenate([np.full(1, 0x20, np.uint8), buffer]), starts
+
+
 def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct subwords and their shares."""
     out = []
     for _, run in chunks(texts):
-        buffer, starts = joined(run)
+        buffer, starts = parted(run)
         ids = subwords(buffer)
         for low, high in zip(starts, np.append(starts[1:], len(buffer)), strict=True):
             counts = np.bincount(np.concatenate([x[low:high] for x in ids]), minlength=DIM + 1)[:DIM]
@@ -77,7 +83,7 @@ class Model:
     level: float  # least accepted probability
 
     def logits(self, run: list[bytes]) -> np.ndarray:
-        buffer, starts = joined(run)
+        buffer, starts = parted(run)
         total, n = np.zeros((len(run), len(self.labels))), np.zeros(len(run))
         for ids in subwords(buffer):
             n += np.add.reduceat((ids < DIM).astype(np.int64), starts)
@@ -136,26 +142,39 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list
     return Model(labels, np.ascontiguousarray(table), bias.astype(float), temperature, level)
 
 
+def drawn(known: DataFrame, per_label: int) -> tuple[DataFrame, list[str]]:
+    """At most per_label rows of each language of known (doc_id, text, lang), as at, text and lang, and the languages.
+
+    Rows are drawn by a hash of id and text: a share of about twice as many, equal rows once, and of those the least hashes. So rows are
+    bounded, whatever ids are repeated or missing.
+    """
+    own = known.select(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text").alias("at"), "text", "lang")
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()}  # a row for each language
+    labels = sorted(counts)
+    if not labels:
+        return own, labels
+    shares = known.sparkSession.createDataFrame([(x, min(1.0, 2 * per_label / max(1, counts[x]))) for x in labels], "lang string, _share double")
+    chance = F.pmod(F.col("at"), F.lit(1 << 30)) / float(1 << 30)
+    some = own.join(F.broadcast(shares), "lang").filter(chance < F.col("_share")).drop("_share").dropDuplicates(["lang", "at"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("at"), F.lit(1 << 30)), "at"))
+    return some.withColumn("_place", place).filter(F.col("_place") <= per_label).select("at", "text", "lang"), labels
+
+
 def fit(docs: DataFrame, learn: Column, per_label: int = PER_LABEL) -> Model | None:
     """A model from a bounded sample of the rows of docs (doc_id, text, lang) where learn holds and text and lang are not null."""
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not counts:
+    sample, labels = drawn(docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()), per_label)
+    if not labels:
         return None
-    labels = sorted(counts)
-    shares = docs.sparkSession.createDataFrame([(x, min(1.0, per_label / counts[x])) for x in labels], "lang string, _share double")
-    chance = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").filter(chance < F.col("_share"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
                 own = bags(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang": part["lang"].to_numpy(), "ids": [x.tobytes() for x, _ in own], "shares": [x.tobytes() for _, x in own]})
+                yield pd.DataFrame({"at": part["at"].to_numpy(), "lang": part["lang"].to_numpy(), "ids": [x.tobytes() for x, _ in own], "shares": [x.tobytes() for _, x in own]})
 
-    found = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").mapInPandas(features, "doc_id string, lang string, ids binary, shares binary").collect()
-    found.sort(key=lambda r: (r["doc_id"] or "", r["lang"], r["ids"]))
+    found = sample.mapInPandas(features, "at long, lang string, ids binary, shares binary").collect()
+    found.sort(key=lambda r: (r["at"], r["lang"], r["ids"]))
     where = {x: i for i, x in enumerate(labels)}
     rows = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in found]
     return train(rows, np.array([where[r["lang"]] for r in found], int), labels)
