@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embdedup, exactdedup, langid, minhash, mixing, packing, quality, toxicity, urlfilter
+from . import ann, chat, embdedup, exactdedup, langid, lexical, minhash, mixing, packing, quality, toxicity, trie, urlfilter
 from .shared import fold_of
 
 
@@ -85,6 +85,19 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's best documents; only terms that some item holds are indexed."""
+    items = table(spark, sf_dir, "benchmark")
+    lists, n_docs = lexical.index(table(spark, sf_dir, "documents"), lexical.vocabulary_of(items))
+    return lexical.search(lists, n_docs, items).select(F.col("id").alias("item_id"), "rank", "doc_id", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations rebuilt as forks of each hundred's first."""
+    turns = trie.cut(trie.numbered(table(spark, sf_dir, "conversations")), "trie-turns")
+    return trie.tree(trie.forked(turns)).drop("digest")
+
+
 SQL: dict[str, str] = {
     "op2_chat_formatting": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,6 +146,39 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
 SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g ON g.x = t.x""",
+    "op12_lexical_search": r"""
+WITH x AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY doc_id, term), d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+t AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS qtf FROM b GROUP BY item_id, term),
+w AS (SELECT q.item_id, q.term, q.qtf * CAST(floor(1000 * ln((2 * t.docs + 2)::DOUBLE / (2 * f.df + 1)::DOUBLE)) AS BIGINT) AS w FROM q JOIN f USING (term), t),
+m AS (SELECT d.doc_id, 25 + (75 * d.n * t.docs) // t.terms AS m FROM d, t),
+s AS (SELECT w.item_id, p.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM w JOIN p ON p.term = w.term JOIN m ON m.doc_id = p.doc_id GROUP BY w.item_id, p.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op13_prefix_trie": r"""
+WITH RECURSIVE r0 AS (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, said, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(said)) AS pos FROM r0),
+i AS (SELECT DISTINCT conv_id FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+             lambda crc, b: list_reduce(range(8), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, b)), CAST(4294967295 AS BIGINT))) % 6 AS h FROM i),
+r AS (SELECT c.conv_id, 1 AS part, t.pos, t.said, t.chars FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+      UNION ALL SELECT c.conv_id, 2, t.pos, t.said, t.chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+s AS (SELECT conv_id, said, chars, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM r),
+p(conv_id, d, key, up, chars) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), sha256(''), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM c
+  UNION ALL SELECT p.conv_id, s.d, sha256(p.key || s.said), p.key, CAST(s.chars AS BIGINT) FROM p JOIN s ON s.conv_id = p.conv_id AND s.d = p.d + 1),
+n0 AS (SELECT d AS depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(up) AS up, max(chars) AS chars FROM p GROUP BY d, key),
+k AS (SELECT up AS key, count(*) AS n_children FROM n0 WHERE up IS NOT NULL GROUP BY up),
+n AS (SELECT n0.*, coalesce(k.n_children, 0) AS n_children FROM n0 LEFT JOIN k ON k.key = n0.key),
+u AS (SELECT a.key, sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.depth GROUP BY a.key),
+z AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+e AS (SELECT p.key, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM p JOIN z ON z.conv_id = p.conv_id AND z.d = p.d GROUP BY p.key)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+       CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN u ON u.key = n.key LEFT JOIN n q ON q.key = n.up LEFT JOIN e ON e.key = n.key""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -147,4 +193,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ann_search": op10_ann_search,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
