@@ -28,8 +28,11 @@ from pyspark.sql.types import StructType
 
 from .shared import BROADCAST_IDS, WRITTEN, cut, shared_dir
 
-#: The state store that keeps state on disk.
-ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: The state store that keeps state on disk, without megabytes set aside for each of its many small stores.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Into how many triggers the files that are there are dealt, and the least bytes of a trigger.
 TRIGGERS, LEAST = 4, 1 << 20
 #: Rows of a group that are compared with one copy of its text.
