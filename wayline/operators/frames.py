@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import constants as C
 from wayline.functions import geometry, scoring, vectors
+from wayline.operators import asof
 
 FRAME = ["cam_name", "frame_no"]
 
@@ -54,47 +55,35 @@ def flagged(detections: DataFrame) -> DataFrame:
     return detections.withColumn("_boxes", F.collect_list(b).over(Window.partitionBy(*FRAME))).withColumn("overlap", F.size(other) > 0).drop("_boxes")
 
 
-def starts(assigned: DataFrame, frames_in_block: int = 4096) -> DataFrame:
-    """cam_name, frame_no, _start: the number that a camera's first row of each frame has among all of the camera's rows, from 1."""
-    counts = assigned.groupBy(*FRAME).agg(F.count("*").alias("_many")).withColumn("_part", F.floor(F.col("frame_no") / frames_in_block))
-    sums = counts.groupBy("cam_name", "_part").agg(F.sum("_many").alias("_sum"))
-    before = Window.partitionBy("cam_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sums.select("cam_name", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("cam_name", "_part").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
-    own = counts.withColumn("_own", F.coalesce(F.sum("_many").over(inside), F.lit(0)))
-    return own.join(blocks, ["cam_name", "_part"]).select(*FRAME, (F.col("_before") + F.col("_own") + 1).alias("_start"))
-
-
 def previous(detections: DataFrame, assigned: DataFrame, ring: int = C.RING) -> DataFrame:
-    """Candidates for continuity: pairs of a detection and one of the last `ring` assignments of its camera before its frame.
+    """Candidates for continuity: pairs of a detection and one of the last `ring` assignments of its camera before its frame, which need not be assigned itself.
 
     assigned: cam_name, frame_no, det_idx, gid and a box. A pair counts if the boxes overlap enough or their centers are near. Rows are
     numbered along each camera, so the ring is a range of numbers, and both sides are dealt by (camera, number / ring):
-    a detection looks into two such blocks, never at a camera's whole history. Numbers are sums over blocks of frames, over a block's
-    frames, and inside a frame, so no task sees a camera's rows together either.
+    a detection looks into two such blocks, never at a camera's whole history.
     """
-    start = starts(assigned)
-    numbered = assigned.join(start, FRAME).withColumn("_n", F.row_number().over(Window.partitionBy(*FRAME).orderBy("det_idx")) + F.col("_start") - 1).drop("_start")
-    held = numbered.select("cam_name", F.col("_n"), "gid", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")], F.floor(F.col("_n") / ring).alias("_block"))
+    start = asof.starts(assigned, detections)
+    box = [F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")]
+    held = asof.numbered(assigned, start, FRAME).select("cam_name", "_n", "gid", *box, F.floor(F.col("_n") / ring).alias("_block"))
     looks = detections.join(start, FRAME).withColumn("_block", F.explode(F.sequence(F.floor((F.col("_start") - ring) / ring), F.floor((F.col("_start") - 1) / ring))))
-    pairs = looks.join(held, ["cam_name", "_block"]).filter((F.col("_n") >= F.col("_start") - ring) & (F.col("_n") < F.col("_start")))
+    pairs = looks.drop("gid").join(held, ["cam_name", "_block"]).filter((F.col("_n") >= F.col("_start") - ring) & (F.col("_n") < F.col("_start")))
     a, b = geometry.box(), geometry.box("p_")
     pairs = pairs.withColumns({"iou": geometry.iou(a, b), "dist": geometry.distance(*geometry.center(a), *geometry.center(b))})
     pairs = pairs.filter((F.col("iou") >= C.PREVIOUS_IOU) | (F.col("dist") <= C.CENTER_NEAR))
     return pairs.select(*FRAME, "det_idx", "gid", (F.col("iou") * 2.0 - F.col("dist") / C.CENTER_NEAR * 0.25).alias("score"))
 
 
-def gate(pending: DataFrame, identities: DataFrame, key: Sequence[str] = ("site_id",)) -> DataFrame:
+def gate(pending: DataFrame, identities: DataFrame, key: Sequence[str] = tuple(asof.CAMERA_FRAME)) -> DataFrame:
     """Identities that some pending detection of the same key could be: once one passes, the identity is scored against all of them."""
-    ok = scoring.can_match(F.col("now_ms"), F.col("cam_name"), F.col("map_x"), F.col("map_y"), F.col("box_w"), F.col("box_h"))
-    own = pending.select(*[F.col(k).alias(f"_{k}") for k in key], "now_ms", "cam_name", "map_x", "map_y", "box_w", "box_h")
+    ok = scoring.can_match(F.col("now_ms"), F.col("_cam"), F.col("map_x"), F.col("map_y"), F.col("box_w"), F.col("box_h"))
+    own = pending.select(*[F.col(k).alias(f"_{k}") for k in key], "now_ms", F.col("cam_name").alias("_cam"), "map_x", "map_y", "box_w", "box_h")
     for k in key:
         ok = (F.col(k) == F.col(f"_{k}")) & ok
     return identities.join(own, ok, "left_semi")
 
 
-def scored(pending: DataFrame, identities: DataFrame, key: Sequence[str] = ("site_id",)) -> DataFrame:
-    """All pairs of pending detections and identities of a key (site, or site and frame) with their parts and score.
+def scored(pending: DataFrame, identities: DataFrame, key: Sequence[str] = tuple(asof.CAMERA_FRAME)) -> DataFrame:
+    """All pairs of pending detections and identities of a key (a camera frame) with their parts and score.
 
     pending: site_id, det_id, cam_name, now_ms, emb, map_x/y, center_x/y, box_w/h, overlap, forced_gid. identities: site_id, gid, template, gallery,
     the id_ columns, and the camera and centers of the last sightings (h_cam, h_cx, h_cy, h_ms, h_w, h_h and b_cx, b_cy, b_ms before).
@@ -119,21 +108,32 @@ def scored(pending: DataFrame, identities: DataFrame, key: Sequence[str] = ("sit
     return pairs.withColumn("accepted", scoring.accept(F.col("appearance"), F.col("score"), F.col("same_camera"), F.col("overlap"), F.col("forced")))
 
 
-def recent_match(detections: DataFrame, sightings: DataFrame, block_ms: int = int(C.RECENT_WINDOW * 1000)) -> DataFrame:
-    """The best remembered sighting of the same camera for each detection: det_id, gid, score.
+def remembered(detections: DataFrame, sightings: DataFrame, window: float = C.RECENT_WINDOW, cache: int = C.CACHE) -> DataFrame:
+    """What the cache that all cameras of a site share offers each detection at its frame: det_id, gid, score, back (how many sightings ago, from 1).
 
-    A range join in time: both sides are dealt by (camera, time / window), so a detection meets two blocks of sightings and
-    no camera's whole history.
+    The cache holds the site's last `cache` sightings before the frame, and of those the detection's own camera's count, if they are not older than the window.
+    Sightings are numbered along the site, so the cache is a range of numbers, and both sides are dealt by (site, camera, number / cache).
     """
-    held = sightings.select("cam_name", "gid", F.col("ts_ms").alias("s_ms"), vectors.normalized(F.col("emb")).alias("s_emb"), F.col("map_x").alias("s_x"), F.col("map_y").alias("s_y"), F.col("box_w").alias("s_w"), F.col("box_h").alias("s_h"), F.floor(F.col("ts_ms") / block_ms).alias("_block"), F.col("det_id").alias("s_id"))
-    at = F.floor(F.col("ts_ms") / block_ms)
-    looks = detections.drop("gid").withColumn("_unit", vectors.normalized(F.col("emb"))).withColumn("_block", F.explode(F.array(at - 1, at)))
-    pairs = looks.join(held, ["cam_name", "_block"]).filter((F.col("s_ms") < F.col("ts_ms")) & (F.col("ts_ms") - F.col("s_ms") <= block_ms))
-    pairs = pairs.filter(scoring.size_gate(F.col("box_w"), F.col("box_h"), F.col("s_w"), F.col("s_h")))
-    dist = geometry.distance(F.col("map_x"), F.col("map_y"), F.col("s_x"), F.col("s_y"))
+    start = asof.site_starts(sightings, detections)
+    at = ["site_id", *asof.ORDER]
+    keep = [c for c in ("det_idx", "det_id", "gid", "emb", "map_x", "map_y", "box_w", "box_h") if c in sightings.columns]
+    rows = asof.numbered(sightings.select(*at, *keep), start, at)
+    held = rows.select("site_id", "cam_name", "_n", "gid", F.col("ts_ms").alias("s_ms"), vectors.normalized(F.col("emb")).alias("s_emb"), *[F.col(c).alias(f"s_{c}") for c in ("map_x", "map_y", "box_w", "box_h")], F.floor(F.col("_n") / cache).alias("_block"))
+    looks = detections.drop("gid").join(start, at).withColumn("_unit", vectors.normalized(F.col("emb")))
+    looks = looks.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_start") - cache) / cache), F.floor((F.col("_start") - 1) / cache))))
+    inside = (F.col("_n") >= F.col("_start") - cache) & (F.col("_n") < F.col("_start")) & (F.col("ts_ms") - F.col("s_ms") <= int(window * 1000))
+    pairs = looks.join(held, ["site_id", "cam_name", "_block"]).filter(inside)
+    pairs = pairs.filter(scoring.size_gate(F.col("box_w"), F.col("box_h"), F.col("s_box_w"), F.col("s_box_h")))
+    dist = geometry.distance(F.col("map_x"), F.col("map_y"), F.col("s_map_x"), F.col("s_map_y"))
     score = scoring.recent_score(vectors.dot(F.col("_unit"), F.col("s_emb")), dist, scoring.seconds(F.col("ts_ms"), F.col("s_ms")))
-    best = pairs.withColumn("score", score).filter(F.col("score") >= C.RECENT_LEAST)
-    return best.groupBy("det_id").agg(F.max(F.struct("score", "s_ms", "s_id", "gid")).alias("m")).select("det_id", "m.gid", "m.score")
+    good = pairs.withColumn("score", score).filter(F.col("score") >= C.RECENT_LEAST)
+    return good.select("det_id", "gid", "score", (F.col("_start") - F.col("_n")).alias("back"))
+
+
+def recent_match(detections: DataFrame, sightings: DataFrame) -> DataFrame:
+    """The best remembered sighting of each detection, of equal ones the newest: det_id, gid, score."""
+    best = F.max(F.struct("score", (-F.col("back")).alias("newest"), "gid")).alias("m")
+    return remembered(detections, sightings).groupBy("det_id").agg(best).select("det_id", "m.gid", "m.score")
 
 
 def attached(detections: DataFrame, results: DataFrame, column: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import constants as C
 from wayline.functions import geometry, scoring, vectors
+from wayline.operators import asof
 from wayline.sources.detections import newest
 
 #: Order of sightings: time, then the detection's number.
@@ -64,9 +65,9 @@ def active(latest: DataFrame, now_ms: int | None = None, ttl: float = C.MAP_TTL)
     return latest.join(F.broadcast(latest.agg(F.max("last_seen_ms").alias("_now")))).filter(F.col("_now") - F.col("last_seen_ms") <= int(ttl * 1000)).drop("_now")
 
 
-def trails(positions: DataFrame, n: int = 50) -> DataFrame:
-    """Each position with the last n of its identity, oldest first."""
-    w = Window.partitionBy("gid").orderBy(*SEEN).rowsBetween(1 - n, 0)
+def trails(positions: DataFrame, n: int = 50, key: Sequence[str] = ("gid",)) -> DataFrame:
+    """Each position with the last n of its identity, oldest first. key: as in latest_positions."""
+    w = Window.partitionBy(*key).orderBy(*SEEN).rowsBetween(1 - n, 0)
     return positions.withColumn("trail", F.collect_list(F.struct("map_x", "map_y")).over(w))
 
 
@@ -90,83 +91,114 @@ def recent_counts(assigned: DataFrame, window: float = C.RECENT_WINDOW) -> DataF
     return dealt.withColumn("remembered", F.count("*").over(w)).filter(F.col("_block") == at).drop("_block")
 
 
-def holds(overlapped: DataFrame, hold: float = C.HOLD) -> DataFrame:
-    """The last hold of each (camera, track): gid, until_ms."""
-    last = overlapped.groupBy("cam_name", "tid").agg(F.max_by(F.struct("gid", "ts_ms"), F.struct(*SEEN)).alias("h"))
-    return last.select("cam_name", "tid", F.col("h.gid").alias("held_gid"), (F.col("h.ts_ms") + int(hold * 1000)).alias("until_ms"))
+#: A local track: what a camera's tracker calls one object.
+TRACK = ("site_id", "cam_name", "tid")
+
 
+def holds(overlapped: DataFrame, hold: float = C.HOLD) -> DataFrame:
+    """When each track was held as whom: site_id, cam_name, tid, held_gid, from_ms, until_ms; holds after from_ms and up to until_ms.
 
-def held(detections: DataFrame, hold_rows: DataFrame, now: str = "ts_ms") -> DataFrame:
-    """Detections whose track is held at their time, with the held identity."""
-    return detections.join(hold_rows, ["cam_name", "tid"]).filter(F.col(now) <= F.col("until_ms"))
+    overlapped: assignments in an overlap. Each holds its track for a while, or until the next one; holds of one identity that follow each other are one.
+    """
+    own = Window.partitionBy(*TRACK).orderBy(*SEEN)
+    ms = int(hold * 1000)
+    opens = (F.lag("gid").over(own).eqNullSafe(F.col("gid")) & (F.col("ts_ms") - F.lag("ts_ms").over(own) <= ms)).eqNullSafe(False) | F.lag("ts_ms").over(own).isNull()
+    marked = overlapped.select(*TRACK, "gid", *SEEN, opens.cast("int").alias("_opens")).withColumn("_at", F.sum("_opens").over(own))
+    spans = marked.groupBy(*TRACK, "_at").agg(F.min("gid").alias("held_gid"), F.min("ts_ms").alias("from_ms"), (F.max("ts_ms") + ms).alias("_end"))
+    following = F.lead("from_ms").over(Window.partitionBy(*TRACK).orderBy("_at"))
+    return spans.withColumn("until_ms", F.least("_end", F.coalesce(following, "_end"))).drop("_at", "_end")
 
 
-def local_tracks(assigned: DataFrame) -> DataFrame:
-    """Each (camera, track) with its newest identity."""
-    last = assigned.groupBy("cam_name", "tid").agg(F.max_by("gid", F.struct(*SEEN)).alias("known_gid"), F.max("ts_ms").alias("known_ms"))
-    return last
+def held(detections: DataFrame, overlapped: DataFrame, hold: float = C.HOLD, more: Sequence[str] = ()) -> DataFrame:
+    """Detections with held_gid and until_ms of the hold that their track has at their frame (null: none), and more columns of the row that made it."""
+    found = asof.latest_before(detections, overlapped, TRACK, ["gid", *more], int(hold * 1000), name="_hold")
+    named = {"held_gid": F.col("_hold.gid"), "until_ms": F.col("_hold.ts_ms") + int(hold * 1000)} | {f"held_{c}": F.col(f"_hold.{c}") for c in more}
+    return found.withColumns(named).drop("_hold")
 
 
-def by_local_track(detections: DataFrame, tracks: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
-    """Detections with the identity their track is known by, unless it was idle too long."""
-    joined = detections.join(tracks, ["cam_name", "tid"], "left")
-    fresh = F.col("ts_ms") - F.col("known_ms") <= int(idle * 1000)
-    return joined.withColumn("known_gid", F.when(fresh, F.col("known_gid")))
+def by_local_track(detections: DataFrame, assigned: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
+    """Detections with known_gid and known_ms: the identity that their track had last before their frame, unless it was idle too long."""
+    found = asof.latest_before(detections, assigned, TRACK, ["gid"], int(idle * 1000), name="_track")
+    return found.withColumns({"known_gid": F.col("_track.gid"), "known_ms": F.col("_track.ts_ms")}).drop("_track")
 
 
 # ---- identities as known at a frame
 
-_IDENTITY, _ORDER = ["site_id", "gid"], ["frame_no", "ts_ms", "det_id"]
+_IDENTITY = ["site_id", "gid"]
 
 
-def running_templates(sightings: DataFrame) -> DataFrame:
-    """site_id, gid, frame_no, ts_ms, det_id and the identity's template after each sighting. A template is sequential by its meaning: a task streams
-    through its identities in order and holds one vector."""
+def known_at(camera_frames: DataFrame, sightings: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
+    """For each camera frame (site_id, cam_name, frame_no, ts_ms) the identities of its site that are alive right before it, as frames.gate takes them.
+
+    An identity is what its last sighting made it (version: that sighting's det_id), and dies once it has been idle too long: frames meet the identities
+    of two blocks of that length, so the work is linear in time.
+    """
+    ms = int(idle * 1000)
+    block = F.floor(F.col("ts_ms") / ms)
+    there = sightings.select(*_IDENTITY, F.explode(F.array(block, block + 1)).alias("_block")).distinct()
+    at = camera_frames.select(*asof.CAMERA_FRAME, "ts_ms").distinct().withColumn("_block", block)
+    looks = at.join(there, ["site_id", "_block"]).drop("_block")
+    scores = ["score"] if "score" in sightings.columns else []
+    found = asof.latest_before(looks, sightings, _IDENTITY, ["det_id", "cam_name", "map_x", "map_y", "box_w", "box_h", *scores], ms, name="_last").filter("_last IS NOT NULL")
+    names = {"version": "det_id", "id_last_cam": "cam_name", "id_last_ms": "ts_ms", "id_map_x": "map_x", "id_map_y": "map_y", "id_box_w": "box_w", "id_box_h": "box_h"} | {f"id_{c}": c for c in scores}
+    return found.select(*asof.CAMERA_FRAME, "gid", *[F.col(f"_last.{v}").alias(k) for k, v in names.items()])
+
+
+def with_motion(identities: DataFrame, assigned: DataFrame, ring: int = C.RING) -> DataFrame:
+    """identities (as known_at gives them) with their last two places in their frame's camera's ring: h_cam (null: not there), h_cx, h_cy, h_ms, h_w, h_h, b_cx, b_cy, b_ms."""
+    key = ["site_id", "cam_name", "gid"]
+    at = ["site_id", "cam_name", "frame_no"]
+    start = asof.starts(assigned, identities, ("site_id", "cam_name"))
+    rows = asof.numbered(assigned.select(*at, "det_idx", "det_id", "gid", "ts_ms", "center_x", "center_y", "box_w", "box_h"), start, at)
+    rows = asof.latest_before(rows, rows, key, ["center_x", "center_y", "ts_ms"], ring, "_n", (), "_back")
+    looks = identities.join(start, at).withColumnRenamed("_start", "_n")
+    found = asof.latest_before(looks, rows, key, ["cam_name", "center_x", "center_y", "ts_ms", "box_w", "box_h", "_back"], ring, "_n", (), "_in")
+    names = {"h_cam": "cam_name", "h_cx": "center_x", "h_cy": "center_y", "h_ms": "ts_ms", "h_w": "box_w", "h_h": "box_h"}
+    back = F.when(F.col("_n") - F.col("_in._back._n") <= ring, F.col("_in._back"))
+    past = {f"b_{k}": back[v] for k, v in (("cx", "center_x"), ("cy", "center_y"), ("ms", "ts_ms"))}
+    return found.withColumns({k: F.col(f"_in.{v}") for k, v in names.items()} | past).drop("_in", "_n")
+
+
+def vectors_of(sightings: DataFrame, asked: DataFrame | None = None, idle: float = C.MAX_IDLE) -> DataFrame:
+    """site_id, gid, version, template, gallery: what an identity looks like after each sighting that is asked for (site_id, gid, version), or after its last.
+
+    A template is sequential by its meaning: a task streams through its identities in order and holds one template and one gallery. After too long a time without
+    a sighting an identity begins anew.
+    """
+    ms, every_last = int(idle * 1000), asked is None
 
     def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held = None, None
+        known, seen, template, gallery, version = None, 0, None, [], None
+        row = lambda: (*known, version, template, list(gallery))
         for rows in batches:
             out = []
-            for site, gid, emb in zip(rows["site_id"].tolist(), rows["gid"].tolist(), rows["emb"], strict=True):
-                if (site, gid) != known:
-                    known, held = (site, gid), None
+            for site, gid, det, at, wanted, emb in zip(*(rows[c].tolist() for c in ("site_id", "gid", "det_id", "ts_ms", "_asked")), rows["emb"], strict=True):
+                if (site, gid) != known or at - seen > ms:
+                    if every_last and known is not None and (site, gid) != known:
+                        out.append(row())
+                    known, template, gallery = (site, gid), None, []
                 if emb is not None:
-                    held = _unit(emb) if held is None else _unit(held * C.KEEP + _unit(emb) * (1 - C.KEEP))
-                out.append(held)
-            yield rows[[*_IDENTITY, *_ORDER]].assign(template=out)
-
-    ordered = sightings.select(*_IDENTITY, *_ORDER, F.col("emb").cast("array<double>").alias("emb")).repartition(*_IDENTITY).sortWithinPartitions(*_IDENTITY, *_ORDER)
-    kinds = [f"{c} {sightings.schema[c].dataType.simpleString()}" for c in [*_IDENTITY, *_ORDER]]
-    return ordered.mapInPandas(mixed, ", ".join([*kinds, "template array<double>"]))
-
-
-def last_templates(sightings: DataFrame) -> DataFrame:
-    """site_id, gid and the identity's template after its last sighting."""
-    return running_templates(sightings).groupBy(*_IDENTITY).agg(F.max_by("template", F.struct(*_ORDER)).alias("template"))
+                    unit = _unit(emb)
+                    template = unit if template is None else _unit(template * C.KEEP + unit * (1 - C.KEEP))
+                    gallery = [*gallery[1 - C.GALLERY :], unit]
+                seen, version = at, det
+                if wanted:
+                    out.append(row())
+            yield pd.DataFrame(out, columns=["site_id", "gid", "version", "template", "gallery"])
+        if every_last and known is not None:
+            yield pd.DataFrame([row()], columns=["site_id", "gid", "version", "template", "gallery"])
+
+    rows = sightings.select(*_IDENTITY, *asof.ORDER, *asof.INSIDE, F.col("emb").cast("array<double>").alias("emb"))
+    if every_last:
+        rows = rows.withColumn("_asked", F.lit(False))
+    else:
+        marks = asked.select(*_IDENTITY, F.col("version").alias("det_id"), F.lit(True).alias("_mark")).distinct()
+        rows = rows.join(marks, [*_IDENTITY, "det_id"], "left").withColumn("_asked", F.col("_mark").isNotNull()).drop("_mark")
+    ordered = rows.repartition(*_IDENTITY).sortWithinPartitions(*_IDENTITY, *asof.ORDER, *asof.INSIDE)
+    kinds = [f"{c} {sightings.schema[n].dataType.simpleString()}" for c, n in (("site_id", "site_id"), ("gid", "gid"), ("version", "det_id"))]
+    return ordered.mapInPandas(mixed, ", ".join([*kinds, "template array<double>", "gallery array<array<double>>"]))
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(v)
     return v if size < vectors.TINY else v / size
-
-
-def known_before(sightings: DataFrame, templates: DataFrame | None = None) -> DataFrame:
-    """For each frame of a site, the identities seen in any frame before it, as frames.gate (and with templates frames.scored) takes them.
-
-    What is known of an identity changes with its sightings only: the last of a frame holds from the next frame until the identity's next one, or
-    the site's end. It is repeated for each frame between, so that frames meet it by equality.
-    """
-    own = Window.partitionBy(*_IDENTITY).orderBy(*_ORDER)
-    on_camera = Window.partitionBy(*_IDENTITY, "cam_name").orderBy(*_ORDER)
-    # the sighting before the last, if on the same camera, gives the velocity
-    back = {n: F.lag(c).over(on_camera) for n, c in (("b_cx", "center_x"), ("b_cy", "center_y"), ("b_ms", "ts_ms"))}
-    s = sightings.withColumns(back | {"_next": F.lead("frame_no").over(own)})
-    if templates is not None:
-        s = s.withColumn("gallery", F.collect_list(vectors.normalized(F.col("emb"))).over(own.rowsBetween(1 - C.GALLERY, 0)))
-    end = F.broadcast(sightings.groupBy("site_id").agg(F.max("frame_no").alias("_end")))
-    s = s.filter("_next IS NULL OR _next > frame_no").join(end, "site_id").withColumn("_until", F.coalesce("_next", "_end")).filter("_until > frame_no")
-    names = {"id_last_cam": "cam_name", "id_last_ms": "ts_ms", "id_map_x": "map_x", "id_map_y": "map_y", "id_box_w": "box_w", "id_box_h": "box_h", "h_cam": "cam_name", "h_cx": "center_x", "h_cy": "center_y", "h_ms": "ts_ms", "h_w": "box_w", "h_h": "box_h"}
-    kept = [*_IDENTITY, *[F.col(v).alias(k) for k, v in names.items()], *back]
-    if templates is not None:
-        s, kept = s.join(templates.select(*_IDENTITY, "det_id", "template"), [*_IDENTITY, "det_id"]), [*kept, "gallery", "template"]
-    return s.select(*kept, F.explode(F.sequence(F.col("frame_no") + 1, F.col("_until"))).alias("frame_no"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,24 +68,37 @@ def greedy_frames(candidates: DataFrame) -> DataFrame:
     """
     best = candidates.groupBy("cam_name", "frame_no", "det_idx", "gid").agg(F.max("score").alias("score"))
     pairs = F.sort_array(F.collect_list(F.struct("score", F.col("det_idx").cast("long").alias("det_idx"), F.col("gid").cast("long").alias("gid"))), asc=False)
-    none = F.array().cast("array<struct<det_idx:bigint,gid:bigint>>")
-    taken = lambda s, p: F.exists(s, lambda t: (t["det_idx"] == p["det_idx"]) | (t["gid"] == p["gid"]))
-    fold = F.aggregate("pairs", none, lambda s, p: F.when(taken(s, p), s).otherwise(F.concat(s, F.array(F.struct(p["det_idx"].alias("det_idx"), p["gid"].alias("gid"))))))
     frames = best.groupBy("cam_name", "frame_no").agg(pairs.alias("pairs"))
-    return frames.select("cam_name", "frame_no", F.explode(fold).alias("m")).select("cam_name", "frame_no", "m.det_idx", F.col("m.gid").alias("forced_gid"))
+    return frames.select("cam_name", "frame_no", F.explode(first_free(F.col("pairs"), "det_idx", "gid")).alias("m")).select("cam_name", "frame_no", "m.det_idx", F.col("m.gid").alias("forced_gid"))
 
 
 def optimal_groups(pairs: DataFrame, key: list[str], row: str, column: str, score: str) -> DataFrame:
     """pairs with a score -> the pairs of each key's optimal matching, judged afterwards by whoever asked. A pair that is missing is never chosen
     before any that is there. A group is one frame: its detections and candidate identities."""
-    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in [*key, row, column, score])
 
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = np.unique(part[row]), np.unique(part[column])
-        r, c = np.searchsorted(rows, part[row]), np.searchsorted(columns, part[column])
-        table = np.full((len(rows), len(columns)), -1e6)
-        table[r, c] = part[score]
-        there = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-        return part.iloc[[there[p] for p in optimal(table) if p in there]][[*key, row, column, score]]
+    @F.pandas_udf("array<int>")
+    def chosen(groups: pd.Series, columns: pd.Series, scores: pd.Series) -> pd.Series:
+        out = []
+        for a, b, s in zip(groups, columns, scores, strict=True):
+            rows, r = np.unique(a, return_inverse=True)
+            cols, c = np.unique(b, return_inverse=True)
+            table, at = np.full((len(rows), len(cols)), -1e6), np.full((len(rows), len(cols)), -1)
+            table[r, c], at[r, c] = s, np.arange(len(s))
+            out.append([int(at[p]) for p in optimal(table) if at[p] >= 0])
+        return pd.Series(out)
 
-    return pairs.groupBy(*key).applyInPandas(match, schema)
+    listed = pairs.groupBy(*key).agg(F.collect_list(F.struct(row, column, score)).alias("_pairs"))
+    numbers = chosen(F.col(f"_pairs.{row}"), F.col(f"_pairs.{column}"), F.col(f"_pairs.{score}"))
+    picked = F.transform(numbers, lambda i: F.get("_pairs", i))
+    return listed.select(*key, F.explode(picked).alias("_pair")).select(*key, f"_pair.{row}", f"_pair.{column}", f"_pair.{score}")
+
+
+def first_free(pairs: Column, row: str, column: str, also: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Of an array of structs, in its order, those whose row and column no earlier chosen one has. also: a further condition on (chosen so far, pair)."""
+    none = F.filter(pairs, lambda p: F.lit(False))
+
+    def fits(chosen: Column, pair: Column) -> Column:
+        free = ~F.exists(chosen, lambda t: (t[row] == pair[row]) | (t[column] == pair[column]))
+        return free if also is None else free & also(chosen, pair)
+
+    return F.aggregate(pairs, none, lambda s, p: F.when(fits(s, p), F.concat(s, F.array(p))).otherwise(s))

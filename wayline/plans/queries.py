@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from wayline.functions import constants as C
 from wayline.functions import geometry, scoring, text, vectors
-from wayline.operators import frames, history, matching
+from wayline.operators import decision, frames, history, matching
 from wayline.plans.calibration import H, HEIGHT, SOURCE, TARGET, WIDTH
 from wayline.sources import detections, registry
+from wayline.sources.tables import written
 from wayline.streaming import identity, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,8 +35,8 @@ def r6(c: Column) -> Column:
 
 
 def sightings(d: DataFrame) -> DataFrame:
-    """All detections with their geometry and a floorplan position, as sightings of their person."""
-    return frames.enriched(d, None, H).withColumn("gid", F.col("person"))
+    """All detections with their geometry and a floorplan position, as sightings of their person. Odd and even cameras are two sites."""
+    return frames.enriched(d, None, H).withColumns({"gid": F.col("person"), "site_id": F.substring("cam_name", 5, 1).cast("long") % 2})
 
 
 def consecutive(d: DataFrame) -> DataFrame:
@@ -303,7 +304,7 @@ QUERIES["cosine_similarity"] = cosine_similarity
 
 @query
 def ema_embedding(d: DataFrame) -> DataFrame:
-    t = history.last_templates(d.withColumns({"site_id": F.lit(0), "gid": F.col("person")}))
+    t = history.vectors_of(d.withColumns({"site_id": F.lit(0), "gid": F.col("person")}))
     return t.select("gid", r6(F.col("template")[0]).alias("first"), r6(F.col("template")[63]).alias("last"))
 
 
@@ -351,19 +352,25 @@ def greedy_match(d: DataFrame) -> DataFrame:
     return matching.greedy_frames(frames.previous(d, d.withColumn("gid", F.col("person"))))
 
 
-#: What the detections of a frame and the identities known before it share.
-MOMENT = ["site_id", "frame_no"]
+def assumed(d: DataFrame) -> DataFrame:
+    """All detections as if the truth had been assigned: what was known at a frame are the persons of the frames before it, and confidence is their score."""
+    return written(frames.flagged(sightings(d)).withColumn("score", F.col("conf")), "assumed")
 
 
-def moments(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What an assigner faces at every frame: the frame's detections, and the identities from all frames before it."""
-    s = sightings(d).withColumn("site_id", F.lit(0))
-    return frames.flagged(s).drop("gid").withColumns({"now_ms": F.col("ts_ms"), "forced_gid": F.col("person")}), s
+def facing(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an assigner faces at every camera frame: its detections, what was assigned, and the identities alive before it that some detection could be."""
+    s = assumed(d)
+    told = decision.faced(s.drop("gid", "score", "overlap"), s)
+    return told, s, decision.candidates(told, history.known_at(s, s))
 
 
 def scored(d: DataFrame) -> DataFrame:
-    pending, s = moments(d)
-    return frames.scored(pending, history.known_before(s, history.running_templates(s)), MOMENT)
+    return decision.scored(*facing(d))
+
+
+@query
+def candidate_gate(d: DataFrame) -> DataFrame:
+    return facing(d)[2].select("cam_name", "frame_no", "gid", "id_last_cam", "id_last_ms")
 
 
 @query
@@ -371,34 +378,56 @@ def pair_scores(d: DataFrame) -> DataFrame:
     return scored(d).select("det_id", "gid", *[r6(F.col(c)).alias(c) for c in ("appearance", "motion", "map", "time", "score")])
 
 
+@query
+def optimal_assign(d: DataFrame) -> DataFrame:
+    return decision.matched(scored(d)).select("det_id", "gid", r6(F.col("score")).alias("score"))
+
+
 @query
 def accept_match(d: DataFrame) -> DataFrame:
+    """Pairs that their own scores would accept."""
     return scored(d).filter("accepted").select("det_id", "gid")
 
 
 @query
-def candidate_gate(d: DataFrame) -> DataFrame:
-    pending, s = moments(d)
-    return frames.gate(pending, history.known_before(s), MOMENT).select("frame_no", "gid", "id_last_cam", "id_last_ms")
+def frame_match(d: DataFrame) -> DataFrame:
+    """Each camera frame's matching with the identities alive: greedy continuity, gate, scores, the best matching, and then the thresholds."""
+    return decision.matched(scored(d)).filter("accepted").select("site_id", "cam_name", "frame_no", "det_id", "gid", r6(F.col("score")).alias("score"))
 
 
 @query
-def optimal_assign(d: DataFrame) -> DataFrame:
-    return matching.optimal_groups(scored(d).select("now_ms", "det_id", "gid", "score"), ["now_ms"], "det_id", "gid", "score")
+def frame_locks(d: DataFrame) -> DataFrame:
+    """What hold, known track and forced continuity decide at each camera frame, before anything is matched."""
+    s = assumed(d)
+    found = decision.locked(decision.faced(s.drop("gid", "score", "overlap"), s), s, history.known_at(s, s))
+    return found.select("cam_name", "frame_no", "det_id", "gid", "score", "source")
+
+
+@query
+def frame_decision(d: DataFrame) -> DataFrame:
+    """Each camera frame's whole decision over what the assigner itself had assigned before it."""
+    s = frames.enriched(frames.confident(d), SOURCE, H).withColumn("site_id", F.substring("cam_name", 5, 1).cast("long") % 2)
+    assigned = written(s.join(identity.assign(s).select("det_id", "gid", "score", "overlap"), "det_id"), "assigned")
+    return decision.decided(s, assigned).select("site_id", "cam_name", "frame_no", "det_id", "gid", r6(F.col("score")).alias("score"), "source")
 
 
 @query
 def local_track_join(d: DataFrame) -> DataFrame:
+    """Each detection with whom its track was before its frame."""
     s = sightings(d)
-    # tracks as known one frame earlier are looked up by the next: here the newest of each are looked up by all
-    return history.by_local_track(s, history.local_tracks(s)).select("det_id", "known_gid")
+    return history.by_local_track(s, s).select("det_id", "known_gid")
 
 
 @query
 def hold_interval_join(d: DataFrame) -> DataFrame:
     s = sightings(d)
-    flags = frames.flagged(s).filter("overlap")
-    return history.held(s, history.holds(flags)).select("det_id", "held_gid", "until_ms")
+    return history.held(s.drop("gid"), frames.flagged(s).filter("overlap")).filter("held_gid IS NOT NULL").select("det_id", "held_gid", "until_ms")
+
+
+@query
+def hold_spans(d: DataFrame) -> DataFrame:
+    """When each track was held."""
+    return history.holds(frames.flagged(sightings(d)).filter("overlap")).select("cam_name", "tid", "held_gid", "from_ms", "until_ms")
 
 
 @query
