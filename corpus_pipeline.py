@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import minhash, mixing, packing, quality, toxicity
-from wayline.llm.shared import WRITTEN, clear, cut, fold_of
+from wayline.llm.shared import clear, cut, fold_of, recorded
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the n-gram model of trusted text doesn't reject."""
-    return quality.accepted(docs, _labels(spark, sf_dir), fold_of(F.col("doc_id")) == 2)
+    return quality.accepted(docs, _labels(spark, sf_dir), fold_of(F.col("doc_id")) == 2, stored=True)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of the corpus stands, after all stages.
+
+    Rows with nulls, empty or very long texts, repeated rows and other columns go through as each stage's operator defines; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = len(WRITTEN)
+    before: list[str] = []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        clear(spark, first)  # the stage before, and what this one wrote on its way
+        with recorded() as mine:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, [*mine[:-1], *before])  # what this stage wrote on its way, and the result of the stage before
+        before = mine[-1:]
     return docs

@@ -41,3 +41,19 @@ def test_stages_on_odd_documents(spark):
             d = cut(stage(spark, d, SF), f"odd-{name}")
             assert name == "packing" or d.columns == docs.columns
         assert d.isEmpty() == some.isEmpty()
+
+
+def test_run_leaves_other_tables_alone(spark):
+    """What somebody else writes while the pipeline runs stays, and of its own tables only the result does."""
+    import os
+
+    from wayline.llm.shared import recorded, shared_dir
+
+    home = shared_dir(spark).removeprefix("file:")
+    with recorded() as others:
+        other = cut(spark.range(3), "other")
+        before = set(os.listdir(home))
+        found = corpus_pipeline.run(spark, SF)
+        added = {x for x in set(os.listdir(home)) - before if os.path.isdir(os.path.join(home, x))}
+    assert other.count() == 3 and len(others) == 1
+    assert [x.split("-")[1] for x in added] == ["packing"] and found.count() > 0

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import BROADCAST_IDS, WRITTEN, cut, shared_dir
+from .shared import BROADCAST_IDS, cut, note, shared_dir
 
 #: The state store that keeps state on disk, without megabytes set aside for each of its many small stores.
 ROCKSDB = {
@@ -114,7 +114,7 @@ def duplicates(spark: SparkSession, path: str, home: str | None = None, digest:
     """A row for each document at path: doc_id, keep_id, group_size, kept, digest. home: as in remember; a new one if none is named."""
     if home is None:
         home = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
-        WRITTEN.append(home)
+        note(home)
     remember(spark, path, home, digest)
     rows = log(spark, home)
     if rows.isEmpty():  # no row has come, so there is no state to read

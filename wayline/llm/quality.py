@@ -219,11 +219,13 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(squeeze, "batch long, blob binary")
 
 
-def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n_chars and log_ppl of each row of docs (doc_id, text, lang), by a model of the texts of trusted (text)."""
+def score(docs: DataFrame, trusted: DataFrame, stored: bool = False) -> DataFrame:
+    """doc_id, lang, n_chars and log_ppl of each row of docs (doc_id, text, lang), by a model of the texts of trusted (text).
+
+    docs are read twice and have to be dealt alike, so they are written first; stored: they are a table as it was read, and need not be.
+    """
     own = docs.select("doc_id", "text", "lang")
-    if any(x in own._jdf.queryExecution().sparkPlan().toString() for x in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Python", "Arrow")):
-        own = cut(own, "quality-docs")
+    own = own if stored else cut(own, "quality-docs")
     tables = model(cut(counts(trusted), f"quality-n{ORDER}", texts=True))
     asked = cut(_asked(own), "quality-asked", texts=True)
     answers = asked.join(probabilities(asked, tables), "run").select("batch", "run", "log_p")
@@ -257,16 +259,16 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return _compressed(own).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(read, f"doc_id {kind}, lang string, n_chars long, log_ppl double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float = QUANTILE) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float = QUANTILE, stored: bool = False) -> DataFrame:
     """doc_id, lang, perplexity, threshold (of smoothed perplexity) and rejected of each row of docs (doc_id, text, lang).
 
     labels (doc_id, quality): texts of quality 1 are trusted. calibrate (on doc_id) says which of them set the
-    thresholds; the model learns from the others.
+    thresholds; the model learns from the others. stored: as in score.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).filter("_quality = 1").select("doc_id")
     taught = good.filter(~calibrate)
     known = F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught
-    scored = cut(score(docs, docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), "quality-scores")
+    scored = cut(score(docs, docs.select("doc_id", "text").join(known, "doc_id", "left_semi"), stored), "quality-scores")
     # a language's figures are one row each
     lang = F.struct("lang")
     unseen = scored.filter("log_ppl IS NOT NULL").join(good.filter(calibrate), "doc_id", "left_semi")
@@ -292,7 +294,7 @@ def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float
     return judged.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp("_most").alias("threshold"), F.coalesce(shrunk > F.col("_most"), F.lit(False)).alias("rejected"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float = QUANTILE) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float = QUANTILE, stored: bool = False) -> DataFrame:
     """The rows of docs, all columns, that are not rejected; a repeated doc_id goes if all of its rows are rejected."""
-    judged = judge(docs, labels, calibrate, quantile)
+    judged = judge(docs, labels, calibrate, quantile, stored)
     return without(docs, judged.groupBy("doc_id").agg(F.min(F.col("rejected").cast("int")).alias("all")).filter("all = 1").select("doc_id"))

@@ -63,7 +63,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of(F.col("doc_id")) == 2)
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_of(F.col("doc_id")) == 2, stored=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Folders of the tables that cut() has written in this process and nobody has cleared.
-WRITTEN: list[str] = []
+_RUN: ContextVar[list[str] | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list that gets the folders of what is written inside, by this run alone: other threads and callers have lists of their own, or none."""
+    mine: list[str] = []
+    token = _RUN.set(mine)
+    try:
+        yield mine
+    finally:
+        _RUN.reset(token)
+
+
+def note(path: str) -> None:
+    """Tell the run that is going on, if there is one, of a folder."""
+    mine = _RUN.get()
+    if mine is not None:
+        mine.append(path)
+
+
 #: Rows and bytes in an Arrow batch where whole texts go to Python.
 TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -47,7 +68,7 @@ def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    note(path)
     usual = {k: spark.conf.get(k, None) for k in TEXT_BATCH} if texts else {}
     for k in usual:
         spark.conf.set(k, TEXT_BATCH[k])
@@ -59,10 +80,8 @@ def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Delete the tables that cut() has written since it had written so many, but for the newest `keep`: once a result is written, what led to it goes."""
-    paths = WRITTEN[since : len(WRITTEN) - keep]
-    del WRITTEN[since : len(WRITTEN) - keep]
+def clear(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders: once a result is written, what led to it goes."""
     for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
