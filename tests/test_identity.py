@@ -32,10 +32,10 @@ def test_new_then_known_by_track():
 def test_track_of_a_taken_identity_is_forgotten():
     s = Site()
     s.frame("a", 0, [det(1)])
-    s.tracks["a", 2] = [1, 0]
+    s.memory.tracks["a", 2] = [1, 0]
     out = s.frame("a", 200, [det(1), det(2, (900, 0, 1000, 200), B, (800, 10))])
     assert ids(out) == [(1, "local-track"), (2, "new")]
-    assert s.tracks["a", 2][0] == 2
+    assert s.memory.tracks["a", 2][0] == 2
 
 
 def test_other_camera_by_looks_and_place():
@@ -71,7 +71,7 @@ def test_idle_limits_are_exclusive():
 def test_hold_outlasts_the_track():
     s = Site()
     s.frame("a", 0, [det(1), det(2, (10, 0, 110, 200), B)])
-    assert ("a", 1) in s.holds and s.holds["a", 1][1] == 800
+    assert s.memory.holds["a", 1][1] == 800
     assert ids(s.frame("a", 800, [det(1)])) == [(1, "occlusion-hold")]
     assert ids(s.frame("a", 801, [det(1)])) == [(1, "local-track")]
 
@@ -87,15 +87,18 @@ def test_lost_place_disables_the_gate():
     s = Site()
     s.frame("a", 0, [det(1)])
     s.frame("a", 200, [det(1, place=None)])
-    assert s.identities[1]["map"] is None
+    assert s.memory.identities[1]["map"] is None
 
 
 def test_histories_are_bounded():
     s = Site()
     for i in range(300):
         s.frame("a", i * 10, [det(1)])
-    assert len(s.rings["a"]) == 60 and len(s.recent) == 200 and len(s.identities[1]["gallery"]) == 6
-    assert Site(s.saved()).saved() == s.saved()
+    m = s.memory
+    assert len(m.rings["a"]) == 60 and len(m.recent) == 200 and len(m.identities[1]["gallery"]) == 6
+    for i in range(300):  # a new track each time
+        s.frame("a", 3000 + i * 1000, [det(10 + i)])
+    assert len(m.tracks) <= 2 * 26
 
 
 @pytest.fixture(scope="module")
@@ -162,7 +165,7 @@ def test_idle_site_keeps_counters_only():
     s = Site()
     s.frame("a", 0, [det(1)])
     s.forget()
-    assert Site(s.saved()).next_gid == 2 and not s.identities and not s.rings
+    assert s.memory.next_gid == 2 and not s.memory.identities and not s.memory.rings
 
 
 def test_live_map(spark, seen, tmp_path):
@@ -226,3 +229,118 @@ def test_crop_features(spark):
     rows = spark.createDataFrame([(bytes(30 * 24 * 3), 30, 24, bytes(512)), (bytes(3), 1, 1, bytes(512)), (None, 30, 24, bytes(512))], "p binary, h int, w int, g binary")
     got = [r[0] for r in rows.select(crop_features("p", "h", "w", "g")).collect()]
     assert len(got[0]) == 897 and abs(sum(x * x for x in got[0]) - 1) < 1e-9 and got[1] is None and got[2] is None
+
+
+def plainly(rows):
+    """Identities by one Site for each site over all of its rows in order, without Spark."""
+    out, sites, taken = {}, {}, None
+    key = lambda r: (r["ts_ms"], r["cam_name"], r["frame_no"])
+    for at in sorted({(str(r["site_id"]), key(r)) for r in rows}):
+        own = sorted((r for r in rows if (str(r["site_id"]), key(r)) == at), key=lambda r: (r["det_idx"], r["det_id"]))
+        site = sites.setdefault(at[0], Site())
+        unit = lambda v: np.array(v) / np.sqrt((np.array(v) ** 2).sum())
+        told = [{"tid": r["tid"], "box": (r["x1"], r["y1"], r["x2"], r["y2"]), "size": [max(1, r["x2"] - r["x1"]), max(1, r["y2"] - r["y1"])], "map": [r["map_x"], r["map_y"]], "unit": unit(r["emb"])} for r in own]
+        for r, o in zip(own, site.frame(at[1][1], at[1][0], told), strict=True):
+            out[r["det_id"]] = (o["gid"], o["source"], round(o["score"], 9))
+    return out
+
+
+@pytest.fixture(scope="module")
+def gaps(seen):
+    """Two sites and rows without a site, with idle times of just the limit and of more, some inside one block of the clock and some over several."""
+    later = F.when(F.col("frame_no") < 7, 0).when(F.col("frame_no") < 12, 25_000 - 200).when(F.col("frame_no") < 20, 60_000).when(F.col("frame_no") < 25, 85_200).otherwise(700_001)
+    third = F.when(F.col("cam_name") != "cam_3", F.col("site_id"))
+    return seen.withColumns({"site_id": third, "ts_ms": F.col("ts_ms") + later + F.coalesce(F.col("site_id"), F.lit(0)) * 3001}).cache()
+
+
+def test_segments_run_apart_and_equal_one_run(gaps):
+    known = {(r["site_id"], r["_segment"]) for r in identity.segments(identity.whole(gaps)).select("site_id", "_segment").distinct().collect()}
+    rows, begins = [r.asDict() for r in gaps.collect()], set()
+    for site in (0, 1, None):
+        times = sorted({r["ts_ms"] for r in rows if r["site_id"] == site})
+        begins |= {(site, t) for b, t in zip([-(10**9), *times], times, strict=False) if t - b > 25_000}
+    assert known == begins and len(begins) == 12
+    got = {r["det_id"]: (r["gid"], r["source"], round(r["score"], 9)) for r in identity.assign(gaps).collect()}
+    assert got == plainly(rows) and len(got) == len(rows)
+
+
+def test_stream_goes_on_after_a_stop(spark, gaps, tmp_path):
+    """Two runs of one query: what the first kept in state is what the second goes on from, over idle times too."""
+    rows = gaps.select(identity.COLUMNS)
+    end = rows.filter("site_id = 0").limit(1).withColumns({"site_id": F.lit(99).cast("long"), "det_id": F.lit(-1).cast("long"), "ts_ms": F.lit(10_000_000).cast("long")})
+    parts = [rows.filter("frame_no < 10"), rows.filter("frame_no >= 10 AND frame_no < 22"), rows.filter("frame_no >= 22"), end]
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        if i not in (1, 3):
+            continue
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = sinks.to_table(identity.assign_stream(stream, "4 seconds"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), once=True)
+        query.awaitTermination(300)
+        assert query.exception() is None
+    got = {r["det_id"]: (r["gid"], r["source"], round(r["score"], 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == plainly([r.asDict() for r in rows.collect()])
+
+
+class Kept:
+    """A map state that tells which keys were touched."""
+
+    def __init__(self, held):
+        self.held, self.touched, self.gone_through = dict(held), set(), False
+
+    def containsKey(self, key):  # noqa: N802
+        self.touched.add(key)
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.touched.add(key)
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.held.pop(key)
+
+    def iterator(self):
+        self.gone_through = True
+        return iter(list(self.held.items()))
+
+    def clear(self):
+        self.held = {}
+
+
+class Held:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_frame_touches_its_own_keys_only():
+    states = {n: Kept({}) for n in ("identities", "tracks", "holds", "rings", "recent")} | {"counters": Held()}
+    memory = identity.StoredMemory(states)
+    site, plain = Site(memory), Site()
+    for s in (site, plain):
+        for i in range(8):
+            s.frame("ab"[i % 2], i * 200, [det(i * 10 + j, (j * 300, 0, j * 300 + 100, 200), np.eye(3)[j], (j * 90, 10)) for j in range(3)])
+    memory.write()
+    for n in ("identities", "tracks", "holds", "rings", "recent"):
+        states[n].touched, states[n].gone_through = set(), False
+    again = identity.StoredMemory(states)
+    rows = [det(71, (300, 0, 400, 200), np.eye(3)[1], (90, 10))]
+    known = plain.memory.tracks["b", 71][0]
+    assert ids(Site(again).frame("b", 1600, rows)) == ids(plain.frame("b", 1600, rows)) == [(known, "local-track")]
+    again.write()
+    assert states["tracks"].touched == {("b", 71)} and states["rings"].touched == {("b",)} and states["identities"].touched == {(known,)} and len(states["recent"].touched) == 1
+    assert not any(states[n].gone_through for n in ("identities", "tracks", "holds", "rings", "recent"))
+    # and what is kept equals a memory that never left
+    whole = identity.StoredMemory(states)
+    assert {g: i["last"] for g, i in whole.identities.items()} == {g: i["last"] for g, i in plain.memory.identities.items()}
+    assert dict(whole.tracks.items()) == plain.memory.tracks and dict(whole.rings.items()) == plain.memory.rings
