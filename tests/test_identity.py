@@ -168,20 +168,6 @@ def test_idle_site_keeps_counters_only():
     assert s.memory.next_gid == 2 and not s.memory.identities and not s.memory.rings
 
 
-def test_live_map(spark, seen, tmp_path):
-    d = seen.withColumn("gid", F.col("person"))
-    positions = d.select("site_id", "gid", "ts_ms", "det_id", "map_x", "map_y")
-    middle = positions.agg(F.max("ts_ms")).first()[0] // 2
-    for i, part in enumerate((positions.filter(F.col("ts_ms") <= middle), positions.filter(F.col("ts_ms") > middle))):  # two runs of one query
-        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-        stream = spark.readStream.schema(positions.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        query = sinks.to_map(identity.latest_stream(stream), str(tmp_path / "map"), str(tmp_path / "checkpoint"), once=True)
-        query.awaitTermination(120)
-        assert query.exception() is None
-    got = {tuple(r) for r in sinks.read_map(spark, str(tmp_path / "map")).select("site_id", "gid", "map_x", "map_y", "last_seen_ms").collect()}
-    assert got == {tuple(r) for r in history.latest_positions(d, key=("site_id", "gid")).collect()}
-
-
 def test_scan_and_live(spark, seen, tmp_path):
     columns = [c.split()[0] for c in detections.SCHEMA.split(", ")]
     seen.select(columns).filter("frame_no < 9").coalesce(1).write.parquet(str(tmp_path / "in"))

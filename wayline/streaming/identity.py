@@ -508,10 +508,3 @@ def assign_stream(detections: DataFrame, delay: str = "2 seconds") -> DataFrame:
     # a millisecond later than it is: a stream's watermark starts at zero, and what isn't after the watermark is late
     timed = whole(detections).withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1)).withWatermark("ts", delay)
     return timed.groupBy("site_id").transformWithStateInPandas(SiteProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
-
-
-def latest_stream(assigned: DataFrame, positions: str = "map_x, map_y", key: Sequence[str] = ("site_id", "gid")) -> DataFrame:
-    """The newest position of each identity of a stream with key, ts_ms, det_id, map_x and map_y, for a sink in update mode. Ids count within a site."""
-    place = F.struct(*[F.col(c.strip()) for c in positions.split(",")])
-    latest = assigned.filter("map_x IS NOT NULL").groupBy(*key).agg(F.max_by(place, F.struct("ts_ms", "det_id")).alias("p"), F.max("ts_ms").alias("last_seen_ms"))
-    return latest.select(*key, "p.*", "last_seen_ms")
