@@ -209,14 +209,6 @@ def test_detector_stage(spark):
     assert [(r["det_idx"], r["x2"]) for r in out.collect()] == [(0, 1)]
 
 
-def test_crop_features(spark):
-    from wayline.functions.vectors import crop_features
-
-    rows = spark.createDataFrame([(bytes(30 * 24 * 3), 30, 24, bytes(512)), (bytes(3), 1, 1, bytes(512)), (None, 30, 24, bytes(512))], "p binary, h int, w int, g binary")
-    got = [r[0] for r in rows.select(crop_features("p", "h", "w", "g")).collect()]
-    assert len(got[0]) == 897 and abs(sum(x * x for x in got[0]) - 1) < 1e-9 and got[1] is None and got[2] is None
-
-
 def plainly(rows):
     """Identities by one Site for each site over all of its rows in order, without Spark."""
     out, sites, taken = {}, {}, None

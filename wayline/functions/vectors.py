@@ -77,33 +77,73 @@ def galleries(rows: DataFrame, key: list[str], order: list[str], emb: str = "emb
 
 # ---- appearance of a crop, for rows that carry pixels
 
+#: Size that crops are brought to, and of their gray thumbnail (height, width).
+CROP, THUMBNAIL = (128, 64), (32, 16)
 
-def _histogram(hsv: np.ndarray) -> np.ndarray:
-    """12 hue, 4 saturation and 4 value bins (hue up to 180, the others up to 256), of unit length."""
-    counts, _ = np.histogramdd(hsv.reshape(-1, 3), bins=(12, 4, 4), range=((0, 180), (0, 256), (0, 256)))
-    flat = counts.ravel()
-    size = np.linalg.norm(flat)
-    return flat / size if size > TINY else flat
+
+def resized(images: np.ndarray, height: int, width: int) -> np.ndarray:
+    """images (n, h, w, ...) of 8 bits by linear interpolation between pixel centers, whole values; outside the edge pixels hold."""
+
+    def ends(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, old - 1), at - low
+
+    (top, bottom, down), (left, right, along) = ends(images.shape[1], height), ends(images.shape[2], width)
+    shape = (1, -1, 1) + (1,) * (images.ndim - 3)
+    down, along = down.reshape(shape), along.reshape((1, 1, -1) + (1,) * (images.ndim - 3))
+    rows = images[:, top].astype(float) * (1 - down) + images[:, bottom].astype(float) * down
+    return np.floor(rows[:, :, left] * (1 - along) + rows[:, :, right] * along + 0.5).astype(np.uint8)
+
+
+def hsv(images: np.ndarray) -> np.ndarray:
+    """Blue, green, red of 8 bits -> hue (0 to 179), saturation and value (0 to 255)."""
+    b, g, r = (images[..., k].astype(int) for k in range(3))
+    value, least = images.max(-1).astype(int), images.min(-1).astype(int)
+    span = value - least
+    turn = np.where(value == r, g - b, np.where(value == g, b - r + 2 * span, r - g + 4 * span))
+    hue = np.floor(turn * 30 / np.maximum(span, 1) + 0.5).astype(int)
+    hue = np.where(span == 0, 0, np.where(hue < 0, hue + 180, hue)) % 180
+    return np.stack([hue, np.floor(span * 255 / np.maximum(value, 1) + 0.5).astype(int), value], -1)
+
+
+def gray(images: np.ndarray) -> np.ndarray:
+    return np.floor(images[..., 0] * 0.114 + images[..., 1] * 0.587 + images[..., 2] * 0.299 + 0.5).astype(np.uint8)
+
+
+def _histograms(images: np.ndarray) -> np.ndarray:
+    """12 hue, 4 saturation and 4 value bins of each of hsv images (n, h, w, 3), of unit length."""
+    n = len(images)
+    at = (images[..., 0] // 15 * 16 + images[..., 1] // 64 * 4 + images[..., 2] // 64).reshape(n, -1)
+    counts = np.bincount((at + np.arange(n)[:, None] * 192).ravel(), minlength=n * 192).reshape(n, 192).astype(float)
+    return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), TINY)
+
+
+def features(images: np.ndarray) -> np.ndarray:
+    """Crops of one size (n, h, w, 3; blue, green, red) -> n x 897: histograms of the upper 45 % and of the rest, the aspect ratio of the standard crop (always 0.5), and
+    the gray thumbnail, of unit length together."""
+    crops = resized(images, *CROP)
+    colors, split = hsv(crops), max(1, int(CROP[0] * 0.45))
+    small = resized(gray(crops), *THUMBNAIL).reshape(len(crops), -1) / 255.0
+    whole = np.concatenate([_histograms(colors[:, :split]), _histograms(colors[:, split:]), np.full((len(crops), 1), CROP[1] / CROP[0]), small], axis=1)
+    return whole / np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), TINY)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def crop_features(pixels: pd.Series, height: pd.Series, width: pd.Series, gray: pd.Series) -> pd.Series:
-    """Features of HSV crops (bytes, height x width x 3) with their 16 x 32 gray thumbnails (bytes).
-
-    Histograms of the upper 45 % and of the rest, the aspect ratio of the standard crop (always 0.5), the thumbnail. Null if a side is
-    below the least crop.
-    """
-    out: list[list[float] | None] = []
-    for raw, h, w, small in zip(pixels, height, width, gray, strict=True):
-        if raw is None or h < C.MIN_CROP or w < C.MIN_CROP:
-            out.append(None)
-            continue
-        image = np.frombuffer(raw, np.uint8).reshape(int(h), int(w), 3)
-        split = max(1, int(h * 0.45))
-        parts = [_histogram(image[:split]), _histogram(image[split:]), [0.5], np.frombuffer(small, np.uint8) / 255.0]
-        vector = np.concatenate(parts)
-        size = np.linalg.norm(vector)
-        out.append((vector / size if size > TINY else vector).tolist())
+def crop_features(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """Features of crops as bytes (height x width x blue, green, red). Crops of one size in a batch go through together. Null if a side is below the least crop or the bytes don't fit."""
+    out: list[list[float] | None] = [None] * len(pixels)
+    whole = [(i, raw, h, w) for i, (raw, h, w) in enumerate(zip(pixels, height, width, strict=True)) if raw is not None and h is not None and w is not None]
+    sizes: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+    for i, raw, h, w in whole:
+        if h >= C.MIN_CROP and w >= C.MIN_CROP and len(raw) == h * w * 3:
+            sizes.setdefault((int(h), int(w)), []).append((i, raw))
+    for (h, w), own in sizes.items():
+        for at in range(0, len(own), 64):
+            part = own[at : at + 64]
+            images = np.stack([np.frombuffer(raw, np.uint8).reshape(h, w, 3) for _, raw in part])
+            for (i, _), row in zip(part, features(images).tolist(), strict=True):
+                out[i] = row
     return pd.Series(out)
 
 

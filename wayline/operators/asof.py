@@ -40,6 +40,24 @@ def latest_before(looks: DataFrame, facts: DataFrame, key: Sequence[str], value:
     return found.select("_look.*", F.when(near, F.col("_last")).alias(name))
 
 
+def last_before(looks: DataFrame, facts: DataFrame, key: Sequence[str], value: Sequence[str], part: int, clock: str = "ts_ms", order: Sequence[str] = (), name: str = "found") -> DataFrame:
+    """As latest_before, with no limit to how far back a fact may be.
+
+    The last fact of each part of the clock is carried over to the parts after it, so a window sees either one part's rows or a row for each part.
+    """
+    near = latest_before(looks, facts, key, value, part, clock, order, name="_near")
+    inside = [c for c in INSIDE if c in facts.columns and c not in (*key, *order)]
+    block, site = F.floor(F.col(clock) / part), F.struct(*key)
+    held = F.struct(*dict.fromkeys([clock, *value]))
+    ends = facts.groupBy(site.alias("_key"), block.alias("_block")).agg(F.max_by(held, F.struct(clock, *order, *inside)).alias("_end"))
+    asked = looks.select(site.alias("_key"), block.alias("_block"), F.lit(None).cast(ends.schema["_end"].dataType).alias("_end")).distinct()
+    all_ends = ends.unionByName(asked).groupBy("_key", "_block").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = all_ends.select("_key", "_block", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    both = near.withColumns({"_key": site, "_block": block}).join(carried, ["_key", "_block"])
+    return both.select(*looks.columns, F.coalesce("_near", "_carried").alias(name))
+
+
 def starts(rows: DataFrame, others: DataFrame | None = None, key: Sequence[str] = ("cam_name",), frame: Sequence[str] = ("frame_no",), part: Column | None = None) -> DataFrame:
     """key, frame, _start: the number, from 1, that the first row of each frame has (or would have) among all rows of its key, in order of `frame`.
 

@@ -65,8 +65,8 @@ def active(latest: DataFrame, now_ms: int | None = None, ttl: float = C.MAP_TTL)
     return latest.join(F.broadcast(latest.agg(F.max("last_seen_ms").alias("_now")))).filter(F.col("_now") - F.col("last_seen_ms") <= int(ttl * 1000)).drop("_now")
 
 
-def trails(positions: DataFrame, n: int = 50, key: Sequence[str] = ("gid",)) -> DataFrame:
-    """Each position with the last n of its identity, oldest first. key: as in latest_positions."""
+def trails(positions: DataFrame, n: int = 50, key: Sequence[str] = ("site_id", "gid")) -> DataFrame:
+    """Each position with the last n of its identity, oldest first. Ids count within a site."""
     w = Window.partitionBy(*key).orderBy(*SEEN).rowsBetween(1 - n, 0)
     return positions.withColumn("trail", F.collect_list(F.struct("map_x", "map_y")).over(w))
 

@@ -271,7 +271,10 @@ SQL: dict[str, str] = {
     "conf_filter": _with(_D, "SELECT det_id, conf FROM d WHERE conf >= 0.55::DOUBLE"),
     "polygon_filter": _with(_S, f"SELECT det_id, fx AS foot_x, fy AS foot_y FROM s WHERE conf >= 0.55::DOUBLE AND {_inside('fx', 'fy')}"),
     "alive_semi": _with(_D, "SELECT det_id, person AS gid FROM d WHERE person IN (SELECT person FROM d GROUP BY person HAVING (SELECT max(ts_ms) FROM d) - max(ts_ms) <= 25000)"),
-    "homography_fit": "SELECT CAST(i AS INTEGER) AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES (0, 50, 50), (1, 850, 50), (2, 850, 550), (3, 50, 550)) t(i, x, y)",
+    "homography_fit": _with(
+        f"{_LOG}, tg(i, x, y) AS (VALUES (0, 50, 50), (1, 850, 50), (2, 850, 550), (3, 50, 550))",
+        "SELECT seq, CAST(i AS INTEGER) AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM fixed, tg WHERE fixes",
+    ),
     "project_floorplan": _with(_S, "SELECT det_id, map_x, map_y FROM s"),
     "bbox_iou": _with(_D, f"SELECT a.det_id, {_iou('a.', 'b.')} AS iou FROM d a JOIN d b ON a.cam_name = b.cam_name AND a.frame_no = b.frame_no AND b.det_idx = a.det_idx + 1"),
     "center_distance": _with(_D, f"SELECT a.det_id, {_centers('a.', 'b.')} AS dist FROM d a JOIN d b ON a.cam_name = b.cam_name AND a.frame_no = b.frame_no AND b.det_idx = a.det_idx + 1"),
@@ -326,7 +329,7 @@ SQL: dict[str, str] = {
     "latest_position": _with(_S, f"{_LATEST} FROM s GROUP BY gid"),
     "active_map": _with(f"{_S}, l AS ({_LATEST} FROM s GROUP BY gid)", "SELECT * FROM l WHERE (SELECT max(last_seen_ms) FROM l) - last_seen_ms <= 700"),
     "global_map": _with(f"{_S}, l AS ({_LATEST} FROM s WHERE conf >= 0.55::DOUBLE AND {_inside('fx', 'fy')} GROUP BY gid)", "SELECT * FROM l WHERE (SELECT max(last_seen_ms) FROM l) - last_seen_ms <= 700"),
-    "trail": _with(_S, "SELECT det_id, gid, count(*) OVER w AS n, first_value(map_x) OVER w AS from_x, CAST(sum(map_x) OVER w AS BIGINT) AS sum_x FROM s WINDOW w AS (PARTITION BY gid ORDER BY ts_ms, det_id ROWS 49 PRECEDING)"),
+    "trail": _with(_S, "SELECT det_id, gid, count(*) OVER w AS n, first_value(map_x) OVER w AS from_x, CAST(sum(map_x) OVER w AS BIGINT) AS sum_x FROM s WINDOW w AS (PARTITION BY site_id, gid ORDER BY ts_ms, det_id ROWS 49 PRECEDING)"),
     "idle_sessions": _with(f"{_D}, b AS (SELECT person AS gid, ts_ms, det_id, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY person ORDER BY ts_ms, det_id) > 25000 THEN 1 ELSE 0 END AS opens FROM d), n AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY gid ORDER BY ts_ms, det_id) AS BIGINT) AS session FROM b)", "SELECT gid, session, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n FROM n GROUP BY gid, session"),
     "recent_window": _with(_D, "SELECT det_id, count(*) OVER (PARTITION BY cam_name ORDER BY ts_ms RANGE BETWEEN 12000 PRECEDING AND CURRENT ROW) AS remembered FROM d"),
     "optimal_assign": _with(_MATCHED, "SELECT ma.det_id, ma.gid, round(fi.score, 6) AS score FROM ma JOIN fi ON fi.det_id = ma.det_id AND fi.gid = ma.gid", True),
@@ -340,4 +343,16 @@ SQL: dict[str, str] = {
         i AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY cam_name, tid ORDER BY ts_ms) AS island FROM h)""",
         "SELECT cam_name, tid, min(person) AS held_gid, min(ts_ms) AS from_ms, least(max(ts_ms) + 800, coalesce(list(nxt ORDER BY ts_ms)[-1], max(ts_ms) + 800)) AS until_ms FROM i GROUP BY cam_name, tid, island",
     ),
+    "calibration_at": _with(
+        f"{_LOG}, {_D.strip()}, a AS (SELECT *, seq * 200 // 32 AS at, row_number() OVER (PARTITION BY name, seq * 200 // 32 ORDER BY seq DESC) AS newest FROM fixed)",
+        "SELECT d.det_id, CASE WHEN a.action = 'add' THEN a.seq END AS seq, coalesce(a.action = 'add' AND a.fixes, false) AS calibrated "
+        "FROM d ASOF LEFT JOIN (SELECT * FROM a WHERE newest = 1) a ON a.name = d.cam_name AND d.ts_ms > a.at",
+    ),
+    "crop_features": _with(
+        f"""{_D}, c AS (SELECT det_id, det_id * 7 % 256 AS b, det_id * 13 % 256 AS g, det_id * 31 % 256 AS r FROM d), v AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS span FROM c),
+        t AS (SELECT *, CASE WHEN v = r THEN g - b WHEN v = g THEN b - r + 2 * span ELSE r - g + 4 * span END AS turn FROM v),
+        h AS (SELECT *, CASE WHEN span = 0 THEN 0 ELSE CAST(floor(turn * 30 / greatest(span, 1) + 0.5::DOUBLE) AS BIGINT) END AS h0, CAST(floor(span * 255 / greatest(v, 1) + 0.5::DOUBLE) AS BIGINT) AS s FROM t),
+        k AS (SELECT *, (CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END) % 180 // 15 * 16 + s // 64 * 4 + v // 64 AS bin FROM h)""",
+        "SELECT det_id, CAST(897 AS INTEGER) AS n, bin AS upper, bin AS lower, round(floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + r * 0.299::DOUBLE + 0.5::DOUBLE) / 255 / 0.5::DOUBLE, 6) AS gray FROM k",
+    ),
 }

@@ -248,16 +248,37 @@ def alive_semi(d: DataFrame) -> DataFrame:
 # ---- geometry and vectors
 
 
-def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A calibration fitted from its points, and its points sent through it."""
-    cameras = registry.calibrated(spark.createDataFrame([("cam_a", [[float(v) for v in p] for p in SOURCE], [[float(v) for v in p] for p in TARGET])], "cam_name string, src_pts array<array<double>>, dst_pts array<array<double>>"))
+@registry_query
+def homography_fit(log: DataFrame) -> DataFrame:
+    """The plane of each action whose points fix one, and its points sent through it."""
+    fitted = registry.planes(log.select("seq", "points"), TARGET).filter("h IS NOT NULL")
+    points = fitted.select("seq", "h", F.posexplode(text.points(F.col("points"))).alias("i", "p"))
     h, x, y = F.col("h"), F.col("p")[0], F.col("p")[1]
-    points = cameras.select("h", F.posexplode("src_pts").alias("i", "p"))
     w = h[6] * x + h[7] * y + h[8]
-    return points.select("i", *[F.round((h[k] * x + h[k + 1] * y + h[k + 2]) / w, 4).alias(n) for k, n in ((0, "x"), (3, "y"))])
+    return points.select("seq", "i", *[F.round((h[k] * x + h[k + 1] * y + h[k + 2]) / w, 4).alias(n) for k, n in ((0, "x"), (3, "y"))])
+
+
+def calibration_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection with the registry's action that held for its camera right before its frame, and whether that calibrated it."""
+    log = registry.log(spark, sf_dir).withColumn("ts_ms", F.floor(F.col("seq") * 200 / 32))
+    d = detections.view(spark, sf_dir).select("det_id", "cam_name", "ts_ms")
+    found = registry.valid_at(d, log, 20_000)
+    return found.select("det_id", "seq", geometry.fixes_plane(text.points(F.col("points"))).alias("calibrated"))
 
 
-QUERIES["homography_fit"] = homography_fit
+QUERIES["calibration_at"] = calibration_at
+
+
+@query
+def crop_features(d: DataFrame) -> DataFrame:
+    """Appearance of crops of one color each: where the upper and the lower histogram stand, how long both are, and the gray of a corner against the aspect ratio."""
+    color = lambda k: F.lpad(F.hex((F.col("det_id") * k) % 256), 2, "0")
+    crops = d.select("det_id", (24 + F.col("det_id") % 5).alias("h"), (24 + F.col("det_id") % 3).alias("w"), F.concat(color(7), color(13), color(31)).alias("bgr"))
+    pixels = F.unhex(F.expr("repeat(bgr, CAST(h * w AS INT))"))
+    f = crops.select("det_id", vectors.crop_features(pixels, "h", "w").alias("f"))
+    upper, lower = F.slice("f", 1, 192), F.slice("f", 193, 192)
+    at = lambda part: (F.array_position(part, F.array_max(part)) - 1).alias
+    return f.select("det_id", F.size("f").alias("n"), at(upper)("upper"), at(lower)("lower"), r6(F.element_at("f", -1) / F.element_at("f", 385)).alias("gray"))
 
 
 @query
@@ -317,7 +338,7 @@ def gallery_ring(d: DataFrame) -> DataFrame:
 @query
 def gallery_topk(d: DataFrame) -> DataFrame:
     g = vectors.galleries(d, ["person"], ["ts_ms", "det_id"]).withColumnRenamed("person", "gid")
-    return d.join(F.broadcast(g), F.col("person") == F.col("gid")).select("det_id", "gid", r6(vectors.gallery_similarity(F.col("emb"), F.lit(None).cast("array<double>"), F.col("gallery"))).alias("similarity"))
+    return d.join(g, F.col("person") == F.col("gid")).select("det_id", "gid", r6(vectors.gallery_similarity(F.col("emb"), F.lit(None).cast("array<double>"), F.col("gallery"))).alias("similarity"))
 
 
 def hsv_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,7 +558,7 @@ def active_map(d: DataFrame) -> DataFrame:
 
 @query
 def trail(d: DataFrame) -> DataFrame:
-    t = history.trails(sightings(d).select("gid", "ts_ms", "det_id", "map_x", "map_y"), 50)
+    t = history.trails(sightings(d).select("site_id", "gid", "ts_ms", "det_id", "map_x", "map_y"), 50)
     total = F.aggregate("trail", F.lit(0).cast("long"), lambda s, p: s + p["map_x"])
     return t.select("det_id", "gid", F.size("trail").cast("long").alias("n"), F.element_at("trail", 1)["map_x"].alias("from_x"), total.alias("sum_x"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from wayline.functions import constants as C
 from wayline.functions import geometry, text
+from wayline.operators import asof
 
 LOG = """
 SELECT event_id AS seq, concat('cam_', user_id % 40) AS name, CASE WHEN event_id % 17 = 0 THEN 'delete' ELSE 'add' END AS action,
@@ -31,11 +32,6 @@ def source_type(url: Column) -> Column:
     return F.when(text.is_video(url), "video").otherwise("camera")
 
 
-def accepted(actions: DataFrame) -> DataFrame:
-    """Additions by upload must be video files; streams and devices are taken as they are."""
-    return actions.filter(~F.col("url").contains(".") | F.col("url").contains("://") | text.is_video(F.col("url")))
-
-
 def latest(actions: DataFrame) -> DataFrame:
     """The last action on each name wins; sums up before it shuffles."""
     row = F.struct(*[c for c in actions.columns if c != "name"])
@@ -48,6 +44,29 @@ def without_deleted(state: DataFrame, deletions: DataFrame) -> DataFrame:
     return state.join(gone, (state["name"] == gone["name"]) & (gone["_gone"] > state["seq"]), "left_anti")
 
 
+#: Milliseconds of the clock that are looked through together for changes of the registry.
+PART_MS = 600_000
+
+
+def valid_at(detections: DataFrame, actions: DataFrame, part_ms: int = PART_MS) -> DataFrame:
+    """detections with seq, url and points of their camera as the registry had it right before their frame; null where it was not there, or deleted by then.
+
+    actions: name, seq, ts_ms, action, url, points. A change holds for the frames after it, so a stream that reads the log again for each batch, as sinks.per_batch lets it, sees
+    the registry of each frame's own time, whenever the batch runs.
+    """
+    facts = actions.select(F.col("name").alias("cam_name"), "ts_ms", F.col("seq").alias("det_id"), "action", "url", "points")
+    found = asof.last_before(detections, facts, ["cam_name"], ["det_id", "action", "url", "points"], part_ms, name="_last")
+    there = F.col("_last.action") != "delete"
+    return found.withColumns({"seq": F.when(there, F.col("_last.det_id")), "url": F.when(there, F.col("_last.url")), "points": F.when(there, F.col("_last.points"))}).drop("_last")
+
+
+def planes(rows: DataFrame, target: list[list[float]]) -> DataFrame:
+    """rows (points, as text) with h, the plane from their points to the target; fitted once for each distinct text, null where it fixes none."""
+    source = text.points(F.col("points"))
+    fits = rows.select("points").filter(geometry.fixes_plane(source)).distinct().withColumn("h", _fit(source, F.lit(target).cast("array<array<double>>")))
+    return rows.join(fits, "points", "left")
+
+
 def lookup(state: DataFrame, name: str) -> DataFrame:
     return state.filter(F.col("name") == name)
 
@@ -95,11 +114,6 @@ def uploads(files: DataFrame, seq: Column) -> DataFrame:
     return kept.select("name", seq.alias("seq"), F.lit("add").alias("action"), F.concat(F.lit("uploads/"), name).alias("url"), F.lit("video").alias("source_type"))
 
 
-def save(state: DataFrame, path: str) -> None:
-    """The registry as a table, replaced as a whole."""
-    state.write.mode("overwrite").parquet(path)
-
-
 def save_floorplan(uploaded: DataFrame, path: str) -> None:
     """Of uploaded floorplans (seq, content, width, height) the newest, in place of the one before; without any the one before stays."""
     newest = uploaded.orderBy(F.desc("seq")).limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,16 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = False,
     return (writer.trigger(availableNow=True) if once else writer).start(path)
 
 
+def per_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Each batch through work, which may read tables as they are by then (such as the registry), into a table. A batch that runs again replaces what it had written."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        work(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def to_map(changes: DataFrame, path: str, checkpoint: str, once: bool = False, key: Sequence[str] = ("site_id", "gid"), every: int = 64) -> StreamingQuery:
     """The map as a table that is changed in place: each batch's changes, and after every so many batches a snapshot of the whole map, which replaces what came before it.
 
