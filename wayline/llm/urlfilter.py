@@ -8,7 +8,8 @@ for each of its paths. The filter has BLOCKS words however long the list is, whi
 list only raises the share of false hits, and the exact join drops those.
 
 Defined results: null url, or no "://": empty host and path, hence the default verdict. Repeated and null page_ids
-keep one row each. Entries with a null or empty host are left out; of equal entries that disagree, block wins.
+keep one row each. Entries with a null or empty host are left out; of equal entries that disagree, block wins. Very long urls are judged whole. An
+empty table gives no rows, an empty list the default verdict for all. Columns besides those named, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -64,17 +65,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     """pages (key, url) -> key, host, path, rule, verdict. rules: host, path, verdict ("allow" or "block")."""
     seen = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     listed = canonical(rules)
-    labels = F.split("host", r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    # The lengths that listed paths have: a few numbers, and the longest bounds how many there can be.
-    lengths = listed.agg(F.array_sort(F.collect_set("path_len")).alias("lengths"))
+    # The lengths that listed hosts and paths have: a few numbers, and the longest bounds how many there can be. However many labels a host has, only
+    # its endings of those lengths are tried, where a label begins.
+    lengths = listed.agg(F.array_sort(F.collect_set("host_len")).alias("host_lengths"), F.array_sort(F.collect_set("path_len")).alias("lengths"))
+    begins = lambda x: (x == F.length("host")) | ((x < F.length("host")) & (F.substring(F.col("host"), -x - 1, F.lit(1)) == "."))
     tried = (
         seen.select("host", "path").filter(F.length("host") > 0).distinct()
         .join(F.broadcast(lengths))
-        .withColumn("suffix", F.explode(suffixes))
+        .withColumn("host_length", F.explode(F.filter("host_lengths", begins)))
         .withColumn("length", F.explode(F.filter("lengths", lambda x: x <= F.length("path"))))
-        .select("host", "path", F.concat("suffix", F.lit("\n"), F.expr("substring(path, 1, length)")).alias("key"))
+        .select("host", "path", F.concat(F.expr("right(host, host_length)"), F.lit("\n"), F.expr("substring(path, 1, length)")).alias("key"))
         .withColumn("block", _block(F.col("key")))
     )
     possible = tried.join(F.broadcast(bloom(listed)), "block").filter(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
