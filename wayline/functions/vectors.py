@@ -55,6 +55,12 @@ def gallery_similarity(emb: Column, template: Column, gallery: Column) -> Column
     return mean_of_best(F.transform(held, lambda g: cosine(emb, g)))
 
 
+def unit_similarity(unit: Column, template: Column, gallery: Column) -> Column:
+    """As gallery_similarity, of vectors that have unit length already: a product for each held vector, and no lengths."""
+    held = F.concat(F.when(template.isNotNull(), F.array(template)).otherwise(F.array().cast("array<array<double>>")), gallery)
+    return mean_of_best(F.transform(held, lambda g: dot(unit, g)))
+
+
 def template(ordered: Column) -> Column:
     """Exponential mean of vectors in their order, brought back to unit length at each step."""
     units = F.transform(ordered, normalized)
