@@ -102,3 +102,17 @@ def test_registry_changes_under_a_stream(spark, tmp_path):
     there = round((H[0] * 600 + H[1] * 400 + H[2]) / (H[6] * 600 + H[7] * 400 + H[8]), 3)
     got = {r["det_id"]: (r["map_x"], r["url"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: (None, None), 2: (there, "one"), 3: (None, None), 4: (there, "one"), 5: (None, "two"), 6: (there, "three"), 7: (None, None)}
+
+
+def test_image_headers(spark):
+    number = lambda n, size, order: n.to_bytes(size, order)
+    png = b"\x89PNG\r\n\x1a\n" + number(13, 4, "big") + b"IHDR" + number(640, 4, "big") + number(70_000, 4, "big")
+    gif = b"GIF89a" + number(300, 2, "little") + number(2, 2, "little")
+    bmp = b"BM" + bytes(16) + number(1, 4, "little") + number(258, 4, "little")
+    segment = lambda kind, body: bytes([0xFF, kind]) + number(len(body) + 2, 2, "big") + body
+    frame = segment(0xC2, b"\x08" + number(480, 2, "big") + number(1920, 2, "big") + b"\x03")
+    jpeg = b"\xff\xd8" + segment(0xE0, b"JFIF" + bytes(9)) + b"\xff" + segment(0xC4, bytes(30)) + frame
+    files = [(0, png), (1, gif), (2, bmp), (3, jpeg), (4, png[:20]), (5, jpeg[:20]), (6, b""), (7, None), (8, b"text"), (9, b"\xff\xd8")]
+    rows = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in files], "i int, content binary")
+    got = {r["i"]: (r["width"], r["height"]) for r in registry.with_size(rows).collect()}
+    assert got == {0: (640, 70_000), 1: (300, 2), 2: (1, 258), 3: (1920, 480)} | {i: (None, None) for i in range(4, 10)}

@@ -262,7 +262,7 @@ SQL: dict[str, str] = {
     ),
     "floorplan_default": _with(
         _LOG,
-        "SELECT true AS uploaded, CAST(coalesce(max(length(url)), 900) AS BIGINT) AS width, CAST(coalesce(max(length(points)), 600) AS BIGINT) AS height "
+        "SELECT true AS uploaded, coalesce(arg_max(300 + seq * 7 % 701, seq), 900) AS width, coalesce(arg_max(200 + seq * 13 % 701, seq), 600) AS height "
         "FROM log WHERE points LIKE '[[%' UNION ALL SELECT false, 900, 600",
     ),
     "safe_filename": _with(_LOG, r"SELECT seq, coalesce(nullif(trim(regexp_replace(CASE WHEN seq % 9 = 0 THEN '/()/' ELSE url END, '[^\p{L}\p{N} ._-]', '', 'g')), ''), 'video_' || seq || '.mp4') AS name FROM log"),

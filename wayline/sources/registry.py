@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from wayline.functions import constants as C
 from wayline.functions import geometry, text
@@ -102,6 +102,39 @@ def encoded(files: DataFrame) -> DataFrame:
     return files.select("path", "length", "content", F.translate(F.base64("content"), "\r\n", "").alias("image_base64"))
 
 
+def _number(content: Column, at: int, n: int, big: bool) -> Column:
+    """A whole number of n bytes at a place (from 0) of binary content."""
+    places = range(at, at + n) if big else range(at + n - 1, at - 1, -1)
+    return F.conv(F.concat(*[F.hex(F.substring(content, i + 1, 1)) for i in places]), 16, 10).cast("int")
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def _jpeg_size(content: pd.Series) -> pd.DataFrame:
+    """Size from the frame header of a JPEG, found by going from segment to segment."""
+    found = []
+    for raw in content:
+        size, at = (None, None), 2
+        while raw is not None and at + 9 <= len(raw) and raw[at] == 0xFF:
+            kind, length = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                size = (int.from_bytes(raw[at + 7 : at + 9], "big"), int.from_bytes(raw[at + 5 : at + 7], "big"))
+                break
+            at += 2 + length if kind != 0xFF else 1
+        found.append(size)
+    return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+
+def with_size(files: DataFrame) -> DataFrame:
+    """files (content) with width and height as the image's own header says (PNG, GIF, BMP, JPEG); null for anything else, or a header that is cut off."""
+    c = F.col("content")
+    begins = lambda text: F.hex(F.substring(c, 1, len(text) // 2)) == text
+    kinds = [(begins("89504E470D0A1A0A"), 24, (16, 4, True), (20, 4, True)), (begins("474946383761") | begins("474946383961"), 10, (6, 2, False), (8, 2, False)), (begins("424D"), 26, (18, 4, False), (22, 4, False))]
+    size = F.when(begins("FFD8"), _jpeg_size(F.when(begins("FFD8"), c)))
+    for is_kind, least, w, h in kinds:
+        size = F.when(is_kind & (F.length(c) >= least), F.struct(_number(c, *w).alias("width"), _number(c, *h).alias("height"))).otherwise(size)
+    return files.withColumn("_size", size).select("*", "_size.width", "_size.height").drop("_size")
+
+
 def floorplan_size(found: DataFrame) -> DataFrame:
     """Width and height of the floorplan in found (width, height), the default size if there is none: one row."""
     return found.agg(F.coalesce(F.max("width"), F.lit(C.MAP_WIDTH)).alias("width"), F.coalesce(F.max("height"), F.lit(C.MAP_HEIGHT)).alias("height"))
