@@ -9,7 +9,8 @@ grow with the table; scoring is one narrow pass. A temperature, fitted on a fift
 least probability at which accepted predictions of that fifth err at most max_error of the time is the rejection level (column accepted).
 
 Defined results: null texts and texts without a letter are "und" with score 0. With nothing to learn from, every
-text is "und"; with one language, each text with letters gets it. Equal scores go to the smaller label.
+text is "und"; with one language, each text with letters gets it. Equal scores go to the smaller label. Very long texts are read whole. Repeated rows each get
+their result, and so do rows without an id, which may be learned from. Columns besides those named, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ them and returns one link for each component that a class reaches, never all pai
 
 Defined results: documents without words have an empty set and are linked with nothing; with fewer than k words the
 whole sequence is the one shingle. Rows without a doc_id get no component and are kept; a repeated doc_id joins
-whatever its rows are linked to, and each of its rows is returned. An empty table gives no rows.
+whatever its rows are linked to, and each of its rows is returned. Very long texts are compared whole. Columns besides those named, whatever their names,
+are not read, and keep_one() returns them as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations

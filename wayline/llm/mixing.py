@@ -16,7 +16,8 @@ each source are broadcast up to BROADCAST_BLOCKS rows and shuffled beyond.
 
 Defined results: null text has size 0; null source is a source of its own and comes last. Sizes of 0 are taken 0
 words whatever the plan. Repeated ids stand or fall together, each row counting its own size. An empty table gives no
-rows. Very long texts are counted whole. Every choice comes from hashes and a seed, so reruns agree.
+rows. Very long texts are counted whole. Columns besides those named, whatever their names, are not read, and mix() returns them as they are. Every
+choice comes from hashes and a seed, so reruns agree. More than 10^9 draws of blocks in all, which is about 490,000 sources, raise an error.
 """
 
 from __future__ import annotations

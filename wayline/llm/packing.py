@@ -11,7 +11,8 @@ counted in BUCKETS parts for each length: a length that a third of all pieces sh
 Token ids never leave the tasks; only lengths and checksums are shuffled.
 
 Defined results: null and empty texts are the end id alone. Repeated rows are packed as often as they occur. A null
-doc_id is carried along. An empty table gives no rows.
+doc_id is carried along. Very long texts are cut whole into pieces. Columns besides doc_id and text, whatever their names, are not read. An empty table gives no
+rows. The vocabulary's pre-tokeniser has to part at white space, as word_bpe_49k.json does; ids of another one may differ from its own.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ shuffle are written out first.
 
 Defined results: null and empty texts have no perplexity and are not rejected. A null language is a group of its own. A
 language's threshold is its median plus a quantile of what lies above it; both are its own, drawn towards those of all languages the
-more the fewer trusted unseen texts it has. Without any in any language, nothing is rejected. Repeated rows each get their result. Without trusted text every character is equally likely.
+more the fewer trusted unseen texts it has. Without any in any language, nothing is rejected. Repeated rows each get their result. Without trusted text every character is equally likely. Very long texts are read whole. Columns besides those
+named, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Fitting sees a bounded sample of labelled rows: the SAMPLE first by a hash of id
 strong enough (STRENGTH, a log-likelihood ratio, and PURITY), so its size is bounded by the sample. Scoring is one narrow pass.
 
 Defined results: null and empty texts get the score of a text without any feature. Without labelled rows every score is 0. A repeated
-doc_id with labels that disagree counts as toxic. Very long texts are scored whole. An empty table gives no rows.
+doc_id with labels that disagree counts as toxic. Very long texts are scored whole. Rows without an id are scored and never learned from. Equal texts get equal
+scores, and a score of just the level is toxic. Columns besides those named, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
