@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayline.functions import geometry, scoring, text, vectors
+from wayline.operators import history
 from wayline.operators.matching import greedy, optimal
 from wayline.plans.calibration import H, SOURCE, TARGET
 
@@ -74,10 +75,15 @@ def test_vectors(spark):
 
 
 def test_template_is_an_ordered_mean(spark):
-    rows = spark.createDataFrame([(1, 2, [0.0, 2.0]), (1, 1, [1.0, 0.0]), (2, 1, [0.0, 0.0])], "k int, t int, emb array<double>")
-    got = {r["k"]: r["template"] for r in vectors.templates(rows, ["k"], ["t"]).collect()}
+    shape = "site_id long, gid long, ts_ms long, cam_name string, frame_no long, det_idx long, det_id long, emb array<double>"
+    rows = spark.createDataFrame([(0, 1, 2, "a", 2, 0, 11, [0.0, 2.0]), (0, 1, 1, "a", 1, 0, 10, [1.0, 0.0]), (1, 1, 1, "a", 1, 0, 12, [0.0, 0.0]), (0, 2, 1, "a", 1, 1, 13, None)], shape)
     length = math.hypot(0.9, 0.1)
-    assert got[1] == pytest.approx([0.9 / length, 0.1 / length]) and got[2] == [0.0, 0.0]
+    last = {(r["site_id"], r["gid"]): (r["version"], r["template"], len(r["gallery"])) for r in history.vectors_of(rows).collect()}
+    assert last[0, 1][0] == 11 and last[0, 1][1] == pytest.approx([0.9 / length, 0.1 / length]) and last[0, 1][2] == 2
+    assert last[1, 1] == (12, [0.0, 0.0], 1) and last[0, 2] == (13, None, 0)
+    # only what is asked for comes out, as it was then
+    asked = spark.createDataFrame([(0, 1, 10)], "site_id long, gid long, version long")
+    assert [(r["version"], r["template"]) for r in history.vectors_of(rows, asked).collect()] == [(10, [1.0, 0.0])]
 
 
 def test_text(spark):

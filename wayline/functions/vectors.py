@@ -61,19 +61,6 @@ def unit_similarity(unit: Column, template: Column, gallery: Column) -> Column:
     return mean_of_best(F.transform(held, lambda g: dot(unit, g)))
 
 
-def template(ordered: Column) -> Column:
-    """Exponential mean of vectors in their order, brought back to unit length at each step."""
-    units = F.transform(ordered, normalized)
-    mixed = lambda old, new: bound(F.zip_with(old, new, lambda p, q: p * C.KEEP + q * (1 - C.KEEP)), normalized)
-    return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), F.get(units, F.lit(0)), mixed)
-
-
-def templates(rows: DataFrame, key: list[str], order: list[str], emb: str = "emb") -> DataFrame:
-    """The template of each key after its last row."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(emb).alias("emb"))))
-    return rows.groupBy(*key).agg(template(F.transform(listed, lambda s: s["emb"])).alias("template"))
-
-
 def galleries(rows: DataFrame, key: list[str], order: list[str], emb: str = "emb", size: int = C.GALLERY) -> DataFrame:
     """The last vectors of each key, oldest first. Only the newest rows of a key are gathered."""
     newest = rows.withColumn("_back", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]))).filter(F.col("_back") <= size)
