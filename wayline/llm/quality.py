@@ -128,7 +128,7 @@ def model(highest: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     tables, at = [], highest
     for order in range(ORDER, 0, -1):
         if order < ORDER:
-            at = cut(at.groupBy(_last(F.col("run"), order).alias("run")).agg(F.count("*").alias("n")), f"quality-n{order}")
+            at = cut(at.groupBy(_last(F.col("run"), order).alias("run")).agg(F.count("*").alias("n")), f"quality-n{order}", tidy=True)
         d1, d2, d3 = _discounts(at)
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         context = F.shiftright("run", BITS).alias("context")
@@ -150,7 +150,7 @@ def probabilities(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -
             rows = rows.join(p.select(F.col("run").alias("suffix"), F.col("p").alias("lower")), "suffix")
         rows = rows.join(table, "run", "left").join(contexts, "context", "left")
         p = rows.select("run", F.when(F.col("total").isNull(), lower).otherwise(F.coalesce("less", F.lit(0.0)) / F.col("total") + F.col("free") * lower).alias("p"))
-        p = cut(p, f"quality-p{order}")
+        p = cut(p, f"quality-p{order}", tidy=True)
     return p.select("run", F.log("p").cast("float").alias("log_p"))
 
 
@@ -227,8 +227,8 @@ def score(docs: DataFrame, trusted: DataFrame, stored: bool = False) -> DataFram
     """
     own = docs.select("doc_id", "text", "lang")
     own = own if stored else cut(own, "quality-docs")
-    tables = model(cut(counts(trusted), f"quality-n{ORDER}", texts=True))
-    asked = cut(_asked(own), "quality-asked", texts=True)
+    tables = model(cut(counts(trusted), f"quality-n{ORDER}", texts=True, tidy=True))
+    asked = cut(_asked(own), "quality-asked", texts=True, tidy=True)
     answers = asked.join(probabilities(asked, tables), "run").select("batch", "run", "log_p")
     kind = own.schema["doc_id"].dataType.simpleString()
     schema = to_arrow_schema(own.select("doc_id", "lang", F.lit(0).cast("long").alias("n_chars"), F.lit(0.0).alias("log_ppl")).schema)
@@ -269,7 +269,7 @@ def judge(docs: DataFrame, labels: DataFrame, calibrate: Column, quantile: float
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).filter("_quality = 1").select("doc_id")
     taught = good.filter(~calibrate)
     known = F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught
-    scored = cut(score(docs, docs.select("doc_id", "text").join(known, "doc_id", "left_semi"), stored), "quality-scores")
+    scored = cut(score(docs, docs.select("doc_id", "text").join(known, "doc_id", "left_semi"), stored), "quality-scores", tidy=True)
     # a language's figures are one row each
     lang = F.struct("lang")
     unseen = scored.filter("log_ppl IS NOT NULL").join(good.filter(calibrate), "doc_id", "left_semi")

@@ -60,23 +60,29 @@ def note(path: str) -> None:
 TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+#: Shuffle files go as soon as the execution that wrote them has ended.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def cut(df: DataFrame, name: str, texts: bool = False, tidy: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
 
     texts: df sends whole texts to Python, so while it is written Arrow batches are small: both sides hold a batch or two for each task.
     The setting is the session's, so other queries that start meanwhile in the same session get small batches too, and no other results.
+    tidy: what was shuffled for this table is deleted with the end of its writing, and not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     note(path)
-    usual = {k: spark.conf.get(k, None) for k in TEXT_BATCH} if texts else {}
-    for k in usual:
-        spark.conf.set(k, TEXT_BATCH[k])
+    wanted = (TEXT_BATCH if texts else {}) | (TIDY if tidy else {})
+    usual = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
         for k, v in usual.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
