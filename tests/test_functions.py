@@ -66,6 +66,10 @@ def test_horizon_has_no_place(spark):
     assert one(spark, x=x) == {"x": None}
 
 
+def test_calibration_is_what_its_points_fix():
+    assert geometry.fit_homography(SOURCE, TARGET) == pytest.approx(H, abs=1e-9)
+
+
 def test_vectors(spark):
     zero = F.array(*lits(0.0, 0.0))
     a, b = F.array(*lits(3.0, 4.0)), F.array(*lits(4.0, 3.0))
