@@ -192,8 +192,10 @@ def crop_rect(d: DataFrame) -> DataFrame:
 @query
 def min_crop(d: DataFrame) -> DataFrame:
     b = geometry.box()
-    x1, y1, x2, y2 = geometry.crop(b, WIDTH, HEIGHT)
-    return d.filter(geometry.croppable(b, WIDTH, HEIGHT) & (x2 - x1 >= C.MIN_CROP) & (y2 - y1 >= C.MIN_CROP)).select("det_id")
+    # a generated row stands for itself: otherwise each use of a side would repeat all that it is computed from
+    sides = F.struct(*[c.alias(n) for c, n in zip(geometry.crop(b, WIDTH, HEIGHT), ("cx1", "cy1", "cx2", "cy2"), strict=True)])
+    crops = d.filter(geometry.croppable(b, WIDTH, HEIGHT)).select("det_id", F.inline(F.array(sides)))
+    return crops.filter((F.col("cx2") - F.col("cx1") >= C.MIN_CROP) & (F.col("cy2") - F.col("cy1") >= C.MIN_CROP)).select("det_id")
 
 
 @query
