@@ -3,15 +3,18 @@
 A vector is approximated by the sum of one word from each of STAGES full-dimensional codebooks, fitted stage by stage on the residuals
 of a bounded sample. Encoding is a beam search over the stages. With the approximation's squared norm
 stored beside the code, a query's squared distance needs one look-up for each stage: norm - 2 * sum(dot products of the query and the words).
-The RERANK approximate candidates of a query are measured again on the original vectors.
+The best approximate candidates of a query are measured again on the original vectors.
 
-Rows lie in coarse cells (the nearest of some centroids of the sample). A query looks into as many of its nearest cells as the sample's own vectors
-need to have AIM of their true neighbours inside; where vectors have no structure, that is all cells.
+Rows lie in coarse cells (the nearest of some centroids of the sample). How many of its nearest cells a query looks into, and how many candidates
+are measured again, is calibrated on the whole table: TRIALS vectors of the sample meet every row once, exactly and by code, and both
+numbers are such that AIM of their true neighbours are within. So both follow the table, whatever its size; where vectors have no structure,
+all cells are looked into. RERANK candidates are measured at least.
 
 Scale: what meets queries is codes and norms, 48 bytes a row, once for each block of queries of a cell. A cell of any size is cut into
-blocks of ROWS_BLOCK by hash, and a task holds one of them with about QUERIES_BLOCK queries. The blocks that a query looks into give SLACK * RERANK
-candidates together, in equal shares (k each at least), so candidates grow with the queries and not with queries times blocks;
-the best RERANK of them are joined with their vectors, and k of those stay.
+blocks of ROWS_BLOCK by hash, and a task holds one of them with about QUERIES_BLOCK queries. The blocks that a query looks into give SLACK times
+as many candidates as are measured, nearer cells more than farther ones (k each at least), so candidates grow with the queries and not with queries
+times blocks; the best of them are joined with their vectors, and k of those stay. Calibration reads the rows twice more, with TRIALS vectors, and
+gives k rows for each of them.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of different
 lengths are not compared; each length has its own codebooks, and a length that the sample lacks is measured exactly. Equal distances go to the smaller
@@ -33,10 +36,12 @@ from .shared import BROADCAST_IDS, cut
 
 #: Codebooks, words in each, beam width, and vectors of the sample at most.
 STAGES, WORDS, BEAM, SAMPLE = 24, 256, 2, 8192
-#: Candidates of a query that are measured exactly, how many times as many its blocks give together, and queries whose vectors are broadcast at most.
+#: Candidates of a query that are measured exactly at least, how many times as many its blocks give together, and queries whose vectors are broadcast at most.
 RERANK, SLACK, BROADCAST_QUERIES = 300, 2, 20_000
-#: Rows and queries in a block, rows for each coarse cell aimed at, cells at most, and the share of the sample's neighbours that probes must hold.
-ROWS_BLOCK, QUERIES_BLOCK, PER_CELL, CELLS, AIM = 4096, 1024, 4096, 1024, 0.98
+#: Rows and queries in a block, rows for each coarse cell aimed at, and cells at most.
+ROWS_BLOCK, QUERIES_BLOCK, PER_CELL, CELLS = 4096, 1024, 4096, 1024
+#: Vectors of each length that calibrate, the share of their true neighbours that cells and candidates must hold, and queries scored at a time.
+TRIALS, AIM, AT_ONCE = 64, 0.99, 32
 
 
 def least(x: np.ndarray, width: int, strides: int = 16) -> np.ndarray:
@@ -80,11 +85,11 @@ class Quantiser:
         return codes, norms
 
     def distances(self, query: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Approximate squared distances, but for the query's own norm, by look-up tables."""
-        out = norms.copy()
+        """Approximate squared distances, but for the query's own norm, by look-up tables; a row of them for each of several queries."""
+        out = norms.copy() if query.ndim == 1 else np.repeat(norms[:, None], len(query), 1)
         for stage, book in enumerate(self.books):
-            out -= (2 * (book @ query))[codes[:, stage]]
-        return out
+            out -= (2 * (book @ query.T))[codes[:, stage]]
+        return out.T
 
 
 def train(sample: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 6, seed: int = 11) -> Quantiser:
@@ -122,8 +127,8 @@ class Index:
         return np.argsort(away, axis=1, kind="stable")[:, :many]
 
 
-def learn(sample: np.ndarray, rows: int, k: int) -> Index:
-    """An index for about so many rows like the sample."""
+def learn(sample: np.ndarray, rows: int) -> Index:
+    """An index for about so many rows like the sample; it looks into all cells until it is calibrated."""
     rng = np.random.default_rng(5)
     n = int(np.clip(rows // PER_CELL, 1, min(CELLS, len(sample))))
     centroids = sample[rng.choice(len(sample), n, replace=False)].copy()
@@ -133,24 +138,74 @@ def learn(sample: np.ndarray, rows: int, k: int) -> Index:
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, sample)
         centroids[many > 0] = sums[many > 0] / many[many > 0, None]
-    index = Index(train(sample), centroids, n)
-    if n > 1:  # of true neighbours in the sample, how far down a query's list of cells they lie
-        some = sample[rng.choice(len(sample), min(256, len(sample)), replace=False)]
-        away = (sample**2).sum(1) - 2 * some @ sample.T
-        near = np.argpartition(away, min(k, len(sample) - 1), axis=1)[:, : k + 1]
-        home, order = index.cells(sample, 1)[:, 0], index.cells(some, n)
-        place = np.argsort(order, axis=1)[np.arange(len(some))[:, None], home[near]]
-        index.probes = int(np.quantile(place, AIM, method="higher")) + 1
-    return index
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERANK, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row where is_query (on vec_id) holds, among all others."""
+    return Index(train(sample), centroids, n)
+
+
+def calibrate(index: DataFrame, indexes: dict[int, Index], trials: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> int:
+    """Sets each length's number of cells to look into; gives how many candidates by code hold AIM of the true neighbours.
+
+    index: vec_id, v, size, cell, code, norm. trials: of each length the ids and the vectors that are compared with all rows.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+        for batch in batches:
+            for size, part in batch.groupby("size"):
+                if int(size) in indexes:
+                    codes = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
+                    for at in range(0, len(part), ROWS_BLOCK):
+                        some = slice(at, at + ROWS_BLOCK)
+                        about = indexes[int(size)].quantiser.distances(trials[int(size)][1], codes[some], part["norm"].to_numpy()[some])
+                        yield int(size), part.iloc[some], np.where(part["vec_id"].to_numpy()[some] == trials[int(size)][0][:, None], np.inf, about)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        for size, part, about in rows(batches):
+            x, asked = matrix(part["v"]), trials[size][1]
+            away = np.where(np.isinf(about), np.inf, (x**2).sum(1) - 2 * asked @ x.T)
+            near = np.argpartition(away, min(k, len(x)) - 1, axis=1)[:, :k]
+            trial = np.repeat(np.arange(len(asked)), near.shape[1])
+            found = pd.DataFrame({"size": size, "trial": trial, "away": away[trial, near.ravel()], "about": about[trial, near.ravel()], "cell": part["cell"].to_numpy()[near.ravel()]})
+            found = pd.concat([best[size], found[np.isfinite(found["away"])]]) if size in best else found[np.isfinite(found["away"])]
+            best[size] = found.sort_values("away", kind="stable").groupby("trial").head(k)
+        yield from best.values()
+
+    first = index.select("vec_id", "v", "size", "cell", "code", "norm").mapInPandas(nearest, "size int, trial int, away double, about double, cell int")
+    place = F.row_number().over(Window.partitionBy("size", "trial").orderBy("away", "about"))
+    truth = first.withColumn("n", place).filter(F.col("n") <= k).drop("n").toPandas()  # k rows for each trial
+    if truth.empty:
+        return 0
+    held = {int(size): part for size, part in truth.groupby("size")}
+
+    def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = {size: np.zeros(len(part), np.int64) for size, part in held.items()}
+        for size, _, about in rows(batches):
+            about.sort(axis=1)
+            if size in held:
+                trial, limit = held[size]["trial"].to_numpy(), held[size]["about"].to_numpy()
+                for one in np.unique(trial):
+                    counts[size][trial == one] += np.searchsorted(about[one], limit[trial == one])
+        for size, n in counts.items():
+            yield pd.DataFrame({"size": size, "place": np.arange(len(n)), "n": n})
+
+    depths = index.select("vec_id", "size", "code", "norm").mapInPandas(deeper, "size int, place int, n long").groupBy("size", "place").agg(F.sum("n").alias("n")).toPandas()
+    for size, part in held.items():
+        own = indexes[size]
+        order = np.argsort(own.cells(trials[size][1], len(own.centroids)), axis=1)  # where each cell comes in a trial's list
+        own.probes = int(np.quantile(order[part["trial"], part["cell"]], AIM, method="higher")) + 1
+    return max(int(np.quantile(part["n"], AIM, method="higher")) + 1 for _, part in depths.groupby("size"))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row where is_query (on vec_id) holds, among all others.
+
+    rerank: so many candidates are measured exactly; if not given, as many as calibration asks for.
+    """
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     own = own.filter(sound(F.col("v")) & F.col("vec_id").isNotNull()).withColumn("size", F.size("v"))
-    drawn = own.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v", "size").toPandas()  # SAMPLE vectors at most
+    drawn = own.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("vec_id", "v", "size").toPandas()  # SAMPLE vectors at most
     n = own.count()
-    indexes = {int(size): learn(matrix(part["v"]), n * len(part) // len(drawn), k) for size, part in drawn.groupby("size")}
+    indexes = {int(size): learn(matrix(part["v"]), n * len(part) // len(drawn)) for size, part in drawn.groupby("size")}
+    trials = {int(size): (part["vec_id"].to_numpy()[:TRIALS], matrix(part["v"][:TRIALS])) for size, part in drawn.groupby("size")}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,17 +222,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
     coded = own.mapInPandas(encode, f"vec_id long, v {element}, size int, cell int, code binary, norm double")
     # a row's number is as written: ids may be repeated
     index = cut(coded.withColumn("row", F.monotonically_increasing_id()), "ann-index")
+    needed = calibrate(index, indexes, trials, k)
+    rerank = rerank or max(RERANK, needed)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby("size"):
                 found = indexes.get(int(size))
                 to = np.zeros((len(part), 1), np.int32) if found is None else found.cells(matrix(part["v"]), found.probes)
-                yield part.iloc[np.repeat(np.arange(len(part)), to.shape[1])].assign(cell=to.ravel().astype(np.int32))
+                yield part.iloc[np.repeat(np.arange(len(part)), to.shape[1])].assign(cell=to.ravel().astype(np.int32), nth=np.tile(np.arange(1, to.shape[1] + 1, dtype=np.int32), len(part)))
 
     queries = own.filter(is_query).select("vec_id", "v", "size").withColumn("query", F.xxhash64("vec_id", "v")).dropDuplicates(["vec_id", "v"])
     queries = cut(queries, "ann-queries")
-    asked = cut(queries.mapInPandas(probe, f"vec_id long, v {element}, size int, query long, cell int"), "ann-asked")
+    asked = cut(queries.mapInPandas(probe, f"vec_id long, v {element}, size int, query long, cell int, nth int"), "ann-asked")
     place = ["size", "cell"]
     rows_in = index.groupBy(*place).agg(F.ceil(F.count("*") / ROWS_BLOCK).cast("int").alias("rows_blocks"))
     asked_in = asked.groupBy(*place).agg(F.ceil(F.count("*") / QUERIES_BLOCK).cast("int").alias("queries_blocks"))
@@ -187,8 +244,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
     part = lambda c, many: F.pmod(F.xxhash64(c), F.col(many)).cast("int")
     left = index.select("row", "vec_id", "code", "norm", *place, F.when(F.col("code").isNull(), F.col("v")).alias("v")).join(blocks, place).withColumns({"rows_block": part("row", "rows_blocks"), "queries_block": every("queries_blocks")})
     met = asked.join(blocks, place)
-    shares = met.groupBy(F.col("query").alias("_query")).agg(F.greatest(F.lit(k), F.least(F.lit(rerank), F.ceil(F.lit(SLACK * rerank) / F.sum("rows_blocks")))).cast("int").alias("share"))
-    right = met.join(shares, F.col("query") == F.col("_query")).drop("_query").withColumns({"queries_block": part("query", "queries_blocks"), "rows_block": every("rows_blocks")})
+    # a query's nth cell gives 1 / n of what its first gives, its blocks together; k at least and no more than are measured
+    total = met.groupBy(F.col("query").alias("_query")).agg(F.sum(1 / F.col("nth")).alias("_total"))
+    share = F.ceil(SLACK * rerank / (F.col("_total") * F.col("nth") * F.col("rows_blocks")))
+    right = met.join(total, F.col("query") == F.col("_query")).withColumn("share", F.greatest(F.lit(k), F.least(F.lit(rerank), share)).cast("int")).drop("_query", "_total", "nth").withColumns({"queries_block": part("query", "queries_blocks"), "rows_block": every("rows_blocks")})
 
     def nearest(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -197,9 +256,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = RERA
             ids, numbers, found = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), indexes.get(int(rows["size"].iloc[0]))
             if found is not None:
                 codes, norms = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1), rows["norm"].to_numpy()
-            for query, query_id, v, held in zip(asked["query"], asked["vec_id"], asked["v"], asked["share"], strict=True):
-                v = np.asarray(v, np.float64)
-                about = exact(v, matrix(rows["v"])) if found is None else found.quantiser.distances(v, codes, norms)
+            each = matrix(asked["v"])
+            for at, (query, query_id, held) in enumerate(zip(asked["query"], asked["vec_id"], asked["share"], strict=True)):
+                if found is None:
+                    about = exact(each[at], matrix(rows["v"]))
+                else:
+                    if at % AT_ONCE == 0:
+                        scored = found.quantiser.distances(each[at : at + AT_ONCE], codes, norms)
+                    about = scored[at % AT_ONCE].copy()
                 about[ids == query_id] = np.inf
                 some = np.flatnonzero(ids != query_id)
                 if len(some) > held:
