@@ -1,8 +1,8 @@
 """Near duplicates of vectors: spherical k-means cells, blocked cosine products, one representative for each group.
 
-Only vectors with equal, non-null labels are compared. Equal vectors are one class first. A label with many classes gets cells, about one
-for PER_CELL classes (a power of two, CELLS at most): spherical k-means, fitted on a bounded sample, assigns each class to the cell of the nearest
-centroid, its home. A cell's vectors are compared with each other and with visitors:
+Only vectors with equal, non-null labels are compared. Equal vectors are one class first. A label gets FEWEST cells, or about one for PER_CELL
+classes (a power of two, CELLS at most), and one if it has under FEWEST classes for each: spherical k-means, fitted on a bounded sample, assigns each
+class to the cell of the nearest centroid, its home. A cell's vectors are compared with each other and with visitors:
 vectors at home in a later cell that could still be within the threshold of some point of this one. That test is exact: a
 point of cell j lies on the far side of the plane between its centroid and a visitor's, so a visitor farther from that plane than two vectors
 at the threshold can be apart has no partner there. No link is lost to the cells; they only save work.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import BROADCAST_IDS, cut
 
-#: Vectors of the sample at most, a label's classes for each cell aimed at, cells at most, and vectors in a block.
-SAMPLE, PER_CELL, CELLS, BLOCK = 20_000, 4096, 1024, 2048
+#: Vectors of the sample at most, a label's classes for each cell aimed at, cells at least and at most, and vectors in a block.
+SAMPLE, PER_CELL, FEWEST, CELLS, BLOCK = 20_000, 4096, 4, 1024, 2048
 
 
 def sound(vector: Column) -> Column:
@@ -84,7 +84,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     classes = own.filter("ok").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
     # a class has a number of its own, since ids may be repeated; it stays as written
     points = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "copies", "v", "label", F.size("v").alias("size")), "emb-points")
-    wanted = F.least(F.lit(CELLS), F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("count") / PER_CELL, F.lit(1.0)))))))
+    least = F.when(F.col("count") >= FEWEST * FEWEST, F.lit(FEWEST)).otherwise(1)
+    wanted = F.least(F.lit(CELLS), F.greatest(least, F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.col("count") / PER_CELL, F.lit(1.0)))))))
     cells = cut(points.groupBy("label", "size").count().select("label", "size", wanted.cast("int").alias("cells")), "emb-cells")
     fits = [(r["size"], r["cells"]) for r in cells.select("size", "cells").distinct().collect()]  # a few for each length of vector
     sample = points.orderBy(F.xxhash64("key")).limit(SAMPLE).select("v", "size").toPandas()  # SAMPLE vectors at most
