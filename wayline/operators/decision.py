@@ -45,17 +45,15 @@ def candidates(pending: DataFrame, known: DataFrame) -> DataFrame:
     return written(frames.gate(pending, known), "gated")
 
 
-def scored(pending: DataFrame, assigned: DataFrame, gated: DataFrame) -> DataFrame:
-    """All pairs of pending detections and gated identities with their scores. Vectors and motion are looked up for gated identities only."""
-    looks = history.vectors_of(assigned, gated.select("site_id", "gid", "version"))
-    full = history.with_motion(gated, assigned).join(looks, ["site_id", "gid", "version"])
-    return written(frames.scored(pending, full).select(*AT, "det_id", "det_idx", "gid", "appearance", "motion", "map", "time", "score", "accepted"), "scored")
+def scored(pending: DataFrame, assigned: DataFrame, gated: DataFrame, embedded: DataFrame) -> DataFrame:
+    """All pairs of pending detections and gated identities with their scores. Vectors (embedded: site_id, det_id, ts_ms, emb) meet block by block of time (history.appearances)."""
+    full = history.appearances(history.with_motion(gated, assigned), pending, assigned, embedded)
+    return frames.scored(pending, full).select(*AT, "det_id", "det_idx", "gid", "appearance", "motion", "map", "time", "score", "accepted")
 
 
 def matched(pairs: DataFrame) -> DataFrame:
-    """The optimal matching of each camera frame: AT, det_id, gid, score, accepted; thresholds are judged after it, so a refused pair gets no second choice."""
-    best = matching.optimal_groups(pairs.select(*AT, "det_id", "gid", "score"), AT, "det_id", "gid", "score")
-    return best.join(pairs.select("det_id", "gid", "accepted", "det_idx"), ["det_id", "gid"])
+    """The optimal matching of each camera frame: AT, det_id, gid, score, accepted, det_idx; thresholds are judged after it, so a refused pair gets no second choice."""
+    return matching.optimal_groups(pairs, AT, "det_id", "gid", "score", ["accepted", "det_idx"])
 
 
 def from_cache(pending: DataFrame, assigned: DataFrame, settled: DataFrame) -> DataFrame:
@@ -72,13 +70,14 @@ def from_cache(pending: DataFrame, assigned: DataFrame, settled: DataFrame) -> D
 
 def decided(detections: DataFrame, assigned: DataFrame) -> DataFrame:
     """AT, det_id, gid, score, source of each detection; gid is null where it is someone new."""
-    told = faced(detections, assigned)
+    embedded = detections.select("site_id", "det_id", "ts_ms", "emb")
+    told = faced(detections.drop("emb"), assigned)
     known = written(history.known_at(detections, assigned), "known")
     first = written(locked(told, assigned, known).select(*AT, "det_id", "gid", "score", "source"), "locked")
     open_ = told.join(first.select("det_id"), "det_id", "left_anti")
     free = known.join(first.select(*AT, "gid"), [*AT, "gid"], "left_anti")
-    second = written(matched(scored(open_, assigned, candidates(open_, free))).filter("accepted").select(*AT, "det_id", "gid", "score", F.lit("batch-match").alias("source")), "matched")
+    second = written(matched(scored(open_, assigned, candidates(open_, free), embedded.unionByName(assigned.select(*embedded.columns)))).filter("accepted").select(*AT, "det_id", "gid", "score", F.lit("batch-match").alias("source")), "matched")
     left = open_.join(second.select("det_id"), "det_id", "left_anti")
-    third = from_cache(left, assigned, first.unionByName(second)).withColumn("source", F.lit("same-cam-cache"))
+    third = from_cache(left.join(embedded.select("det_id", "emb"), "det_id"), assigned, first.unionByName(second)).withColumn("source", F.lit("same-cam-cache"))
     settled = first.unionByName(second).unionByName(third)
     return detections.select(*AT, "det_id").join(settled.select("det_id", "gid", "score", "source"), "det_id", "left").withColumns({"source": F.coalesce("source", F.lit("new")), "score": F.coalesce("score", F.lit(1.0))})

@@ -85,17 +85,17 @@ def gate(pending: DataFrame, identities: DataFrame, key: Sequence[str] = tuple(a
 def scored(pending: DataFrame, identities: DataFrame, key: Sequence[str] = tuple(asof.CAMERA_FRAME)) -> DataFrame:
     """All pairs of pending detections and identities of a key (a camera frame) with their parts and score.
 
-    pending: site_id, det_id, cam_name, now_ms, emb, map_x/y, center_x/y, box_w/h, overlap, forced_gid. identities: site_id, gid, template and gallery of unit
-    length, the id_ columns, and the camera and centers of the last sightings (h_cam, h_cx, h_cy, h_ms, h_w, h_h and b_cx, b_cy, b_ms before).
+    pending: site_id, det_id, cam_name, now_ms, map_x/y, center_x/y, box_w/h, overlap, forced_gid. identities: site_id, gid, looks (how alike each detection of
+    the frame is, as history.appearances gives it), the id_ columns, and the camera and centers of the last sightings (h_cam, h_cx, h_cy, h_ms, h_w, h_h and b_cx, b_cy, b_ms before).
     """
-    pairs = pending.withColumn("_unit", vectors.normalized(F.col("emb"))).join(identities, list(key))
+    pairs = pending.join(identities, list(key))
     same = F.col("id_last_cam") == F.col("cam_name")
     known = F.coalesce(F.col("h_cam") == F.col("cam_name"), F.lit(False))
     px, py = scoring.predicted(F.col("now_ms"), F.col("h_cx"), F.col("h_cy"), F.col("h_ms"), F.col("b_cx"), F.col("b_cy"), F.col("b_ms"))
     moved = F.when(known, geometry.distance(F.col("center_x"), F.col("center_y"), px, py))
     pairs = pairs.withColumns(
         {
-            "appearance": vectors.unit_similarity(F.col("_unit"), F.col("template"), F.col("gallery")),
+            "appearance": F.element_at("looks", F.col("det_id")),
             "motion": scoring.motion_score(moved, F.col("h_w"), F.col("h_h")),
             "map": scoring.map_score(geometry.distance(F.col("map_x"), F.col("map_y"), F.col("id_map_x"), F.col("id_map_y"))),
             "time": scoring.time_score(F.col("now_ms"), F.col("id_last_ms")),

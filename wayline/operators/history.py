@@ -6,8 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, MapType, StructField, StructType
 
 from wayline.functions import constants as C
 from wayline.functions import geometry, scoring, vectors
@@ -141,7 +144,7 @@ def known_at(camera_frames: DataFrame, sightings: DataFrame, idle: float = C.MAX
     scores = ["score"] if "score" in sightings.columns else []
     found = asof.latest_before(looks, sightings, _IDENTITY, ["det_id", "cam_name", "map_x", "map_y", "box_w", "box_h", *scores], ms, name="_last").filter("_last IS NOT NULL")
     names = {"version": "det_id", "id_last_cam": "cam_name", "id_last_ms": "ts_ms", "id_map_x": "map_x", "id_map_y": "map_y", "id_box_w": "box_w", "id_box_h": "box_h"} | {f"id_{c}": c for c in scores}
-    return found.select(*asof.CAMERA_FRAME, "gid", *[F.col(f"_last.{v}").alias(k) for k, v in names.items()])
+    return found.select(*asof.CAMERA_FRAME, F.col("ts_ms").alias("at_ms"), "gid", *[F.col(f"_last.{v}").alias(k) for k, v in names.items()])
 
 
 def with_motion(identities: DataFrame, assigned: DataFrame, ring: int = C.RING) -> DataFrame:
@@ -159,34 +162,33 @@ def with_motion(identities: DataFrame, assigned: DataFrame, ring: int = C.RING)
     return found.withColumns({k: F.col(f"_in.{v}") for k, v in names.items()} | past).drop("_in", "_n")
 
 
-def vectors_of(sightings: DataFrame, asked: DataFrame | None = None, idle: float = C.MAX_IDLE) -> DataFrame:
+def vectors_of(sightings: DataFrame, asked: DataFrame | None = None, idle: float = C.MAX_IDLE, every: int | None = None) -> DataFrame:
     """site_id, gid, version, template, gallery: what an identity looks like after each sighting that is asked for (site_id, gid, version), or after its last.
 
-    A template is sequential by its meaning: a task streams through its identities in order and holds one template and one gallery. After too long a time without
-    a sighting an identity begins anew.
+    every: instead, after its last sighting in each block of so many milliseconds, with that sighting's ts_ms. A template is sequential by its meaning: a task streams
+    through its identities in order and holds one template and one gallery. After too long a time without a sighting an identity begins anew.
     """
     ms, every_last = int(idle * 1000), asked is None
+    told = ["site_id", "gid", "version", "template", "gallery", *(["ts_ms"] if every else [])]
 
     def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, seen, template, gallery, version = None, 0, None, [], None
-        row = lambda: (*known, version, template, list(gallery))
+        row = lambda: (*known, version, template, list(gallery), seen)[: len(told)]
         for rows in batches:
             out = []
             for site, gid, det, at, wanted, emb in zip(*(rows[c].tolist() for c in ("site_id", "gid", "det_id", "ts_ms", "_asked")), rows["emb"], strict=True):
+                if every_last and known is not None and ((site, gid) != known or (every and at // every != seen // every)):
+                    out.append(row())
                 if (site, gid) != known or at - seen > ms:
-                    if every_last and known is not None and (site, gid) != known:
-                        out.append(row())
                     known, template, gallery = (site, gid), None, []
                 if emb is not None:
-                    unit = _unit(emb)
-                    template = unit if template is None else _unit(template * C.KEEP + unit * (1 - C.KEEP))
-                    gallery = [*gallery[1 - C.GALLERY :], unit]
+                    template, gallery = _seen(template, gallery, _unit(emb))
                 seen, version = at, det
                 if wanted:
                     out.append(row())
-            yield pd.DataFrame(out, columns=["site_id", "gid", "version", "template", "gallery"])
+            yield pd.DataFrame(out, columns=told)
         if every_last and known is not None:
-            yield pd.DataFrame([row()], columns=["site_id", "gid", "version", "template", "gallery"])
+            yield pd.DataFrame([row()], columns=told)
 
     rows = sightings.select(*_IDENTITY, *asof.ORDER, *asof.INSIDE, F.col("emb").cast("array<double>").alias("emb"))
     if every_last:
@@ -194,9 +196,110 @@ def vectors_of(sightings: DataFrame, asked: DataFrame | None = None, idle: float
     else:
         marks = asked.select(*_IDENTITY, F.col("version").alias("det_id"), F.lit(True).alias("_mark")).distinct()
         rows = rows.join(marks, [*_IDENTITY, "det_id"], "left").withColumn("_asked", F.col("_mark").isNotNull()).drop("_mark")
-    ordered = rows.repartition(*_IDENTITY).sortWithinPartitions(*_IDENTITY, *asof.ORDER, *asof.INSIDE)
+    # many parts for few identities, so that hardly two of them meet in one task
+    ordered = (rows.repartition(CHAINS, *_IDENTITY) if every else rows.repartition(*_IDENTITY)).sortWithinPartitions(*_IDENTITY, *asof.ORDER, *asof.INSIDE)
     kinds = [f"{c} {sightings.schema[n].dataType.simpleString()}" for c, n in (("site_id", "site_id"), ("gid", "gid"), ("version", "det_id"))]
-    return ordered.mapInPandas(mixed, ", ".join([*kinds, "template array<double>", "gallery array<array<double>>"]))
+    return ordered.mapInPandas(mixed, ", ".join([*kinds, "template array<double>", "gallery array<array<double>>", *(["ts_ms long"] if every else [])]))
+
+
+#: Parts that identities are dealt to where their vectors are gone through.
+CHAINS = 96
+
+
+def appearances(gated: DataFrame, pending: DataFrame, assigned: DataFrame, embedded: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
+    """gated (as known_at gives it) with looks: how alike each pending detection of its frame is to the identity as its version left it, by det_id.
+
+    embedded: site_id, det_id, ts_ms, emb of all detections of pending and assigned (a detection may come twice); pending needs none itself. Whoever is alive at a frame
+    was seen in the frame's block of time, as long as an identity lives, or in the one before. So a site's block gets its own vectors, and what each identity looked
+    like when the block before ended: a vector is moved twice (along its identity, and to its block), and no template is moved to the frames that face it.
+    """
+    ms = int(idle * 1000)
+    block = F.floor(F.col("ts_ms") / ms)
+    order = [*asof.ORDER, *asof.INSIDE]
+    ends = vectors_of(assigned, idle=idle, every=ms)
+    kind = lambda n: F.lit(n).alias("_kind")
+    parts = [
+        embedded.select("site_id", block.alias("_block"), kind(0), "det_id", F.col("emb").cast("array<double>").alias("emb")),
+        assigned.select("site_id", block.alias("_block"), kind(1), "gid", *order),
+        ends.select("site_id", (block + 1).alias("_block"), kind(2), "gid", "ts_ms", F.col("version").alias("det_id"), F.concat("template", F.flatten("gallery")).alias("emb")),
+        pending.select("site_id", block.alias("_block"), kind(3), "cam_name", "frame_no", "det_id"),
+    ]
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.unionByName(part, allowMissingColumns=True)
+    asked = gated.withColumn("_block", F.floor(F.col("at_ms") / ms))
+    schema = StructType([*gated.schema.fields, StructField("looks", MapType(LongType(), DoubleType()))])
+    key = ["site_id", "_block"]
+    return asked.groupBy(*key).cogroup(told.groupBy(*key)).applyInArrow(_comparing(ms), schema)
+
+
+def _comparing(ms: int):  # noqa: ANN202
+    def compared(asked: pa.Table, told: pa.Table) -> pa.Table:
+        rows = asked.drop_columns(["_block"])
+        seen, sightings, ends, faced = (told.filter(pc.equal(told["_kind"], k)) for k in range(4))
+        seen = seen.filter(pc.is_valid(seen["emb"]))
+        raw = seen["emb"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        units = raw.reshape(len(seen), -1) if len(seen) else np.zeros((0, 1))
+        size = np.sqrt((units * units).sum(1, keepdims=True))
+        units = units / np.where(size < vectors.TINY, 1.0, size)
+        at = {d: i for i, d in enumerate(seen["det_id"].to_pylist())}
+        # what each identity was when the block began, and then after each of its sightings that is asked for
+        begun, held, wanted = {}, {}, set(rows["version"].to_pylist())
+        for gid, version, ts, own in zip(*(ends[c].to_pylist() for c in ("gid", "det_id", "ts_ms", "emb")), strict=True):
+            parts = [] if own is None else list(np.array(own).reshape(-1, units.shape[1] if len(units) else len(own)))
+            begun[gid] = (parts[0] if parts else None, parts[1:], ts)
+            held[version] = parts
+        sightings = sightings.sort_by([(c, "ascending") for c in ("gid", *asof.ORDER, *asof.INSIDE)])
+        now, last, template, gallery = None, None, None, []
+        for gid, version, ts in zip(*(sightings[c].to_pylist() for c in ("gid", "det_id", "ts_ms")), strict=True):
+            if gid != now:
+                now, (template, gallery, last) = gid, begun.get(gid, (None, [], None))
+            if last is not None and ts - last > ms:
+                template, gallery = None, []
+            if version in at:
+                template, gallery = _seen(template, gallery, units[at[version]])
+            last = ts
+            if version in wanted:
+                held[version] = [] if template is None else [template, *gallery]
+        frames: dict[tuple, list[int]] = {}
+        for i, frame in enumerate(zip(rows["cam_name"].to_pylist(), rows["frame_no"].to_pylist(), strict=True)):
+            frames.setdefault(frame, []).append(i)
+        facing: dict[tuple, list[int]] = {}
+        for cam, frame, det in zip(*(faced[c].to_pylist() for c in ("cam_name", "frame_no", "det_id")), strict=True):
+            facing.setdefault((cam, frame), []).append(det)
+        keys, values, versions = [()] * len(rows), [()] * len(rows), rows["version"].to_pylist()
+        for frame, own in frames.items():
+            dets = facing.get(frame, [])
+            there = [d for d in dets if d in at]
+            against = [held.get(versions[i], []) for i in own]
+            alike = _mean_of_best(against, units[[at[d] for d in there]])
+            missing = [d for d in dets if d not in at]
+            for i, line, parts in zip(own, alike.tolist(), against, strict=True):
+                keys[i], values[i] = there + missing, line + [None if parts else -1.0] * len(missing)
+        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        looks = pa.MapArray.from_arrays(pa.array(offsets), pa.array([k for own in keys for k in own], pa.int64()), pa.array([v for own in values for v in own], pa.float64()))
+        return rows.append_column("looks", looks)
+
+    return compared
+
+
+def _mean_of_best(held: list[list[np.ndarray]], units: np.ndarray, k: int = 3) -> np.ndarray:
+    """For each list of vectors the mean of the k best products with each unit (a column); -1 where there is none."""
+    many = np.array([len(h) for h in held])
+    if not many.any() or not len(units):
+        return np.full((len(held), len(units)), -1.0)
+    products = np.stack([v for h in held for v in h]) @ units.T
+    table = np.full((len(held), max(k, many.max()), len(units)), -np.inf)
+    table[np.repeat(np.arange(len(held)), many), np.concatenate([np.arange(n) for n in many])] = products
+    best = -np.sort(-table, axis=1)[:, :k]
+    counted = np.minimum(many, k)[:, None]
+    return np.where(counted > 0, np.where(np.isfinite(best), best, 0.0).sum(1) / np.maximum(counted, 1), -1.0)
+
+
+def _seen(template: np.ndarray | None, gallery: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Template and gallery after one more sighting."""
+    mixed = unit if template is None else _unit(template * C.KEEP + unit * (1 - C.KEEP))
+    return mixed, [*gallery[1 - C.GALLERY :], unit]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

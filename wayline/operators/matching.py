@@ -72,9 +72,9 @@ def greedy_frames(candidates: DataFrame) -> DataFrame:
     return frames.select("cam_name", "frame_no", F.explode(first_free(F.col("pairs"), "det_idx", "gid")).alias("m")).select("cam_name", "frame_no", "m.det_idx", F.col("m.gid").alias("forced_gid"))
 
 
-def optimal_groups(pairs: DataFrame, key: list[str], row: str, column: str, score: str) -> DataFrame:
-    """pairs with a score -> the pairs of each key's optimal matching, judged afterwards by whoever asked. A pair that is missing is never chosen
-    before any that is there. A group is one frame: its detections and candidate identities."""
+def optimal_groups(pairs: DataFrame, key: list[str], row: str, column: str, score: str, more: Sequence[str] = ()) -> DataFrame:
+    """pairs with a score -> the pairs of each key's optimal matching (and more of their columns), judged afterwards by whoever asked. A pair that is missing is never
+    chosen before any that is there. A group is one frame: its detections and candidate identities."""
 
     @F.pandas_udf("array<int>")
     def chosen(groups: pd.Series, columns: pd.Series, scores: pd.Series) -> pd.Series:
@@ -87,10 +87,10 @@ def optimal_groups(pairs: DataFrame, key: list[str], row: str, column: str, scor
             out.append([int(at[p]) for p in optimal(table) if at[p] >= 0])
         return pd.Series(out)
 
-    listed = pairs.groupBy(*key).agg(F.collect_list(F.struct(row, column, score)).alias("_pairs"))
+    listed = pairs.groupBy(*key).agg(F.collect_list(F.struct(row, column, score, *more)).alias("_pairs"))
     numbers = chosen(F.col(f"_pairs.{row}"), F.col(f"_pairs.{column}"), F.col(f"_pairs.{score}"))
     picked = F.transform(numbers, lambda i: F.get("_pairs", i))
-    return listed.select(*key, F.explode(picked).alias("_pair")).select(*key, f"_pair.{row}", f"_pair.{column}", f"_pair.{score}")
+    return listed.select(*key, F.explode(picked).alias("_pair")).select(*key, *[f"_pair.{c}" for c in (row, column, score, *more)])
 
 
 def first_free(pairs: Column, row: str, column: str, also: Callable[[Column, Column], Column] | None = None) -> Column:
