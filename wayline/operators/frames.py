@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,32 +110,75 @@ def scored(pending: DataFrame, identities: DataFrame, key: Sequence[str] = tuple
     return pairs.withColumn("accepted", scoring.accept(F.col("appearance"), F.col("score"), F.col("same_camera"), F.col("overlap"), F.col("forced")))
 
 
-def remembered(detections: DataFrame, sightings: DataFrame, window: float = C.RECENT_WINDOW, cache: int = C.CACHE) -> DataFrame:
+def remembered(detections: DataFrame, sightings: DataFrame, window: float = C.RECENT_WINDOW, cache: int = C.CACHE, best: bool = False) -> DataFrame:
     """What the cache that all cameras of a site share offers each detection at its frame: det_id, gid, score, back (how many sightings ago, from 1).
 
     The cache holds the site's last `cache` sightings before the frame, and of those the detection's own camera's count, if they are not older than the window.
-    Sightings are numbered along the site, so the cache is a range of numbers, and both sides are dealt by (site, camera, number / cache).
+    Sightings are numbered along the site, so the cache is a range of numbers, and both sides are dealt by (site, camera, number / cache): what meets there, `cache`
+    sightings at most, is compared as two tables of vectors. best: only the best offer of each such part, of equal ones the newest.
     """
     start = asof.site_starts(sightings, detections)
     at = ["site_id", *asof.ORDER]
+    body = ["ts_ms", "map_x", "map_y", "box_w", "box_h", "emb"]
     keep = [c for c in ("det_idx", "det_id", "gid", "emb", "map_x", "map_y", "box_w", "box_h") if c in sightings.columns]
     rows = asof.numbered(sightings.select(*at, *keep), start, at)
-    held = rows.select("site_id", "cam_name", "_n", "gid", F.col("ts_ms").alias("s_ms"), vectors.normalized(F.col("emb")).alias("s_emb"), *[F.col(c).alias(f"s_{c}") for c in ("map_x", "map_y", "box_w", "box_h")], F.floor(F.col("_n") / cache).alias("_block"))
-    looks = detections.drop("gid").join(start, at).withColumn("_unit", vectors.normalized(F.col("emb")))
+    key = ["site_id", "cam_name", "_block"]
+    held = rows.select("site_id", "cam_name", F.floor(F.col("_n") / cache).alias("_block"), "_n", "gid", *body).withColumn("emb", F.col("emb").cast("array<double>"))
+    looks = detections.withColumn("emb", F.col("emb").cast("array<double>")).select(*at, "det_id", *body[1:]).join(start, at)
     looks = looks.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_start") - cache) / cache), F.floor((F.col("_start") - 1) / cache))))
-    inside = (F.col("_n") >= F.col("_start") - cache) & (F.col("_n") < F.col("_start")) & (F.col("ts_ms") - F.col("s_ms") <= int(window * 1000))
-    pairs = looks.join(held, ["site_id", "cam_name", "_block"]).filter(inside)
-    pairs = pairs.filter(scoring.size_gate(F.col("box_w"), F.col("box_h"), F.col("s_box_w"), F.col("s_box_h")))
-    dist = geometry.distance(F.col("map_x"), F.col("map_y"), F.col("s_map_x"), F.col("s_map_y"))
-    score = scoring.recent_score(vectors.dot(F.col("_unit"), F.col("s_emb")), dist, scoring.seconds(F.col("ts_ms"), F.col("s_ms")))
-    good = pairs.withColumn("score", score).filter(F.col("score") >= C.RECENT_LEAST)
-    return good.select("det_id", "gid", "score", (F.col("_start") - F.col("_n")).alias("back"))
+    looks = looks.select(*key, "_start", "det_id", *body)
+    kinds = f"det_id {detections.schema['det_id'].dataType.simpleString()}, gid {sightings.schema['gid'].dataType.simpleString()}, score double, back long"
+    held = held.select(*[F.col(c).alias(f"s_{c}") for c in held.columns])  # both may come from one table
+    return looks.groupBy(*key).cogroup(held.groupBy(*[f"s_{c}" for c in key])).applyInArrow(_recalling(int(window * 1000), cache, best), kinds)
+
+
+def _recalling(window: int, cache: int, best: bool):  # noqa: ANN202
+    def recalled(looks: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.rename_columns([c.removeprefix("s_") for c in held.column_names]).sort_by([("_n", "descending")])
+        looks, held = (t.filter(t["emb"].is_valid()) for t in (looks, held))
+        row, column = np.zeros(0, int), np.zeros(0, int)
+        score, back = np.zeros((0, 0)), np.zeros((0, 0), int)
+        if len(looks) and len(held):
+            units = [_units(t) for t in (looks, held)]
+            side = lambda c: (_numbers(looks, c)[:, None], _numbers(held, c)[None])
+            (w, rw), (h, rh), (x, sx), (y, sy), (now, then) = (side(c) for c in ("box_w", "box_h", "map_x", "map_y", "ts_ms"))
+            back = looks["_start"].to_numpy()[:, None] - held["_n"].to_numpy()[None]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                close = lambda a, b: np.minimum(a, b) / np.maximum(a, b) >= C.SIZE_RATIO
+                known = np.minimum(np.minimum(w, h), np.minimum(rw, rh)) > 0
+                fits = ~known | (close(w, rw) & close(h, rh))
+                far = np.nan_to_num(np.minimum(np.sqrt((x - sx) ** 2 + (y - sy) ** 2) / (C.MAP_GATE * 1.5), 1.0) * 0.10)
+            age = (now - then) / 1000.0
+            score = units[0] @ units[1].T - far - np.minimum(age / C.RECENT_WINDOW, 1.0) * 0.08
+            good = (back >= 1) & (back <= cache) & (now - then <= window) & fits & (score >= C.RECENT_LEAST)
+            if best:
+                # the newest come first, and so does the first of equal ones
+                column = np.where(good, score, -np.inf).argmax(1)
+                row = np.flatnonzero(good[np.arange(len(looks)), column])
+                column = column[row]
+            else:
+                row, column = np.nonzero(good)
+        found = {"det_id": looks["det_id"].take(pa.array(row)), "gid": held["gid"].take(pa.array(column)), "score": pa.array(score[row, column], pa.float64()), "back": pa.array(back[row, column], pa.int64())}
+        return pa.table(found)
+
+    return recalled
+
+
+def _units(rows: pa.Table) -> np.ndarray:
+    v = rows["emb"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    size = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(size < vectors.TINY, 1.0, size)
+
+
+def _numbers(rows: pa.Table, column: str) -> np.ndarray:
+    """A column as floating point, what is missing as NaN."""
+    return rows[column].cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
 def recent_match(detections: DataFrame, sightings: DataFrame) -> DataFrame:
     """The best remembered sighting of each detection, of equal ones the newest: det_id, gid, score."""
     best = F.max(F.struct("score", (-F.col("back")).alias("newest"), "gid")).alias("m")
-    return remembered(detections, sightings).groupBy("det_id").agg(best).select("det_id", "m.gid", "m.score")
+    return remembered(detections, sightings, best=True).groupBy("det_id").agg(best).select("det_id", "m.gid", "m.score")
 
 
 def attached(detections: DataFrame, results: DataFrame, column: str) -> DataFrame:
