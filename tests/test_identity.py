@@ -242,6 +242,23 @@ def test_segments_run_apart_and_equal_one_run(gaps):
     assert got == plainly(rows) and len(got) == len(rows)
 
 
+def test_parts_of_time_hand_the_memory_on(spark, seen, gaps):
+    """Rounds over short parts of time give what one run gives; a part has at most so many rows, and those of one block of the clock."""
+    slow = seen.withColumn("ts_ms", F.col("ts_ms") * 20)  # frames are 4 s apart, so there are several blocks, and no gap
+    for d in (gaps, slow):
+        times = identity.parts(identity.moments(identity.whole(d)), 20)
+        per = d.withColumn("_site", F.struct("site_id")).join(times, ["_site", "ts_ms"]).groupBy("_site", "_segment", "_part", F.floor(F.col("ts_ms") / 25_000).alias("b")).count().collect()
+        sizes = {}
+        for r in per:
+            sizes.setdefault((r["_site"]["site_id"], r["_segment"]), {}).setdefault(r["_part"], []).append(r["count"])
+        for own in sizes.values():
+            assert sorted(own) == list(range(len(own))) and all(sum(x) <= 20 + max(x) for x in own.values())
+        assert d is gaps or all(len(own) > 3 for own in sizes.values())
+        whole = [(r["det_id"], r["gid"], r["source"], r["score"]) for r in identity.assign(d).collect()]
+        assert sorted((r["det_id"], r["gid"], r["source"], r["score"]) for r in identity.assign(d, part_rows=20).collect()) == sorted(whole)
+        assert {r[0]: (r[1], r[2], round(r[3], 9)) for r in whole} == plainly([r.asDict() for r in d.collect()])
+
+
 def test_stream_goes_on_after_a_stop(spark, gaps, tmp_path):
     """Two runs of one query: what the first kept in state is what the second goes on from, over idle times too."""
     rows = gaps.select(identity.COLUMNS)

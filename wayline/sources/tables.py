@@ -26,8 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: what reads it several times computes it once, and a lost executor costs nothing that came before."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: what reads it several times computes it once, and a lost executor costs nothing that came before.
+
+    by: a column whose values have folders of their own, so that who asks for one reads no other.
+    """
+    path = folder(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ site are a site of their own.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
@@ -26,7 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wayline.functions import constants as C
 from wayline.operators import asof
 from wayline.operators.matching import greedy, optimal
-from wayline.sources.tables import written
+from wayline.sources.tables import folder, written
 
 INPUT = "site_id long, det_id long, cam_name string, frame_no long, det_idx long, ts_ms long, tid long, x1 long, y1 long, x2 long, y2 long, map_x long, map_y long, emb array<double>"
 OUTPUT = "site_id long, det_id long, cam_name string, frame_no long, det_idx long, ts_ms long, gid long, score double, source string, overlap boolean, map_x long, map_y long"
@@ -262,11 +263,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             units = units / np.where(size < 1e-8, 1.0, size)[:, None]
         else:
             units = [_unit(flat[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-        told, segment = [columns[c] for c in TOLD], columns.get("_segment", [None] * batch.num_rows)
+        told, (segment, more) = [columns[c] for c in TOLD], [columns.get(c, [None] * batch.num_rows) for c in ("_segment", "_more")]
         boxes = zip(*(columns[c] for c in ("x1", "y1", "x2", "y2")), strict=True)
-        for own, box, tid, idx, x, y, unit, at in zip(zip(*told, strict=True), boxes, columns["tid"], columns["det_idx"], columns["map_x"], columns["map_y"], units, segment, strict=True):
+        placed = (columns[c] for c in ("tid", "det_idx", "map_x", "map_y"))
+        for own, box, tid, idx, x, y, unit, at, follows in zip(zip(*told, strict=True), boxes, *placed, units, segment, more, strict=True):
             size = [max(1, box[2] - box[0]), max(1, box[3] - box[1])]
-            yield {"own": own, "box": box, "size": size, "tid": idx if tid is None else tid, "map": None if x is None or y is None else [x, y], "unit": unit, "segment": at}
+            yield {"own": own, "box": box, "size": size, "tid": idx if tid is None else tid, "map": None if x is None or y is None else [x, y], "unit": unit, "segment": at, "more": follows}
 
 
 #: Columns of a detection that are passed on, and their types.
@@ -298,46 +300,100 @@ def whole(detections: DataFrame) -> DataFrame:
     return detections.select(*typed).filter(" AND ".join(f"{c} IS NOT NULL" for c in ("emb", "x1", "y1", "x2", "y2", "ts_ms")))
 
 
-def segments(detections: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
-    """detections with _segment, the time at which their site became active: after an idle time of more than the limit a site remembers nobody.
+def moments(detections: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
+    """_site, ts_ms, _n detections, and _segment, the time at which their site became active: after an idle time of more than the limit a site remembers nobody.
 
     Gaps are found between times of a site, in blocks as long as the limit; what a block begins with is carried over from the blocks before it, a row each.
     """
     ms = int(idle * 1000)
     site, block = F.struct("site_id"), F.floor(F.col("ts_ms") / ms)
-    times = detections.select("site_id", "ts_ms").distinct()
+    times = detections.groupBy("site_id", "ts_ms").agg(F.count("*").alias("_n"))
     found = asof.latest_before(times, times, ["site_id"], [], ms, order=())
-    marks = found.select(site.alias("_site"), "ts_ms", block.alias("_block"), F.when(F.col("found").isNull(), F.col("ts_ms")).alias("_begins"))
+    marks = found.select(site.alias("_site"), "ts_ms", "_n", block.alias("_block"), F.when(F.col("found").isNull(), F.col("ts_ms")).alias("_begins"))
     last = marks.groupBy("_site", "_block").agg(F.max("_begins").alias("_last"))
     before = Window.partitionBy("_site").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("_site", "_block", F.max("_last").over(before).alias("_carried"))
     inside = Window.partitionBy("_site", "_block").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     known = marks.withColumn("_own", F.max("_begins").over(inside)).join(carried, ["_site", "_block"])
-    known = known.select("_site", "ts_ms", F.coalesce("_own", "_carried").alias("_segment"))
-    return detections.withColumn("_site", site).join(known, ["_site", "ts_ms"]).drop("_site")
+    return known.select("_site", "ts_ms", "_block", "_n", F.coalesce("_own", "_carried").alias("_segment"))
+
+
+def segments(detections: DataFrame, idle: float = C.MAX_IDLE) -> DataFrame:
+    """detections with their _segment."""
+    known = moments(detections, idle).select("_site", "ts_ms", "_segment")
+    return detections.withColumn("_site", F.struct("site_id")).join(known, ["_site", "ts_ms"]).drop("_site")
+
 
+def parts(times: DataFrame, rows: int) -> DataFrame:
+    """_site, ts_ms, _segment, _part and _more of moments: a segment's parts of time, from 0, and whether one follows.
 
-def assign(detections: DataFrame) -> DataFrame:
+    A part begins with the block of the clock in which `rows` detections have come since the last one could, so it has at most as many and those of a block.
+    """
+    along, all_ = Window.partitionBy("_site", "_segment").orderBy("_block"), Window.partitionBy("_site", "_segment")
+    blocks = times.groupBy("_site", "_segment", "_block").agg(F.sum("_n").alias("_many"))
+    blocks = blocks.withColumn("_full", F.floor((F.sum("_many").over(along) - F.col("_many")) / rows))
+    # a block of very many may fill several parts: numbers without gaps
+    blocks = blocks.withColumn("_part", F.dense_rank().over(all_.orderBy("_full")) - 1)
+    blocks = blocks.withColumn("_more", F.col("_part") < F.max("_part").over(all_)).drop("_many", "_full")
+    return times.join(blocks, ["_site", "_segment", "_block"]).select("_site", "ts_ms", "_segment", "_part", "_more")
+
+
+#: Detections of a site that a task takes before it hands the site's memory on.
+PART_ROWS = 50_000
+
+
+def assign(detections: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Identities over a table. A site's times of activity are dealt to tasks, and each task goes through its own in order, one frame in memory.
 
+    What is longer than part_rows goes in rounds: a task takes one part of a segment's time and what the part before it left in the site's memory, a row, so
+    what a task reads doesn't grow with the table. Rounds are as many as the longest segment has parts; all segments and sites share them.
     Ids count within a site: a segment counts from 1, and the numbers that its site's earlier segments took are added afterwards, from a row for each segment.
     """
-    schema = RESULT.append(pa.field("_segment", pa.int64()))
+    schema = RESULT.append(pa.field("_segment", pa.int64())).append(pa.field("_memory", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        site, at, waiting = None, None, []
-        for key, rows in _frames(_rows(batches)):
+        kept: dict[tuple, bytes] = {}  # a segment's memory comes before its detections
+
+        def facing() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                memory = batch.column("_memory")
+                if memory.null_count < len(memory):
+                    rows = zip(*(batch.column(c).to_pylist() for c in ("site_id", "_segment", "_memory")), strict=True)
+                    kept.update({(site_id, segment): raw for site_id, segment, raw in rows if raw is not None})
+                    batch = batch.filter(memory.is_null())
+                yield batch.drop_columns(["_memory"])
+
+        site, at, more, waiting = None, None, False, []
+        left = lambda: [(at[0], *[None] * (len(RESULT) - 1), at[1], pickle.dumps(site.memory))] if more else []
+        for key, rows in _frames(_rows(facing())):
             now = (key[0], rows[0]["segment"])
             if site is None or now != at:
-                site, at = Site(), now
-            waiting += [(*t, at[1]) for t in _told(rows, site.frame(key[2], key[1], rows))]
+                waiting += left()
+                raw = kept.pop(now, None)
+                site, at, more = Site(pickle.loads(raw) if raw else None), now, rows[0]["more"]
+            waiting += [(*t, at[1], None) for t in _told(rows, site.frame(key[2], key[1], rows))]
             if len(waiting) >= 8192:
                 yield _batch(waiting, schema)
                 waiting = []
-        yield _batch(waiting, schema)
-
-    dealt = segments(whole(detections)).repartition("site_id", "_segment").sortWithinPartitions("site_id", "_segment", *ORDER)
-    found = written(dealt.mapInArrow(run, OUTPUT + ", _segment long"), "assigned")
+        yield _batch(waiting + left(), schema)
+
+    d = whole(detections)
+    times = written(parts(moments(d), part_rows), "moments")
+    rounds = (times.agg(F.max("_part")).first()[0] or 0) + 1
+    dealt = d.withColumn("_site", F.struct("site_id")).join(times, ["_site", "ts_ms"]).drop("_site")
+    if rounds > 1:
+        dealt = written(dealt.repartition("_part", "site_id", "_segment"), "parts", by="_part")
+    at = folder(d.sparkSession, "assigned")
+    memory = None
+    for k in range(rounds):
+        own = dealt.filter(F.col("_part") == k).drop("_part").withColumn("_memory", F.lit(None).cast("binary"))
+        if memory is not None:
+            own = own.unionByName(memory, allowMissingColumns=True)
+        own = own.repartition("site_id", "_segment").sortWithinPartitions("site_id", "_segment", *ORDER)  # a memory has no time, so it is first
+        done = own.mapInArrow(run, OUTPUT + ", _segment long, _memory binary")
+        done.write.parquet(f"{at}/_part={k}")
+        memory = d.sparkSession.read.schema(done.schema).parquet(f"{at}/_part={k}").filter("_memory IS NOT NULL").select("site_id", "_segment", "_memory")
+    found = d.sparkSession.read.schema(done.schema).parquet(at).filter("_memory IS NULL").drop("_memory")
     counts = found.groupBy(F.struct("site_id").alias("_site"), "_segment").agg(F.max("gid").alias("_many"))
     before = Window.partitionBy("_site").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_site", "_segment", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_taken"))
