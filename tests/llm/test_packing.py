@@ -23,6 +23,28 @@ def test_ids_equal_on_documents(spark):
         assert np.frombuffer(own.ids(row["text"]), "<u4").tolist() == plain.encode(row["text"], add_special_tokens=False).ids
 
 
+def test_ids_of_many_texts_at_once(monkeypatch):
+    """Chunks, long runs, stops and capitals of every kind, and a memory that is too small for what comes: always the tokeniser's ids."""
+    odd = ["A.", "a,.", "Ab., cd.", "É. é, É", "x. ' .", ". a", ", ,", "H\u0331 h\u0331. ΟΔΟΣ. Word, it's'll. don't.", "a\xa0b. c\x85", "ab" * 90 + ". x" + "y" * 200, "e\u0301. \u0301", "  ", "\n", "ª. µ, ÿ×. ÷", "<|endoftext|>. a", "9. a9. 9a,"]
+    texts = [*TEXTS, *odd, " ".join(f"{a}{b}. {b}{a},, {a}{i}" for i, (a, b) in enumerate(zip(odd * 5, TEXTS * 10, strict=False)))]
+    plain = Tokenizer.from_file(VOCABULARY)
+    want = [plain.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for chunk, cached in ((1 << 20, 1 << 20), (64, 1 << 20), (64, 8), (1000, 50)):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        monkeypatch.setattr(packing, "CACHED", cached)
+        own = packing.WordIds(VOCABULARY)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.of(texts)] == want
+    assert packing.WordIds(VOCABULARY).of([]) == []
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    own, calls = packing.WordIds(VOCABULARY), []
+    monkeypatch.setattr(own, "_plainly", lambda run: calls.append(run) or packing.WordIds._plainly(own, run))
+    text = " ".join("".join(chr(97 + (i // 26**k) % 26) for k in range(5)) + "." * (i % 2) + "!?" * (i % 3 == 0) for i in range(5000))
+    assert len(own.ids(text)) > 5000 and set(calls) <= {"!?", ".!?", "."} and len(calls) <= 3
+
+
 def checked(rows, capacity):
     by = {}
     for r in rows:

@@ -17,8 +17,10 @@ rows. The vocabulary's pre-tokeniser has to part at white space, as word_bpe_49k
 
 from __future__ import annotations
 
+import hashlib
+import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, give_back
+from .shared import cut, give_back, hashed, joined
 
 #: Parts in which the pieces of one length are numbered.
 BUCKETS = 256
@@ -35,48 +37,164 @@ BUCKETS = 256
 GROUPS = 96
 #: Pieces of at least capacity / SMALL are large, so a configuration has at most SMALL of them.
 SMALL = 8
-#: Cached runs and words of a worker; it starts anew when full.
+#: Runs that a worker remembers.
 CACHED = 250_000
+#: Bytes of a longer run are hashed by a digest.
+LONGEST = 64
+#: Bytes of text whose runs are looked up at once.
+CHUNK = 1 << 20
+#: ASCII marks, which are neither letters nor figures.
+MARKS = string.punctuation
 
 
-class WordIds(dict):
-    """Ids of a run of text without blanks, as little-endian unsigned 32-bit bytes, found once for each distinct run.
+class WordIds:
+    """Ids of texts, as little-endian unsigned 32-bit bytes. A run of text without blanks is encoded once while it is remembered.
 
-    The vocabulary's pre-tokeniser never joins across white space, so a text's ids are those of its runs in a row.
+    The vocabulary's pre-tokeniser never joins across white space, so a text's ids are those of its runs in a row. Runs are known by 64 bits of their
+    bytes; those of about a megabyte of text are looked up at once, and the new ones among them encoded together.
     """
 
     def __init__(self, vocabulary: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.model = self.tokenizer.model
-        # Latin letters with at most stops behind them need neither the normaliser nor the pre-tokeniser
-        self.plain = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
-        letters = [c for c in map(chr, range(0x41, 0x100)) if self.plain(c)]
-        self.spelt = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHED:
+        # small Latin letters need neither the normaliser nor the pre-tokeniser's parting, only the model
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.plain = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.clear()
+
+    def clear(self) -> None:
+        self.marks: dict[str, bytes] = {}
+        self.hashes, self.at, self.many, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _plainly(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of small Latin letters, many in one call."""
+        for k in range(0, len(words), 1000):
+            own = words[k : k + 1000]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(own):
+                yield from map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends))
+            else:  # the vocabulary doesn't mark ends of words
+                yield from map(self._plainly, own)
+
+    def _encoded(self, runs: list[str]) -> list[bytes]:
+        """Letters with marks behind them are two pieces; what is neither is left to the tokeniser as it is."""
+        words = [run if run.isalpha() else run.rstrip(MARKS) for run in runs]
+        easy = [word.isalpha() if word.isascii() else self.plain(word) is not None for word in words]
+        found, out = self._words([word.lower() for word, e in zip(words, easy, strict=True) if e]), []
+        for run, word, e in zip(runs, words, easy, strict=True):
+            ids = next(found) if e else self._plainly(run)
+            if e and len(word) < len(run):
+                marks = run[len(word) :]
+                if len(self.marks) > 4096:
+                    self.marks.clear()
+                if marks not in self.marks:
+                    self.marks[marks] = self._plainly(marks)
+                ids += self.marks[marks]
+            out.append(ids)
+        return out
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered runs in a row, and where each run's end."""
+        many = self.many[places]
+        ends = np.cumsum(many)
+        return self.pool[np.arange(many.sum()) + np.repeat(self.at[places] - (ends - many), many)], ends
+
+    def _remember(self, hashes: np.ndarray, pool: np.ndarray, many: np.ndarray) -> None:
+        at = len(self.pool) + np.cumsum(many) - many
+        hashes, at, many = (np.concatenate(x) for x in ((self.hashes, hashes), (self.at, at), (self.many, many)))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.many, self.pool = hashes[order], at[order], many[order], np.concatenate([self.pool, pool])
+
+    def _places(self, hashes: np.ndarray, run: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Where each of the distinct hashes is remembered; run gives the runs of some of them."""
+        at = np.searchsorted(self.hashes, hashes)
+        fresh = np.ones(len(hashes), bool)
+        fresh[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != hashes[at < len(self.hashes)]
+        if not fresh.any():
+            return at
+        if len(self.hashes) + fresh.sum() > CACHED or len(self.pool) > 16 * CACHED:  # only what is in hand stays
+            kept, many = self._gathered(at[~fresh])[0], self.many[at[~fresh]]
             self.clear()
-        if found := self.plain(run):
-            ids = self.word(found[1].lower()) + (self.word(found[2]) if found[2] else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= 64:
-            self[run] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        if (ids := self.get(word)) is None:
-            ids = np.array([t.id for t in self.model.tokenize(word.translate(self.spelt))], "<u4").tobytes()
-            if len(word) <= 64:
-                self[word] = ids
-        return ids
+            self._remember(hashes[~fresh], kept, many)
+        found = self._encoded(run(fresh))
+        self._remember(hashes[fresh], np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        return np.searchsorted(self.hashes, hashes)
+
+    def _of_chunk(self, parts: list[bytes]) -> list[bytes]:
+        if len(parts) == 1 and len(parts[0]) > CHUNK:  # one run
+            return [self._plainly(parts[0].decode())]
+        buffer, starts = joined(parts)
+        blank, stop = buffer == 0x20, np.zeros(len(buffer), bool)
+        # a stop between a letter and a blank is a piece of its own: so there are fewer runs to know
+        stops = np.flatnonzero((buffer == 0x2E) | (buffer == 0x2C))
+        before = buffer[stops - 1] | 0x20
+        stop[stops[blank[stops + 1] & (stops > 0) & (before >= 0x61) & (before <= 0x7A)]] = True
+        first = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]]) | stop))
+        last = np.flatnonzero(np.concatenate([[False], ~blank[:-1]]) & (blank | stop))
+        if not len(first):
+            return [b""] * len(parts)
+        hashes = hashed(buffer, first, last)
+        raw = buffer.tobytes()
+        for i in np.flatnonzero(last - first > LONGEST).tolist():
+            hashes[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : last[i]], digest_size=8).digest())
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        places = self._places(distinct, lambda fresh: [raw[i:j].decode() for i, j in zip(first[one[fresh]].tolist(), last[one[fresh]].tolist(), strict=True)])
+        ids, ends = self._gathered(places[which])
+        edges = (4 * np.append(0, ends)[np.append(np.searchsorted(first, starts), len(first))]).tolist()
+        ids = ids.tobytes()
+        return [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, waiting, size = [], [], 0
+
+        def done() -> None:
+            for i, ids in zip(owners, self._of_chunk(waiting), strict=True):
+                out[i].append(ids)
+
+        for k, text in enumerate(texts):
+            for part in _parts(text):
+                if waiting and size + len(part) > CHUNK:
+                    done()
+                    owners, waiting, size = [], [], 0
+                owners.append(k)
+                waiting.append(part)
+                size += len(part) + 1
+        if waiting:
+            done()
+        return [b"".join(x) for x in out]
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.of([text])[0]
+
+
+def _parts(text: str | None) -> Iterator[bytes]:
+    """A text as UTF-8 with blanks only at which it may be parted, in parts of at most CHUNK bytes; a run that is longer is a part."""
+    text = text or ""
+    try:
+        text.encode("latin-1")
+        text = text.lower()  # there it makes no other ids, and fewer runs to know
+    except UnicodeEncodeError:
+        pass
+    raw, at = text.encode().replace(b"\n", b" "), 0
+    while len(raw) - at > CHUNK:
+        to = raw.rfind(b" ", at + 1, at + CHUNK)
+        to = raw.find(b" ", at + CHUNK) if to < 0 else to
+        if to < 0:
+            break
+        yield raw[at:to]
+        at = to
+    yield raw[at:]
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -91,8 +209,8 @@ def _cutter(vocabulary: str, capacity: int, keep_ids: bool):
             part = rows = columns = None  # a batch may be empty
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = (known.ids(text) if text else b"") + b"\0\0\0\0"
+                for doc_id, own in zip(part.column(0).to_pylist(), known.of(part.column(1).to_pylist()), strict=True):
+                    raw = own + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[start : start + 4 * capacity]
                         rows.append((doc_id, k, start // 4, len(own) // 4, zlib.crc32(own), own))
